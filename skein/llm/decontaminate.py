@@ -192,7 +192,7 @@ def contamination(
                     items: list = [[] for _ in n_words]
                     most = np.zeros(len(n_words), np.int32)
                     cuts = np.flatnonzero(np.diff(own, prepend=-1))
-                    for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                    for a, b in zip(cuts, np.append(cuts[1:], len(own))[: len(cuts)], strict=True):
                         d = own[a]
                         rows[d] = [{"first": x, "last": y - 1} for x, y in _merge(where[a:b], where[a:b] + block.lengths[windows[a:b]])]
                         items[d] = sorted({block.names[i] for w in set(windows[a:b].tolist()) for i in block.items[block.first[w] : block.first[w + 1]]})
