@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import cycles
+from skein.plans import cycles, features
 
-MODULES = (cycles,)
+MODULES = (cycles, features)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
