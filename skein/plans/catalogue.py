@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import cycles, features
+from skein.plans import cycles, features, streams
 
-MODULES = (cycles, features)
+MODULES = (cycles, features, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
