@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -23,6 +24,18 @@ PART_BYTES = 4 << 20
 LONG = 192
 #: White space other than blank and line end (Unicode White_Space and the separators 1C to 1F).
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and numbers that the splitter's tables have and Unicode 16, which the public encoder has, doesn't (first and last code point).
+_NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_UNKNOWN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _NEWER) + "]")
 _BIT = [1 << k for k in range(4096)]
 
 
@@ -67,7 +80,7 @@ class Bpe:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.unit = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.cut = regex.compile(pattern).findall
+        self.pieces = regex.compile(pattern).findall
         merges = sorted((ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
         self.pairs = np.array([x for x, _ in merges], np.int64)
         self.pair_ranks = np.array([r for _, r in merges], np.int64)
@@ -81,6 +94,16 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.pair_ranks[at], -1)
 
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens. Characters that the public encoder doesn't know are cut as a private one, neither letter nor number."""
+        if text.isascii() or not _UNKNOWN.search(text):
+            return self.pieces(text)
+        out, at = [], 0
+        for piece in self.pieces(_UNKNOWN.sub("\ue000", text)):
+            out.append(text[at : at + len(piece)])
+            at += len(piece)
+        return out
+
     def merge(self, token: bytes) -> tuple[int, ...]:
         """Ids of one long pre-token: of all adjacent pairs the lowest rank merges first, the leftmost of equal ranks.
 
