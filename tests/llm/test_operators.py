@@ -383,7 +383,7 @@ def test_urls(spark):
     assert (got[11].host, got[12].host, got[12].rule) == ("b:", "é.Éxample.com", "com/de/")
     for r in got.values():
         fits = [(len(p), p, v) for p, v in url_filter.RULES if (r.host == p.partition("/")[0] or r.host.endswith("." + p.partition("/")[0])) and r.path.startswith("/" + p.partition("/")[2])]
-        want = max(fits)[1:] if fits else (None, "block" if url_filter.score(r.host, r.path) >= 0.5 else "allow")
+        want = max(fits)[1:] if fits else (None, "block" if url_filter.score(r.host, r.path) >= url_filter.THRESHOLD else "allow")
         assert (r.rule, r.verdict) == want
     assert url_filter.judge(table.limit(0)).count() == 0
 
