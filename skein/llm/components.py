@@ -16,7 +16,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     No edges give an empty result.
     """
     pairs = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before, n = None, pairs.count()
     for _ in range(rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -24,7 +24,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("m").alias("u"), "v").union(least.select(F.col("m").alias("u"), F.col("u").alias("v")))
-        pairs = written(small.distinct(), "edges")
+        pairs = written(small.distinct(), "edges", n)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -129,9 +129,10 @@ def near_edges(prints: DataFrame, bucket: int = 64) -> DataFrame:
             rows, keys = golay_keys(fp)
             yield pa.RecordBatch.from_arrays([pa.array(fp[rows]), pa.array(keys)], ["fp", "key"])
 
-    keyed = written(prints.select("fp").mapInArrow(run, "fp long, key long"), "golay-keys")
+    n = 10 * prints.count()
+    keyed = written(prints.select("fp").mapInArrow(run, "fp long, key long"), "golay-keys", n)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = written(keyed.join(sizes, "key"), "golay-buckets")
+    held = written(keyed.join(sizes, "key"), "golay-buckets", n)
     small = held.where(F.col("n") <= bucket)
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     pairs = (
@@ -154,7 +155,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated in the result; other columns of ``docs`` are ignored; empty input gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-nodes", prints.count())
     roots = components(near_edges(nodes, bucket))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
