@@ -189,7 +189,7 @@ def lda(by_class: dict[tuple, Moments], metric: str = "mahalanobis") -> Discrimi
     root = np.linalg.cholesky(within + 1e-10 * np.trace(within) / len(kept) * np.eye(len(kept)))
     values, vectors = np.linalg.eigh(np.linalg.solve(root, np.linalg.solve(root, between).T))
     w = signed(np.linalg.solve(root.T, vectors[:, np.argsort(-values)[:d]]))
-    w = w / np.sqrt(np.einsum("ik,ij,jk->k", w, within, w) / (total.n - len(names)))
+    w = w / np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", w, within, w), 1e-300) / max(total.n - len(names), 1))
     means = np.stack([p.mean @ w for p in parts])
     if metric == "euclidean":
         inverses = np.stack([np.eye(d)] * len(parts))

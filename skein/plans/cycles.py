@@ -181,7 +181,7 @@ def q17_wavelet_uncertainty(spark, d):
 
 
 def q18_interval_errors(spark, d):
-    return piecewise.interval_errors(packed(spark, d)).select("i", "j", rounded(F.col("sse")).alias("sse"))
+    return piecewise.interval_errors(packed(spark, d)).select("i", "j", compact(F.col("sse")).alias("log_sse"))
 
 
 def _splits(spark, d, n):
@@ -295,7 +295,7 @@ select feature_idx, {R('score')} score, rank::INT rank from (select *, row_numbe
         "q15_wavelet_coefficients": _wavelet_sql(f"select cycle_id, idx, {R('v')} \"value\" from wc"),
         "q16_wavelet_top": _wavelet_sql(f", top as (select idx from (select idx, avg(abs(v)) s from wc group by 1) order by s desc, idx limit 5) select cycle_id, idx, {R('v')} \"value\" from wc join top using (idx)"),
         "q17_wavelet_uncertainty": f"with {EV}, m(idx, t, c) as (values {values((i + 1, j + 1, float(mat2[i, j])) for i in range(mat2.shape[0]) for j in range(T) if mat2[i, j] > 0)}) select cycle_id, idx::INT idx, {R('sqrt(sum(c * u * u))')} \"value\" from ev join m using (t) group by cycle_id, idx",
-        "q18_interval_errors": f"with {EV}, {_SSE} select i, j, {R('sse')} sse from sse",
+        "q18_interval_errors": f"with {EV}, {_SSE} select i, j, {R('ln(1 + sse)', 7)} log_sse from sse",
         "q19_breakpoints": f"with {EV}, {_SSE}, {_BEST3}, b1 as (select a.sse + b.sse err, a.j s1 from sse a join sse b on b.i = a.j where a.i = 1 and b.j = {T} order by err limit 1), b2 as (select a.sse + b.sse + c.sse err, a.j s1, b.j s2 from sse a join sse b on b.i = a.j join sse c on c.i = b.j where a.i = 1 and c.j = {T} order by err limit 1) select 1::INT q, {R('err')} error, s1::VARCHAR splits from b1 union all select 2, {R('err')}, s1 || ',' || s2 from b2 union all select 3, {R('err')}, s1 || ',' || s2 || ',' || s3 from b3",
         "q20_piece_features": _pieces_sql(_items(["mean", "slope"], "stat")),
         "q21_piece_statistics": _pieces_sql(_items(segments.EIGHT, "stat")),
