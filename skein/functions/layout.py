@@ -27,6 +27,11 @@ def unpack(packed: DataFrame, keys: tuple[str, ...] = ("cycle_id", "sensor"), ar
     return rows.select(*keys, (F.col("_k") + 1).alias(at), arrays[first], *rest)
 
 
+def with_shared_uncertainty(long: DataFrame, per_sample: DataFrame) -> DataFrame:
+    """``u`` from one row per sensor and sample (sensor, t, u) for all cycles: a table of the length of a cycle, so it is broadcast."""
+    return long.drop("u").join(F.broadcast(per_sample), ["sensor", "t"])
+
+
 def rounded(x: Column, digits: int = 6) -> Column:
     """Rounded, without a negative zero; null for what is not a finite number."""
     x = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None).cast("double")).otherwise(x)

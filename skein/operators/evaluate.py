@@ -74,3 +74,15 @@ def auc(curve: DataFrame) -> DataFrame:
     rows = curve.withColumn("_f", F.lag("fpr", 1, 0.0).over(w)).withColumn("_t", F.lag("tpr", 1, 0.0).over(w))
     area = F.sum((F.col("fpr") - F.col("_f")) * (F.col("tpr") + F.col("_t")) / 2)
     return rows.agg(area.alias("auc"), F.max_by("threshold", F.struct(F.col("tpr") - F.col("fpr"), F.col("threshold"))).alias("best_threshold"))
+
+
+def residuals(long: DataFrame, back: DataFrame, keys: tuple[str, ...] = ("cycle_id", "t")) -> DataFrame:
+    """(keys, e2): squared difference of samples and their approximation; samples that it lacks are left out."""
+    return long.join(back.withColumnRenamed("x", "_y"), list(keys)).select(*keys, F.pow(F.col("x") - F.col("_y"), 2).alias("e2"))
+
+
+def error_report(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``residuals``: (t, sse), (cycle_id, sse), and one row with the distribution over cycles and the worst of them."""
+    by_cycle = e.groupBy("cycle_id").agg(F.sum("e2").alias("sse"))
+    summary = by_cycle.agg(F.avg("sse").alias("mean"), F.skewness("sse").alias("skew"), (F.kurtosis("sse") + 3).alias("kurt"), F.max_by("cycle_id", F.struct("sse", -F.col("cycle_id"))).alias("worst"))
+    return e.groupBy("t").agg(F.sum("e2").alias("sse")), by_cycle, summary

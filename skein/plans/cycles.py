@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.layout import compact, pack, rounded, stacked, unpack
-from skein.operators import piecewise, resample, segments, select, spectrum, wavelet
+from skein.functions.layout import compact, pack, rounded, stacked, unpack, with_shared_uncertainty
+from skein.operators import evaluate, piecewise, resample, segments, select, spectrum, wavelet
 from skein.sources.tables import event_cycles, event_targets
 
 T, SEG = 40, 5
@@ -226,8 +226,24 @@ def q25_decimate(spark, d):
     return rows.select("cycle_id", (F.col("k") + 1).alias("t"), rounded(F.col("value")).alias("value"))
 
 
+def q65_error_report(spark, d):
+    """Squared error of the Fourier approximation by sample, and its distribution over cycles."""
+    z = spectrum.bins(packed(spark, d))
+    back = spectrum.reconstruct(spectrum.coefficients(z, spectrum.top_bins(z, 6)), T).drop("sensor")
+    by_t, _, summary = evaluate.error_report(evaluate.residuals(ev(spark, d).drop("sensor"), back))
+    one = summary.select(rounded(F.log1p("mean")).alias("log_mean"), rounded(F.col("skew")).alias("skew"), rounded(F.col("kurt")).alias("kurt"), "worst")
+    return by_t.select("t", rounded(F.log1p("sse")).alias("log_sse")).crossJoin(F.broadcast(one))
+
+
+def q66_shared_uncertainty(spark, d):
+    """Moments' uncertainty when one row of uncertainties holds for all cycles."""
+    table = spark.range(1, T + 1).select(F.lit("value").alias("sensor"), F.col("id").cast("int").alias("t"), (F.lit(0.01) * F.col("id")).alias("u"))
+    long = with_shared_uncertainty(ev(spark, d), table)
+    return _numbered(segments.propagated(segments.in_segments(long, segments.tumbling(T, SEG)), segments.MOMENTS, KEYS), segments.MOMENTS)
+
+
 TAPS = resample.low_pass(3, 2)
-NAMED = [q00_flagship_ranking, q01_cycle_scan, q02_pack_unpack, q03_segment_moments, q04_moments_uncertainty, q05_nine_statistics, q06_nine_uncertainties, q07_single_sided_spectrum, q08_frequency_segments, q09_whole_cycle_spectrum, q10_bin_ranking, q11_fourier_polar, q12_fourier_cartesian, q13_polar_uncertainty, q14_fourier_reconstruction, q15_wavelet_coefficients, q16_wavelet_top, q17_wavelet_uncertainty, q18_interval_errors, q19_breakpoints, q20_piece_features, q21_piece_statistics, q22_piece_uncertainty, q23_transitions, q24_auto_sections, q25_decimate]
+NAMED = [q00_flagship_ranking, q01_cycle_scan, q02_pack_unpack, q03_segment_moments, q04_moments_uncertainty, q05_nine_statistics, q06_nine_uncertainties, q07_single_sided_spectrum, q08_frequency_segments, q09_whole_cycle_spectrum, q10_bin_ranking, q11_fourier_polar, q12_fourier_cartesian, q13_polar_uncertainty, q14_fourier_reconstruction, q15_wavelet_coefficients, q16_wavelet_top, q17_wavelet_uncertainty, q18_interval_errors, q19_breakpoints, q20_piece_features, q21_piece_statistics, q22_piece_uncertainty, q23_transitions, q24_auto_sections, q25_decimate, q65_error_report, q66_shared_uncertainty]
 
 _DFT = f"dft as (select cycle_id, k, sum(x * cos(2*{PI}*k*(t-1)/{T}.0)) re, -sum(x * sin(2*{PI}*k*(t-1)/{T}.0)) im from ev, (select unnest(range(0, {T // 2}))::INT k) group by 1, 2)"
 _ONE = f"sp as (select cycle_id, k, sqrt(re*re + im*im) / {T}.0 * case when k in (0, {T // 2}) then 1 else 2 end v from (select cycle_id, k, sum(y * cos(2*{PI}*k*(t-1)/{T}.0)) re, -sum(y * sin(2*{PI}*k*(t-1)/{T}.0)) im from (select *, x - avg(x) over (partition by cycle_id) y from ev), (select unnest(range(0, {T // 2 + 1}))::INT k) group by 1, 2))"
@@ -301,5 +317,7 @@ select feature_idx, {R('score')} score, rank::INT rank from (select *, row_numbe
         "q21_piece_statistics": _pieces_sql(_items(segments.EIGHT, "stat")),
         "q22_piece_uncertainty": _pieces_sql(_items(["mean", "slope"], "sens")),
         "q23_transitions": f"with {EV}, mc as (select t::INT t, avg(x) m from ev group by 1), mm as (select t, m, max(m) over (order by t rows between 1 preceding and 1 following) mx from mc), b as (select *, (m > (select avg(m) from mc)) up from mm) select t, {R('m')} mean, {R('mx')} moving_max, coalesce(up and not lag(up) over (order by t), false) rising, coalesce(not up and lag(up) over (order by t), false) falling from b",
+        "q65_error_report": f"with {EV}, {_DFT}, {_TOP(6)}, back as (select cycle_id, t, sum(case when k = 0 then 1 else 2 end / {T}.0 * (re * cos(2*{PI}*k*(t-1)/{T}.0) - im * sin(2*{PI}*k*(t-1)/{T}.0))) y from dft join top using (k), (select unnest(range(1, {T + 1})) t) group by 1, 2), e as (select cycle_id, t, pow(x - y, 2) e from ev join back using (cycle_id, t)), c as (select cycle_id, sum(e) s from e group by 1), m as (select *, s - avg(s) over () d from c), w as (select {R('ln(1 + avg(s))')} log_mean, {R('avg(d*d*d) / pow(avg(d*d), 1.5)')} skew, {R('avg(d*d*d*d) / pow(avg(d*d), 2)')} kurt, (select cycle_id from c order by s desc, cycle_id limit 1) worst from m) select t::INT t, {R('ln(1 + sum(e))')} log_sse, any_value(log_mean) log_mean, any_value(skew) skew, any_value(kurt) kurt, any_value(worst) worst from e, w group by t",
+        "q66_shared_uncertainty": sens_sql(segments.MOMENTS, tumble).replace("0.01 * abs(x) + 0.001 u", "0.01 * t u"),
         "q25_decimate": f"with {EV}, p as (select cycle_id, list(x order by t) a from ev group by 1), k(j, c) as (select unnest(range(-{half}, {half + 1})), unnest([{taps}])), o as (select unnest(range(0, {-(-T // 3)})) i) select cycle_id, (i + 1)::INT t, {R('sum(c * case when 1 + 3*i - j between 1 and ' + str(T) + ' then a[1 + 3*i - j] else 0 end)')} \"value\" from p, k, o group by 1, 2",
     }

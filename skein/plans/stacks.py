@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.layout import pack
-from skein.operators import search
+from skein.operators import network, search
 from skein.operators.stack import PRESETS
-from skein.sources.tables import event_cycles, event_targets
+from skein.sources.tables import embedding_features, event_cycles, event_targets
 
 T = 40
 
@@ -40,7 +40,12 @@ def q64_stack_provenance(spark, d):
     return spark.createDataFrame(PRESETS["wavelet-pearson-lda"].fit(cycles(spark, d)).provenance(), "place int, sensor string, extractor string, name string").withColumn("stack", F.lit("wavelet-pearson-lda"))
 
 
-NAMED = [q61_stack, q62_uncertain_stack, q63_preset_leaderboard, q64_stack_provenance]
+def q67_perceptron(spark, d):
+    rows = embedding_features(spark, d).withColumn("features", F.slice("features", 1, 16))
+    return network.predict(*network.fit(rows), rows)
+
+
+NAMED = [q61_stack, q62_uncertain_stack, q63_preset_leaderboard, q64_stack_provenance, q67_perceptron]
 
 
 def oracle() -> dict[str, str]:
