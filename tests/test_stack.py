@@ -10,10 +10,10 @@ RNG = np.random.default_rng(4)
 def cycles(spark, n=60, length=24):
     rows = []
     for k in range(n):
-        c = k % 2
+        c, y = k % 2, float(2 * (k % 2) + RNG.normal(0, 0.1))
         for sensor, gain in (("a", 3.0), ("b", 0.0)):
             x = RNG.normal(0, 1, length) + gain * c * (np.arange(length) > 11)
-            rows.append((k, sensor, c, float(2 * c + x.mean()), [float(v) for v in x], [0.1] * length))
+            rows.append((k, sensor, c, y, [float(v) for v in x], [0.1] * length))
     return spark.createDataFrame(rows, "cycle_id long, sensor string, target int, y double, samples array<double>, u array<double>")
 
 
