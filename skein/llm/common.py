@@ -29,7 +29,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // 1_000_000))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

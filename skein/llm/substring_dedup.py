@@ -150,9 +150,10 @@ def _shards(rows: Iterator[tuple[int, bytes, int]], size: int) -> Iterator[tuple
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """(_doc, _hash, starts): for each text (by id and XXH64 of its bytes) the first words of the windows that also start in a text of a smaller id.
+    """(_doc, _hash, runs): for each text (by id and XXH64 of its bytes) the windows that also start in a text of a smaller id.
 
-    Ids are integers; a null id counts as the smallest.
+    A run (at, mask) stands for the windows that start at word ``at`` + k for each bit k of ``mask``. Ids are
+    integers; a null id counts as the smallest. A window has at most 64 words.
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("_doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
@@ -215,10 +216,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pack()
 
     lows = ordinary.repartition("anchor").sortWithinPartitions("anchor", "low", "piece").mapInArrow(match, "anchor long, piece binary, lows array<long>")
-    lows = lows.select("anchor", F.xxhash64("piece").alias("_piece"), F.length("piece").alias("_size"), "lows")
-    placed = found.select("_doc", "_hash", "at", "anchor", F.xxhash64("piece").alias("_piece"), F.length("piece").alias("_size"))
-    starts = F.transform(F.filter(F.transform("lows", lambda x, k: F.struct(x.alias("low"), k.alias("k"))), lambda x: x["low"] < F.col("_doc")), lambda x: x["k"] + F.col("at"))
-    hits = placed.join(lows, ["anchor", "_piece", "_size"]).select("_doc", "_hash", starts.alias("starts")).where(F.size("starts") > 0)
+    lows = lows.select("anchor", F.xxhash64("piece").alias("_piece"), "lows")
+    placed = found.select("_doc", "_hash", "at", "anchor", F.xxhash64("piece").alias("_piece"))
+    # A piece is named by 128 bits, its anchor's hash and its own; a set bit is a window that an earlier document has.
+    bits = F.transform("lows", lambda x, k: F.when(x < F.col("_doc"), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    mask = F.aggregate(bits, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
+    hits = placed.join(lows, ["anchor", "_piece"]).select("_doc", "_hash", "at", mask.alias("mask")).where("mask <> 0")
     if some:
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +233,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         of = found.join(large, "anchor", "left_semi").select("_doc", "_hash", "anchor", "at", "piece").mapInArrow(windows, "_doc long, _hash long, at int, window binary")
         least = of.groupBy("window").agg(F.min("_doc").alias("low"))
-        hits = hits.union(of.join(least, "window").where("low < _doc").select("_doc", "_hash", F.array("at").alias("starts")))
-    return hits.groupBy("_doc", "_hash").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+        hits = hits.union(of.join(least, "window").where("low < _doc").select("_doc", "_hash", "at", F.lit(1).cast("long").alias("mask")))
+    return hits.groupBy("_doc", "_hash").agg(F.collect_set(F.struct("at", "mask")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **settings) -> DataFrame:
@@ -248,10 +251,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, removed = [], [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2), strict=True):
+            for text, runs in zip(batch.column(1), batch.column(2), strict=True):
                 words = text.as_py().split()
                 cover = np.zeros(len(words) + 1, np.int64)
-                at = np.array(starts.as_py() or [], np.int64)
+                held = np.array([(r["at"], r["mask"]) for r in runs.as_py() or []], np.int64).reshape(-1, 2)
+                at = np.unique((held[:, :1] + np.arange(window))[held[:, 1:] >> np.arange(window) & 1 > 0])
                 cover[at] += 1
                 cover[at + window] -= 1
                 gone = np.cumsum(cover)[:-1] > 0
@@ -266,5 +270,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     kind = slim.schema["_id"].dataType.simpleString()
-    rows = slim.join(repeats, ["_doc", "_hash"], "left").select("_id", "_text", "starts")
+    rows = slim.join(repeats, ["_doc", "_hash"], "left").select("_id", "_text", "runs")
     return rows.mapInArrow(run, f"_id {kind}, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,last:int>>").withColumnRenamed("_id", id_col)
