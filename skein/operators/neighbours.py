@@ -54,6 +54,8 @@ def nearest(
 
         part = queries.select(*own).mapInPandas(run, "cycle_id long, kind string, other long, distance double, diff array<double>")
         found = part if found is None else found.union(part)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], "cycle_id long, kind string, other long, distance double, diff array<double>")
     best = Window.partitionBy("cycle_id", "kind").orderBy("distance", "other")
     return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 

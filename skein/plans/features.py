@@ -129,18 +129,18 @@ def q37_chi_squared(spark, d):
 
 
 def q38_svm_elimination(spark, d):
-    parts = subspace.moments(em(spark, d).withColumn("features", F.slice("features", 1, 8)), ("target",))
+    parts = subspace.moments(em(spark, d), ("target",))
     rows = []
-    for name, shift in (("plain", None), ("shifted", np.full(8, 0.01))):
-        rows += [(name, f + 1, k + 1) for k, f in enumerate(classify.recursive_elimination(parts, shift=shift))]
+    for name, shift in (("plain", None), ("shifted", np.full(D, 0.01))):
+        rows += [(name, f + 1, k + 1) for k, f in enumerate(classify.recursive_elimination(parts, 2, shift))]
     return spark.createDataFrame(rows, "variant string, feature_idx int, rank int")
 
 
 def q39_scatter(spark, d):
-    parts = subspace.moments(em(spark, d).withColumn("features", F.slice("features", 1, 8)), ("target",))
+    parts = subspace.moments(em(spark, d), ("target",))
     total = sum(list(parts.values())[1:], list(parts.values())[0])
     within = sum(m.scatter for m in parts.values())
-    rows = [(i + 1, j + 1, float(within[i, j]), float(total.scatter[i, j] - within[i, j])) for i in range(8) for j in range(8)]
+    rows = [(i + 1, j + 1, float(within[i, j]), float(total.scatter[i, j] - within[i, j])) for i in range(D) for j in range(D)]
     return spark.createDataFrame(rows, "i int, j int, w double, b double").select("i", "j", rounded(F.col("w")).alias("within"), rounded(F.col("b")).alias("between"))
 
 
@@ -214,7 +214,7 @@ def q46_folds(spark, d):
 
 
 def q47_out_of_fold(spark, d):
-    """Nearest class mean on eight features."""
+    """Nearest class mean."""
 
     def fit(train: DataFrame):
         parts = subspace.moments(train, ("target",))
@@ -223,8 +223,7 @@ def q47_out_of_fold(spark, d):
         near = matrix_udf(lambda x: ((x[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)[:, None].astype(float))
         return lambda rows: subspace._label(F.get(near(F.col("features")), F.lit(0)), [c[0] for c in names])
 
-    rows = folded(spark, d).withColumn("features", F.slice("features", 1, 8))
-    return search.out_of_fold(rows, fit).select("cycle_id", "fold", "target", "prediction")
+    return search.out_of_fold(folded(spark, d), fit).select("cycle_id", "fold", "target", "prediction")
 
 
 def _rank(scores: DataFrame) -> list[int]:
@@ -233,10 +232,10 @@ def _rank(scores: DataFrame) -> list[int]:
 
 def q48_feature_counts(spark, d):
     rank = _rank(select.pearson(select.long_features(em(spark, d))))
-    rows = [("lda", n, x) for n, x in search.classification_losses(folded(spark, d), rank, 20)]
+    rows = [("lda", n, x) for n, x in search.classification_losses(folded(spark, d), rank)]
     reg = evaluate.stratified_folds(_embedding_regression(spark, d), 5)
     rank = _rank(select.pearson(select.long_features(reg, keep=("cycle_id", "y")), "y"))
-    rows += [("pls", n, x) for n, x in search.regression_losses(reg, rank, 20)]
+    rows += [("pls", n, x) for n, x in search.regression_losses(reg, rank)]
     return spark.createDataFrame(rows, "model string, n int, loss double").select("model", "n", rounded(F.col("loss")).alias("loss"))
 
 
@@ -263,8 +262,9 @@ def q49_leaderboard(spark, d):
 
 
 def _novel_split(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = em(spark, d)
-    return rows.where("cycle_id % 2 = 0"), rows.where("cycle_id % 2 = 1")
+    """Rows of the classes that count as normal, to train on; and all rows, to score."""
+    rows = em(spark, d).withColumn("g", F.col("cycle_id") % 5)
+    return rows.where("target < 5"), rows
 
 
 def q50_knn_novelty(spark, d):
@@ -275,12 +275,12 @@ def q50_knn_novelty(spark, d):
 
 def q51_group_knn(spark, d):
     train, rest = _novel_split(spark, d)
-    scores, _ = neighbours.distance_novelty(train, rest, 3, group="target")
+    scores, _ = neighbours.distance_novelty(train, rest, 3, group="g")
     return scores.select("cycle_id", rounded(F.col("score")).alias("score"))
 
 
 def q52_novelty_models(spark, d):
-    train, rest = (x.withColumn("features", F.slice("features", 1, 8)) for x in _novel_split(spark, d))
+    train, rest = _novel_split(spark, d)
     gmm, one, auto = novelty.mixture(train, 3, 15), novelty.one_class(train), novelty.auto_encoder(subspace.moments(train)[()], 2)
     return rest.select("cycle_id", *[m.score(F.col("features")).alias(n) for n, m in (("mixture", gmm), ("one_class", one), ("auto_encoder", auto))])
 
@@ -329,7 +329,7 @@ def q56_sinc_energy(spark, d):
 
 def q57_monte_carlo(spark, d):
     """PCA score uncertainty in closed form beside a seeded simulation, and that of the crest factor."""
-    rows = em(spark, d).withColumn("features", F.slice("features", 1, 8)).withColumn("u", F.transform(F.slice("features", 1, 8), lambda x: F.abs(x) * 0.02 + 0.001)).where("cycle_id < 50")
+    rows = em(spark, d).withColumn("u", F.transform("features", lambda x: F.abs(x) * 0.02 + 0.001))
     p = subspace.pca(subspace.moments(rows)[()], 2)
     w, runs = p.vectors, 2000
 
@@ -426,7 +426,7 @@ sc as (select f feature_idx, sum(w * d) s from dd group by f)"""),
         "q37_chi_squared": f"""with {_LI}, l as (select c, unnest([q, p, d, t]) v, unnest(range(1, 5))::INT f from li), o as (select f, c, sum(v) o, count(*) n, sqrt(sum(pow(0.02 * abs(v) + 0.001, 2))) u from l group by 1, 2),
 e as (select *, n * sum(o) over (partition by f) / sum(n) over (partition by f) e from o)
 select f feature_idx, false by_uncertainty, {R('ln(1 + sum(pow(o - e, 2) / e))')} log_score from e group by f union all select f, true, {R('ln(1 + sum(pow((o - e) / u, 2) / e))')} from e group by f""",
-        "q39_scatter": f"""with {_FEAT}, p as (select a.f i, b.f j, a.y, a.v x, b.v w from em a join em b on a.id = b.id where a.f <= 8 and b.f <= 8),
+        "q39_scatter": f"""with {_FEAT}, p as (select a.f i, b.f j, a.y, a.v x, b.v w from em a join em b on a.id = b.id),
 c as (select i, j, y, covar_pop(x, w) * count(*) s from p group by 1, 2, 3), t as (select i, j, covar_pop(x, w) * count(*) s from p group by 1, 2)
 select i, j, {R('sum(c.s)')} within, {R('max(t.s) - sum(c.s)')} between from c join t using (i, j) group by 1, 2""".replace(" within,", ' "within",').replace(" between from", ' "between" from'),
         "q40_fisher": _fisher(f"select c target, {fisher_pred} prediction, count(*) n from s group by 1, 2"),
@@ -441,12 +441,12 @@ select {R('100.0 * avg((pr <> c)::INT)')} error_percent, {R('ln(1 + sqrt(avg(pow
 (select {R('avg(x)')} from (select 1 - abs(corr(rp, ry)) x from r group by c)) spearman_loss from l""",
         "q46_folds": "select vec_id cycle_id, ((row_number() over (partition by label order by (vec_id * 7919) % 10007, vec_id) - 1) % 10)::INT stratified, (dense_rank() over (order by vec_id % 5))::INT group_fold from embeddings",
         "q47_out_of_fold": f"""with {_FEAT}, fo as (select vec_id id, ((row_number() over (partition by label order by (vec_id * 7919) % 10007, vec_id) - 1) % 5)::INT fold from embeddings),
-e as (select id, y, f, v, fold from em join fo using (id) where f <= 8), me as (select x.k fold, y c, f, avg(v) m from e, (select unnest(range(0, 5)) k) x where e.fold <> x.k group by 1, 2, 3),
+e as (select id, y, f, v, fold from em join fo using (id)), me as (select x.k fold, y c, f, avg(v) m from e, (select unnest(range(0, 5)) k) x where e.fold <> x.k group by 1, 2, 3),
 di as (select id, e.fold, y, c, sum(pow(v - m, 2)) d from e join me on me.fold = e.fold and me.f = e.f group by 1, 2, 3, 4)
 select id cycle_id, fold, y target, arg_min(c, d) prediction from di group by 1, 2, 3""",
-        "q50_knn_novelty": f"""with {_ARR}, s as (select id, sum(d) s from ({nn(5, 'q.id % 2 = 1', 'r.id % 2 = 0')}) where n <= 5 group by id), th as (select 2 * avg(s) t from (select id, sum(d) s from ({nn(6, 'q.id % 2 = 0', 'r.id % 2 = 0')}) where n <= 6 group by id))
+        "q50_knn_novelty": f"""with {_ARR}, s as (select id, sum(d) s from ({nn(5, 'true', 'r.y < 5')}) where n <= 5 group by id), th as (select 2 * avg(s) t from (select id, sum(d) s from ({nn(6, 'q.y < 5', 'r.y < 5')}) where n <= 6 group by id))
 select id cycle_id, {R('s')} score, {R('t')} threshold, s > t is_novel from s, th""",
-        "q51_group_knn": f"with {_ARR} select id cycle_id, {R('sum(d)')} score from ({nn(3, 'q.id % 2 = 1', 'r.id % 2 = 0', 'q.y = r.y')}) where n <= 3 group by id",
+        "q51_group_knn": f"with {_ARR} select id cycle_id, {R('sum(d)')} score from ({nn(3, 'true', 'r.y < 5', 'q.id % 5 = r.id % 5')}) where n <= 3 group by id",
         "q53_histogram": f"with {_LI}, s as (select q + d * 100 s, c = 'R' positive from li), e as (select min(s) a, max(s) b from s) select least(50, floor((s - a) * 50 / (b - a))::INT + 1)::INT bin, positive, count(*) n from s, e group by 1, 2",
         "q53b_auc": f"""with {_LI}, s as (select q + d * 100 s, (c = 'R') p from li), g as (select s, sum(p::INT) p, sum((not p)::INT) n from s group by s),
 r as (select s, sum(n) over w / sum(n) over () f, sum(p) over w / sum(p) over () t from g window w as (order by s desc)), l as (select *, lag(f, 1, 0.0) over (order by s desc) f0, lag(t, 1, 0.0) over (order by s desc) t0 from r)
