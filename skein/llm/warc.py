@@ -42,7 +42,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         payload.alias("payload"),
     ).select("page_id", "url", "payload", F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"), F.length("payload").cast("long").alias("n_bytes"))
     key = ["sha256", "sha1", "n_bytes"]
-    rows.groupBy(*key).agg(F.min("page_id").alias("first_id"), F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    rows.groupBy(*key).agg(F.min("page_id").alias("first_id"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     firsts = pages.sparkSession.read.parquet(f"{path}/payloads").select(*key, "first_id")
     revisit = (F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -58,7 +58,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         line("Content-Type", F.lit("text/html")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string"))),
     )
-    rows.drop("payload").join(firsts, key).select("page_id", "sha256", "sha1", header.alias("header")).write.parquet(f"{path}/headers")
+    rows.drop("payload").join(firsts, key).select("page_id", "sha256", "sha1", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def _field(name: str, pattern: str) -> Column:
