@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """``df``, after lowering the session's bounds of Arrow batches: texts of hundreds of kilobytes in the usual 10,000 rows would fill a worker."""
+    conf = df.sparkSession.conf
+    held = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < held <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character kept; null becomes the empty string."""
     text = F.coalesce(text, F.lit(""))

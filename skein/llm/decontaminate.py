@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each pass over about four megabytes of training text is a shard: its words that the benchmark also has are
+Each pass over about two megabytes of training text is a shard: its words that the benchmark also has are
 numbered, their suffixes sorted by prefix doubling, and every benchmark suffix is binary-searched in the sorted
 suffixes. A word that the benchmark lacks ends every match, so suffixes that start with one are left out.
 """
@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import byte_weights, passes, spans, word_hashes
+from skein.llm.common import bounded_batches, byte_weights, passes, spans, word_hashes
 
 WINDOW = 10
 #: Words of benchmark text that are searched together, and so broadcast; a larger benchmark is searched in blocks.
 BLOCK_WORDS = 2_000_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -208,7 +208,7 @@ def contamination(
                         ["_id", "n_words", "spans", "items", "longest"],
                     )
 
-        return slim.mapInArrow(run, _spans_schema(id_type))
+        return bounded_batches(slim).mapInArrow(run, _spans_schema(id_type))
 
     each = [found(b) for b in _blocks(benchmark, item_col, text_col, window, block_words)] or [found(None)]
     out = each[0]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import bounded_batches, written
 from skein.llm.components import components
 
 MAX_BITS = 2
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["_id", "fp"])
 
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
+    return bounded_batches(slim).mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
 
 
 @lru_cache(1)

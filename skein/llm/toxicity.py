@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import bounded_batches, written
 
 #: Labelled rows of each class that the lexicon and the weights are learnt from (those with the smallest hashes of their ids).
 SAMPLE_ROWS = 3000
@@ -260,7 +260,7 @@ def _each(docs: DataFrame, model: ToxicityModel, text_col: str, keep_below: floa
             else:
                 yield batch.filter(pa.array(scores < keep_below))
 
-    return slim.mapInArrow(run, schema)
+    return bounded_batches(slim).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
