@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -15,11 +15,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import bounded_batches
+
 #: Entries of each memo of a Python worker; a full memo starts anew, so memory stays bounded on any input.
-MEMO = 250_000
+MEMO = 200_000
 
 #: Bytes of text that are looked up and merged together.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 #: Longer pre-tokens (in bytes) have a queue of their own; shorter ones share one.
 LONG = 192
 #: White space other than blank and line end (Unicode White_Space and the separators 1C to 1F).
@@ -81,18 +83,27 @@ class Bpe:
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.unit = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pieces = regex.compile(pattern).findall
-        merges = sorted((ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
-        self.pairs = np.array([x for x, _ in merges], np.int64)
-        self.pair_ranks = np.array([r for _, r in merges], np.int64)
-        self.pair_rank = dict(merges)
         self.tokens: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def pair_rank(self) -> dict[int, int]:
+        """Ranks of all merges by the packed ids of their two tokens. Only encoding needs it."""
+        ranks = self.ranks
+        return {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+
+    @cached_property
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.fromiter(self.pair_rank.keys(), np.int64, len(self.pair_rank))
+        order = np.argsort(pairs)
+        return pairs[order], np.fromiter(self.pair_rank.values(), np.int64, len(pairs))[order]
+
     def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of the merges of token pairs, -1 for pairs without."""
+        pairs, ranks = self.pair_table
         key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.pair_ranks[at], -1)
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where(pairs[at] == key, ranks[at], -1)
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens. Characters that the public encoder doesn't know are cut as a private one, neither letter nor number."""
@@ -294,7 +305,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns[: len(rest)], ids], [*rest, out_col])
 
-    return slim.mapInArrow(run, schema)
+    return bounded_batches(slim).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -314,4 +325,4 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
                 texts = [bpe.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*rest, out_col])
 
-    return tokens.select(*rest).mapInArrow(run, schema)
+    return bounded_batches(tokens.select(*rest)).mapInArrow(run, schema)
