@@ -149,6 +149,22 @@ def _shards(rows: Iterator[tuple[int, bytes, int]], size: int) -> Iterator[tuple
         yield from ended()
 
 
+def _bitmap(hashes: DataFrame, column: str, most_bits: int) -> np.ndarray:
+    """The low bits of all hashes as marks in a bitmap of 16 bits a row, at most ``most_bits``. Built by Spark, a word of it a row."""
+    bits = min(most_bits, 1 << max(16, (16 * hashes.count()).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit(bits - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    cells = hashes.groupBy(F.shiftright(place, 6).cast("int").alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & (len(table) * 64 - 1)
+    return (table[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(_doc, _hash, runs): for each text (by id and XXH64 of its bytes) the windows that also start in a text of a smaller id.
 
@@ -171,21 +187,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     seen = slim.mapInArrow(anchors, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = written(seen.where("low < high").select("anchor"), "anchors")
-    bits = min(filter_bits, 1 << max(16, (16 * shared.count()).bit_length()))
-    place = F.col("anchor").bitwiseAND(F.lit(bits - 1).cast("long"))
-    cells = shared.groupBy(F.shiftright(place, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(anchor & 63 as int))")).alias("bits")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    filter_ = spark.sparkContext.broadcast(table.view(np.uint64))
+    filter_ = spark.sparkContext.broadcast(_bitmap(shared, "anchor", filter_bits))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filter_.value
-        mask = len(table) * 64 - 1
         for batch in batches:
             for start, stop, data, offsets in passes(batch, "_text"):
                 own, doc, at, counts, starts, ends, first = _anchors(data, offsets, window)
-                place = own & mask
-                hit = np.flatnonzero(table[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1))
+                hit = np.flatnonzero(_marked(table, own))
                 own, doc, at, counts = own[hit], doc[hit], at[hit], counts[hit]
                 raw = data.tobytes()
                 a, b = starts[first[doc] + at], ends[first[doc] + at + counts + window - 2]
@@ -244,31 +253,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input. Words are runs without ASCII white space, unchanged. Null texts have no words; texts
     of fewer than ``window`` words keep all; rows that repeat an id are judged alike, never against each other.
     """
-    repeats = repeated_windows(docs, id_col, text_col, window, **settings)
+    repeats = written(repeated_windows(docs, id_col, text_col, window, **settings), "repeats")
+    filter_ = docs.sparkSession.sparkContext.broadcast(_bitmap(repeats.select("_hash"), "_hash", settings.get("filter_bits", FILTER_BITS)))
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
     slim = slim.select("_id", "_text", F.coalesce(F.col("_id").cast("long"), F.lit(_NONE)).alias("_doc"), F.xxhash64("_text").alias("_hash"))
+    kind = slim.schema["_id"].dataType.simpleString()
+    names = ["_id", "n_words", "n_removed", "kept_text", "removed"]
+    schema = f"_id {kind}, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,last:int>>"
+
+    def result(ids: pa.Array, texts: pa.Array, runs: list) -> pa.RecordBatch:
+        n_words, n_removed, kept, removed = [], [], [], []
+        for text, held in zip(texts, runs, strict=True):
+            words = text.as_py().split()
+            n_words.append(len(words))
+            if not held:
+                n_removed.append(0)
+                kept.append(b" ".join(words))
+                removed.append([])
+                continue
+            marks = np.array([(r["at"], r["mask"]) for r in held], np.int64)
+            at = np.unique((marks[:, :1] + np.arange(window))[marks[:, 1:] >> np.arange(window) & 1 > 0])
+            cover = np.zeros(len(words) + 1, np.int64)
+            cover[at] += 1
+            cover[at + window] -= 1
+            gone = np.cumsum(cover)[:-1] > 0
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            n_removed.append(int(gone.sum()))
+            kept.append(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]))
+            removed.append([{"first": a, "last": b - 1} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
+        spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, spans_type)], names)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~_marked(filter_.value, batch.column(3).to_numpy())))
+            yield result(batch.column(0), batch.column(1), [None] * batch.num_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept, removed = [], [], [], []
-            for text, runs in zip(batch.column(1), batch.column(2), strict=True):
-                words = text.as_py().split()
-                cover = np.zeros(len(words) + 1, np.int64)
-                held = np.array([(r["at"], r["mask"]) for r in runs.as_py() or []], np.int64).reshape(-1, 2)
-                at = np.unique((held[:, :1] + np.arange(window))[held[:, 1:] >> np.arange(window) & 1 > 0])
-                cover[at] += 1
-                cover[at + window] -= 1
-                gone = np.cumsum(cover)[:-1] > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                kept.append(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]) if len(at) else b" ".join(words))
-                removed.append([{"first": a, "last": b - 1} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
-                ["_id", "n_words", "n_removed", "kept_text", "removed"],
-            )
+            yield batch.filter(pa.array(_marked(filter_.value, batch.column(3).to_numpy())))
 
-    kind = slim.schema["_id"].dataType.simpleString()
-    rows = slim.join(repeats, ["_doc", "_hash"], "left").select("_id", "_text", "runs")
-    return rows.mapInArrow(run, f"_id {kind}, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,last:int>>").withColumnRenamed("_id", id_col)
+    def removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield result(batch.column(0), batch.column(1), batch.column(2).to_pylist())
+
+    # Texts without repeats need not meet the table of repeats: only those that a bounded filter can't rule out are shuffled.
+    rows = slim.mapInArrow(touched, f"_id {kind}, _text binary, _doc long, _hash long").join(repeats, ["_doc", "_hash"], "left").select("_id", "_text", "runs")
+    return slim.mapInArrow(untouched, schema).union(rows.mapInArrow(removing, schema)).withColumnRenamed("_id", id_col)
