@@ -8,15 +8,16 @@ suffixes. A word that the benchmark lacks ends every match, so suffixes that sta
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, byte_weights, passes, spans, word_hashes
+from skein.llm.common import bounded_batches, byte_weights, passes, spans, word_hashes, written
 
 WINDOW = 10
 #: Words of benchmark text that are searched together, and so broadcast; a larger benchmark is searched in blocks.
@@ -28,6 +29,8 @@ _FOLD[65:91] += 32
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _WEIGHTS = byte_weights(4)
+_SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+_RUN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("stop", pa.int32())])
 
 
 @dataclass
@@ -158,6 +161,33 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
         yield block
 
 
+def _runs_schema(id_type: str) -> str:
+    return f"_row long, _id {id_type}, n_words long, runs array<struct<first:int,last:int,stop:int>>, items array<string>"
+
+
+def _runs(found: Iterable[tuple[int, int, int]]) -> list[dict]:
+    """Matches (first start, last start, end) in the order of their starts, those at consecutive words joined."""
+    out: list[dict] = []
+    for first, last, stop in found:
+        if out and first <= out[-1]["last"] + 1:
+            out[-1] = {"first": out[-1]["first"], "last": max(last, out[-1]["last"]), "stop": max(stop, out[-1]["stop"])}
+        else:
+            out.append({"first": first, "last": last, "stop": stop})
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of all blocks to spans and the longest run."""
+    for batch in batches:
+        rows, most = [], []
+        for found in batch.column(2).to_pylist():
+            runs = _runs(sorted((x["first"], x["last"], x["stop"]) for x in found))
+            ends = np.array([[x["first"], x["stop"]] for x in runs], np.int64).reshape(-1, 2)
+            rows.append([{"first": x, "last": y - 1} for x, y in _merge(ends[:, 0], ends[:, 1])])
+            most.append(max((x["stop"] - x["first"] for x in runs), default=0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(_SPAN)), batch.column(3), pa.array(most, pa.int32())], ["_id", "n_words", "spans", "items", "longest"])
+
+
 def _spans_schema(id_type: str) -> str:
     return f"_id {id_type}, n_words long, spans array<struct<first:int,last:int>>, items array<string>, longest int"
 
@@ -170,13 +200,14 @@ def contamination(
     Words are runs of characters other than the ASCII ones that are neither letters nor digits, A-Z lower-cased.
     A window is ``window`` consecutive words of an item, or a shorter item whole. Null and empty texts have no
     words; items without words, or an empty benchmark, match nothing; equal item ids are one item; equal windows
-    of several items count for each of them. Rows that repeat an id are rows of their own if the benchmark fits
-    one block of ``block_words``, which is what is broadcast; a larger one is searched block by block.
+    of several items count for each of them. Rows that repeat an id, or have none, are rows of their own. A block of
+    ``block_words`` is what is broadcast; a larger benchmark is searched block by block over numbered rows, with the
+    same result.
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     id_type = slim.schema["_id"].dataType.simpleString()
 
-    def found(block: Block | None) -> DataFrame:
+    def searched(block: Block | None, numbered: bool = False) -> Callable:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,43 +225,39 @@ def contamination(
                     cuts = np.flatnonzero(np.diff(own, prepend=-1))
                     for a, b in zip(cuts, np.append(cuts[1:], len(own))[: len(cuts)], strict=True):
                         d = own[a]
-                        rows[d] = [{"first": x, "last": y - 1} for x, y in _merge(where[a:b], where[a:b] + block.lengths[windows[a:b]])]
+                        stops = where[a:b] + block.lengths[windows[a:b]]
+                        if numbered:
+                            rows[d] = _runs(zip(where[a:b].tolist(), where[a:b].tolist(), stops.tolist(), strict=True))
+                        else:
+                            rows[d] = [{"first": x, "last": y - 1} for x, y in _merge(where[a:b], stops)]
                         items[d] = sorted({block.names[i] for w in set(windows[a:b].tolist()) for i in block.items[block.first[w] : block.first[w + 1]]})
                         most[d] = longest[a:b].max()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(start, stop - start),
-                            pa.array(n_words, pa.int64()),
-                            pa.array(rows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
-                            pa.array(items, pa.list_(pa.string())),
-                            pa.array(most),
-                        ],
-                        ["_id", "n_words", "spans", "items", "longest"],
-                    )
-
-        return bounded_batches(slim).mapInArrow(run, _spans_schema(id_type))
-
-    each = [found(b) for b in _blocks(benchmark, item_col, text_col, window, block_words)] or [found(None)]
-    out = each[0]
-    if len(each) > 1:
-        for more in each[1:]:
-            out = out.union(more)
-        out = out.groupBy("_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.max("longest").alias("longest"),
-        )
-        empty = F.expr("cast(array() as array<struct<first:int,last:int>>)")
-
-        def joined(held, x):
-            last = F.element_at(held, -1)
-            meets = (F.size(held) > 0) & (x["first"] <= last["last"] + 1)
-            longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))
-            return F.when(meets, F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(longer))).otherwise(F.concat(held, F.array(x)))
-
-        out = out.withColumn("spans", F.when(F.size("spans") == 0, empty).otherwise(F.aggregate("spans", empty, joined)))
-    return out.withColumnRenamed("_id", id_col)
+                    same = [batch.column(0).slice(start, stop - start), pa.array(n_words, pa.int64())]
+                    names = pa.array(items, pa.list_(pa.string()))
+                    if numbered:
+                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(start, stop - start), *same, pa.array(rows, pa.list_(_RUN)), names], ["_row", "_id", "n_words", "runs", "items"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(rows, pa.list_(_SPAN)), names, pa.array(most)], ["_id", "n_words", "spans", "items", "longest"])
+
+        return run
+
+    blocks = _blocks(benchmark, item_col, text_col, window, block_words)
+    one, more = next(blocks, None), next(blocks, None)
+    if more is None:
+        return bounded_batches(slim).mapInArrow(searched(one), _spans_schema(id_type)).withColumnRenamed("_id", id_col)
+    # Written once, so that a row has the same number for every block.
+    rows = bounded_batches(written(slim.withColumn("_row", F.monotonically_increasing_id()), "benchmark-rows"))
+    each = None
+    for block in chain((one, more), blocks):
+        part = rows.mapInArrow(searched(block, True), _runs_schema(id_type))
+        each = part if each is None else each.union(part)
+    out = each.groupBy("_row").agg(
+        F.first("_id").alias("_id"),
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("runs")).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return out.select("_id", "n_words", "runs", "items").mapInArrow(_joined, _spans_schema(id_type)).withColumnRenamed("_id", id_col)
 
 
 def n_hit(spans_col: str = "spans"):

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import jaccard, queries
+from skein.llm import decontaminate, jaccard, queries
 from skein.llm.simhash import fingerprint, shingle_hashes
-from tests.llm.test_operators import EDGE, docs
+from tests.llm.test_operators import EDGE, brute_contamination, docs, rows_of
 
 RND = random.Random(11)
 
@@ -75,3 +75,22 @@ def test_pipeline_stage_leaves_no_near_copy(spark, data):
     left = {r.doc_id for r in p.drop_near_copies(spark, table, data).collect()}
     assert left == set(want.values()) and len(near) > 0
     assert not [x for x in near if set(x) <= left]
+
+
+# 4
+
+
+def test_rows_that_share_an_id_keep_their_own_result_for_every_benchmark_size(spark):
+    items = [(k, distinct_text(14)) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = [t.split() for _, t in items]
+    texts = [f"{distinct_text(5)} {items[0][1]}", f"{items[1][1]} x {items[2][1]}", distinct_text(40), items[3][1], None, items[4][1], " ".join(words[0][:10] + words[5]), "", items[0][1]]
+    # A match that goes on from one item into another of another block is one match.
+    bench = bench.union(spark.createDataFrame([(9, " ".join(words[0][5:] + words[5][:5]))], bench.schema))
+    items.append((9, " ".join(words[0][5:] + words[5][:5])))
+    texts.append(" ".join(words[0] + words[5]))
+    table = docs(spark, texts, [7, 7, 7, None, None, None, 1, 2, 7, 3])
+    got = {n: rows_of(decontaminate.contamination(table, bench, block_words=n).withColumn("n", decontaminate.n_hit())) for n in (10**6, 30)}
+    assert got[30] == got[10**6] and len(got[30]) == len(texts)
+    seen = [(r[1], r[5], list(r[3])) for r in got[30]]
+    assert sorted(seen) == sorted(brute_contamination(t, items) for t in texts)
