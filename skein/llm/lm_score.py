@@ -1,4 +1,8 @@
-"""Cross-entropy difference: matched trigram models of a target and a background corpus over one character vocabulary."""
+"""Cross-entropy difference: matched trigram models of a target and a background corpus over one vocabulary.
+
+Tokens are words (``word_model``, ``word_cross_entropy``: keyed tables that grow with the corpora and are joined) or
+characters (``model``, ``cross_entropy``).
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import bounded_batches, byte_weights, passes, spans, word_hashes, written
 
 #: Strength of the next shorter model in each interpolation (Dirichlet prior counts).
 PRIOR_COUNT = 2.0
@@ -19,6 +23,15 @@ PASS_CHARS = 1 << 19
 #: A token is a character or a text's end; two marks stand before each text and one after it. Code points are below 2**21.
 MARK = 0x1FFFFF
 _DENSE = 1 << 23
+#: Bits that a trigram costs which the model lacks.
+UNKNOWN = 24.0
+#: Words are runs of bytes that are not white space, A-Z lower-cased, by a 64-bit hash; this one stands for a text's bounds.
+WORD_MARK = 0x6A09E667F3BCC908
+_WEIGHTS = byte_weights(10)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
 
 
 def _passes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -142,3 +155,79 @@ def cross_entropy(docs: DataFrame, losses: DataFrame, id_col: str = "doc_id", te
             F.sum("n").alias("n_tokens"), mean(F.col("target")).alias("target_ce"), mean(F.col("background")).alias("background_ce")
         ).drop("_row")
     return out.withColumn("score", F.col("target_ce") - F.col("background_ce")).withColumnRenamed("_id", id_col)
+
+
+def _word_trigrams(batch: pa.RecordBatch, by_row: bool) -> Iterator[tuple[np.ndarray | None, list[np.ndarray], np.ndarray]]:
+    """Per pass the distinct word trigrams, of each row or of all: (row or None, [a, b, c], count). A row of n words has n + 1."""
+    for first_row, _, data, offsets in passes(batch, "_text"):
+        folded = _FOLD[data]
+        starts, ends, first = spans(folded, offsets, _INSIDE)
+        n, rows = np.diff(first), np.arange(len(first) - 1)
+        codes = np.full(len(starts) + 3 * len(rows), WORD_MARK, np.int64)
+        codes[np.arange(len(starts)) + 3 * np.repeat(rows, n) + 2] = word_hashes(folded, starts, ends, _WEIGHTS).view(np.int64)
+        inside = np.ones(len(codes), bool)
+        heads = first[:-1] + 3 * rows
+        inside[np.concatenate([heads, heads + 1])] = False
+        last = np.flatnonzero(inside)
+        words, dense = np.unique(codes, return_inverse=True)
+        dense, size = dense.astype(np.int64), len(words)
+        distinct, at = np.unique((dense[last - 2] * size + dense[last - 1]) * size + dense[last], return_inverse=True)
+        of = None
+        if by_row:
+            pairs, count = np.unique(np.repeat(rows, n + 1) * len(distinct) + at, return_counts=True)
+            of, distinct = pairs // len(distinct) + first_row, distinct[pairs % len(distinct)]
+        else:
+            count = np.bincount(at, minlength=len(distinct))
+        yield of, [words[distinct // size**2], words[distinct // size % size], words[distinct % size]], count
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b, c, n) of the word trigrams of all whole texts, summed by pass only. Null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, words, n in _word_trigrams(batch, False):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(n)], ["a", "b", "c", "n"])
+
+    return bounded_batches(docs.select(F.col(text_col).alias("_text"))).mapInArrow(run, "a long, b long, c long, n long")
+
+
+def word_model(target: DataFrame, background: DataFrame, text_col: str = "text", prior: float = PRIOR_COUNT) -> DataFrame:
+    """(key, target, background) as ``model`` gives, of word trigrams; ``key`` is a hash of the three words. All tables are keyed and joined, whatever their size."""
+    none = F.lit(0).cast("long")
+    both = word_counts(target, text_col).select("a", "b", "c", F.col("n").alias("t"), none.alias("b_")).union(word_counts(background, text_col).select("a", "b", "c", none, "n"))
+    grams = written(both.groupBy("a", "b", "c").agg(F.sum("t").alias("t"), F.sum("b_").alias("g")), "word-trigrams")
+    sums = lambda of, name, *by: of.groupBy(*by).agg(F.sum("t").alias(f"t{name}"), F.sum("g").alias(f"g{name}"))
+    pairs = written(grams.groupBy("b", "c").agg(F.sum("t").alias("t"), F.sum("g").alias("g")), "word-pairs")
+    tokens = written(sums(pairs, "1", "c"), "words")
+    size, n_t, n_g = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("t1"), F.lit(0)), F.coalesce(F.sum("g1"), F.lit(0))).first()
+
+    def two(k: str, n: int) -> Column:
+        one = (F.col(f"{k}1") + 1.0) / F.lit(float(n + size + 1))
+        return (F.col(k) + prior * one) / (F.col(f"{k}1c") + prior)
+
+    shorter = pairs.join(tokens, "c").join(sums(pairs, "1c", "b"), "b").select("b", "c", two("t", n_t).alias("t2"), two("g", n_g).alias("g2"))
+    loss = lambda k: -F.log2((F.col(k) + prior * F.col(f"{k}2")) / (F.col(f"{k}2c") + prior))
+    table = grams.join(shorter, ["b", "c"]).join(sums(grams, "2c", "a", "b"), ["a", "b"])
+    return table.select(F.xxhash64("a", "b", "c").alias("key"), loss("t").alias("target"), loss("g").alias("background"))
+
+
+def word_cross_entropy(docs: DataFrame, losses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``cross_entropy``, of word trigrams: each row's counted trigrams are joined with ``losses`` by key, at every size.
+
+    One row per row of ``docs``, also where ids are null or repeated. Null and blank texts are one token, the end.
+    """
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = slim.schema["_id"].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, words, n in _word_trigrams(batch, True):
+                pick = pa.array(of)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(2).take(pick), *map(pa.array, words), pa.array(n)], ["_id", "_row", "a", "b", "c", "n"])
+
+    rows = bounded_batches(slim.select("_id", "_text", F.monotonically_increasing_id().alias("_row"))).mapInArrow(counted, f"_id {kind}, _row long, a long, b long, c long, n long")
+    keyed = rows.select("_id", "_row", F.xxhash64("a", "b", "c").alias("key"), F.col("n").cast("int").alias("n"))
+    mean = lambda c: F.sum(F.col("n") * F.coalesce(c, F.lit(UNKNOWN))) / F.sum("n")
+    out = keyed.join(losses, "key", "left").groupBy("_row", "_id").agg(F.sum("n").alias("n_tokens"), mean(F.col("target")).alias("target_ce"), mean(F.col("background")).alias("background_ce"))
+    return out.drop("_row").withColumn("score", F.col("target_ce") - F.col("background_ce")).withColumnRenamed("_id", id_col)

@@ -6,9 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from skein.llm import decontaminate, jaccard, queries
+from skein.llm import decontaminate, jaccard, lm_score, queries
 from skein.llm.simhash import fingerprint, shingle_hashes
 from tests.llm.test_operators import EDGE, brute_contamination, docs, rows_of
 
@@ -94,3 +92,42 @@ def test_rows_that_share_an_id_keep_their_own_result_for_every_benchmark_size(sp
     assert got[30] == got[10**6] and len(got[30]) == len(texts)
     seen = [(r[1], r[5], list(r[3])) for r in got[30]]
     assert sorted(seen) == sorted(brute_contamination(t, items) for t in texts)
+
+
+# 10
+
+
+def word_grams(t):
+    words = [None, None, *(t or "").translate({c: c + 32 for c in range(65, 91)}).split(), None]
+    return list(zip(words, words[1:], words[2:], strict=False))
+
+
+def test_word_cross_entropy_equals_brute_force(spark):
+    texts = ["salt and iron Salt and stone", "salt and iron", None, "", "iron and salt é", "salt and iron", "中文 ab", "and salt iron"]
+    table = docs(spark, texts, [0, 1, 2, 3, 4, 4, None, 7])
+    counts = []
+    for corpus in (texts[:2], texts):
+        c = defaultdict(int)
+        for g in (g for t in corpus for g in word_grams(t)):
+            c[g] += 1
+        counts.append(c)
+    size = len({g[2] for g in counts[1]})
+
+    def loss(c, g):
+        s = lambda test: sum(n for x, n in c.items() if test(x))
+        one = (s(lambda x: x[2] == g[2]) + 1) / (sum(c.values()) + size + 1)
+        two = (s(lambda x: x[1:] == g[1:]) + 2 * one) / (s(lambda x: x[1] == g[1]) + 2)
+        return -np.log2((c[g] + 2 * two) / (s(lambda x: x[:2] == g[:2]) + 2))
+
+    got = lm_score.word_cross_entropy(table, lm_score.word_model(table.where("doc_id < 2"), table)).collect()
+    want = sorted((len(word_grams(t)), *[float(np.mean([loss(c, g) for g in word_grams(t)])) for c in counts]) for t in texts)
+    assert np.allclose(sorted((r.n_tokens, r.target_ce, r.background_ce) for r in got), want)
+    assert lm_score.word_cross_entropy(table.limit(0), lm_score.word_model(table, table)).count() == 0
+    assert lm_score.word_cross_entropy(table, lm_score.word_model(table.limit(0), table.limit(0))).count() == len(texts)
+
+
+def test_op10_tells_phrases_apart(spark, data):
+    """The query's tokens are words, so its model grows with the words of the documents."""
+    texts = {r.doc_id: r.text for r in queries.table(spark, data, "documents").collect()}
+    got = {r.doc_id: r.n_tokens for r in queries.op10_lm_score(spark, data).collect()}
+    assert got == {i: len(shingle_hashes((t or "").encode(), 1)) + 1 for i, t in texts.items()}
