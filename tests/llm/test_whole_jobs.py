@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
+import hashlib
 import random
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from skein.llm import decontaminate, jaccard, lm_score, queries
 from skein.llm.simhash import fingerprint, shingle_hashes
 from tests.llm.test_operators import EDGE, brute_contamination, docs, rows_of
@@ -131,3 +133,16 @@ def test_op10_tells_phrases_apart(spark, data):
     texts = {r.doc_id: r.text for r in queries.table(spark, data, "documents").collect()}
     got = {r.doc_id: r.n_tokens for r in queries.op10_lm_score(spark, data).collect()}
     assert got == {i: len(shingle_hashes((t or "").encode(), 1)) + 1 for i, t in texts.items()}
+
+
+# pipeline: tokens
+
+
+def test_last_stage_states_the_round_trip(spark, data):
+    import corpus_pipeline as p
+
+    texts = [*EDGE, "don't  I'll\n\nx 中😀"]
+    table = docs(spark, texts).withColumn("lang", F.lit("x")).withColumn("source", F.lit("y"))
+    got = p.tokens(spark, table, data).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in enumerate(texts)}
+    assert all(r.n_tokens == len(r.token_ids) for r in got)
