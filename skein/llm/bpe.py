@@ -4,24 +4,28 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import bounded_batches
 
-#: Entries of each memo of a Python worker; a full memo starts anew, so memory stays bounded on any input.
+#: Entries past which a memo of a Python worker starts anew, so memory stays bounded on any input.
 MEMO = 200_000
 
 #: Bytes of text that are looked up and merged together.
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
+#: Rows of an Arrow batch: some parts' worth of ordinary texts (a batch's bytes are bounded as well).
+BATCH_ROWS = 4000
 #: Longer pre-tokens (in bytes) have a queue of their own; shorter ones share one.
 LONG = 192
 #: White space other than blank and line end (Unicode White_Space and the separators 1C to 1F).
@@ -37,6 +41,11 @@ _NEWER = (
     (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
     (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
+_SPACE_BYTE = _BLANK.copy()
+_SPACE_BYTE[[ord(c) for c in _OTHER_SPACE if c.isascii()]] = True
+_WIDE_SPACES = {n: [int.from_bytes(c.encode()) for c in _OTHER_SPACE if len(c.encode()) == n] for n in (2, 3)}
 _UNKNOWN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _NEWER) + "]")
 _BIT = [1 << k for k in range(4096)]
 
@@ -75,16 +84,102 @@ class RankQueue:
         return self.buckets.pop(rank)
 
 
+@dataclass
+class Ragged:
+    """Lists of ids: list k is ``flat[ends[k]:ends[k + 1]]``."""
+
+    flat: np.ndarray
+    ends: np.ndarray
+
+    def take(self, at: np.ndarray) -> Ragged:
+        sizes = np.diff(self.ends)[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return Ragged(self.flat[np.arange(ends[-1]) + np.repeat(self.ends[at] - ends[:-1], sizes)], ends)
+
+
+class Memo:
+    """Ids of the items seen before. A memo past its bound starts anew from the items of the last part, so frequent ones stay."""
+
+    def __init__(self) -> None:
+        self.items = pa.array([], pa.binary())
+        self.ids = Ragged(np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def get(self, items: pa.Array, learn: Callable[[pa.Array], Ragged]) -> Ragged:
+        place = _place(items, self.items)
+        new = place < 0
+        if new.any():
+            fresh = items.filter(pa.array(new))
+            ids = learn(fresh)
+            place[new] = len(self.items) + np.arange(len(fresh))
+            self.items = pa.concat_arrays([self.items, fresh])
+            self.ids = Ragged(np.concatenate([self.ids.flat, ids.flat]), np.concatenate([self.ids.ends, self.ids.ends[-1] + ids.ends[1:]]))
+        out = self.ids.take(place)
+        if len(self.items) > MEMO:
+            self.items, self.ids = items, out
+        return out
+
+
+def _place(items: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each item among others, -1 for none."""
+    return pc.fill_null(pc.index_in(items, value_set=among), -1).to_numpy().astype(np.int64)
+
+
+def _offsets(items: pa.Array, own: bool = True) -> np.ndarray:
+    """Where each item starts, and the end: within the items' own bytes, or within the buffer."""
+    offsets = np.frombuffer(items.buffers()[1], np.int32, len(items) + 1 + items.offset)[items.offset :].astype(np.int64) if len(items) else np.zeros(1, np.int64)
+    return offsets - offsets[0] if own else offsets
+
+
+def _bytes(items: pa.Array) -> np.ndarray:
+    """The items' bytes one after the other."""
+    offsets = _offsets(items, False)
+    return np.frombuffer(items.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+
+
+def _array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The runs of bytes between consecutive offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _wide(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """``size`` bytes from each place as one number, zero where they reach out of ``data``."""
+    inside = (at >= 0) & (at + size <= len(data))
+    out = np.zeros(len(at), np.int64)
+    for k in range(size):
+        out[inside] = out[inside] << 8 | data[at[inside] + k]
+    return out
+
+
+def _space_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a white-space character starts at each place."""
+    out = _SPACE_BYTE[data[at]]
+    some = np.flatnonzero(data[at] >= 0x80)
+    for size, codes in _WIDE_SPACES.items():
+        out[some] |= np.isin(_wide(data, at[some], size), codes)
+    return out
+
+
+def _space_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a white-space character ends before each place."""
+    out = _SPACE_BYTE[data[at - 1]]
+    some = np.flatnonzero(data[at - 1] >= 0x80)
+    for size, codes in _WIDE_SPACES.items():
+        out[some] |= np.isin(_wide(data, at[some] - size, size), codes)
+    return out
+
+
 class Bpe:
     """A vocabulary of merge ranks (token bytes to rank, a rank being the token's id) and the pattern that cuts pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.bytes_of = {r: t for t, r in ranks.items()}
         self.unit = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.vocabulary = pa.array(ranks.keys(), pa.binary())
+        self.vocabulary_ids = np.fromiter(ranks.values(), np.int32, len(ranks))
+        self.place_of = np.full(max(ranks.values()) + 1, len(ranks), np.int32)
+        self.place_of[self.vocabulary_ids] = np.arange(len(ranks))
         self.pieces = regex.compile(pattern).findall
-        self.tokens: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.tokens, self.words = Memo(), Memo()
 
     @cached_property
     def pair_rank(self) -> dict[int, int]:
@@ -98,6 +193,11 @@ class Bpe:
         order = np.argsort(pairs)
         return pairs[order], np.fromiter(self.pair_rank.values(), np.int64, len(pairs))[order]
 
+    @cached_property
+    def byte_pairs(self) -> np.ndarray:
+        """Ranks of the merges of two bytes."""
+        return np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
+
     def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of the merges of token pairs, -1 for pairs without."""
         pairs, ranks = self.pair_table
@@ -151,17 +251,16 @@ class Bpe:
             if before[k] >= 0:
                 fresh.append((before[k], k))
 
-    def merge_all(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of many pre-tokens through one queue over all their positions.
+    def merge_all(self, data: np.ndarray, sizes: np.ndarray) -> Ragged:
+        """Ids of many pre-tokens (their bytes one after the other) through one queue over all their positions.
 
         A step takes the lowest rank of all and merges it at the leftmost live position of every pre-token that
         has one, so each pre-token sees the order of its own queue; its further positions of that rank stay
         queued. A merge may queue a lower rank, which then comes first.
         """
-        sizes = np.array([len(t) for t in tokens])
         n = int(sizes.sum())
-        ids = self.unit[np.frombuffer(b"".join(tokens), np.uint8)]
-        of = np.repeat(np.arange(len(tokens)), sizes)
+        ids = self.unit[data]
+        of = np.repeat(np.arange(len(sizes)), sizes)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         last, first = np.cumsum(sizes) - 1, np.cumsum(sizes) - sizes
         after[last], before[first] = -1, -1
@@ -181,7 +280,7 @@ class Bpe:
                     queue.bucket(rank).append(part)
 
         left = np.flatnonzero(after >= 0)
-        enter(left, self.ranks_of(ids[left], ids[left + 1]))
+        enter(left, self.byte_pairs[data[left], data[left + 1]])
         while (rank := queue.lowest()) >= 0:
             held = queue.drop(rank)
             at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
@@ -207,75 +306,108 @@ class Bpe:
             if len(pairs):
                 enter(pairs, self.ranks_of(ids[pairs], ids[after[pairs]]))
         alive = ids >= 0
-        counts = np.add.reduceat(alive, first) if n else []
-        flat, ends = ids[alive].tolist(), np.cumsum(counts).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def learn(self, tokens: set[str]) -> None:
-        """Ids of all these pre-tokens into the memo."""
-        short = []
-        for t in tokens:
-            token = t.encode()
-            rank = self.ranks.get(token)
-            if rank is not None:
-                self.tokens[t] = (rank,)
-            elif len(token) > LONG:
-                self.tokens[t] = self.merge(token)
-            else:
-                short.append((t, token))
-        if short:
-            self.tokens.update(zip((t for t, _ in short), self.merge_all([x for _, x in short]), strict=True))
-
-    def words_of(self, text: str) -> list[str] | None:
-        """The text cut before each blank and line end, less these blanks, where each of them stands alone between other characters; else None.
-
-        A pre-token then starts at each of them, so each word's ids don't depend on its neighbours.
+        return Ragged(ids[alive].astype(np.int32), np.concatenate([[0], np.cumsum(np.add.reduceat(alive, first))]))
+
+    def learn_tokens(self, tokens: pa.Array) -> Ragged:
+        """Ids of distinct pre-tokens."""
+        rank = _place(tokens, self.vocabulary)
+        sizes = np.diff(_offsets(tokens))
+        out = np.where(rank >= 0, 1, 0)
+        flat = [self.vocabulary_ids[rank[rank >= 0]]]
+        order = [np.flatnonzero(rank >= 0)]
+        long_ = np.flatnonzero((rank < 0) & (sizes > LONG))
+        for k in long_.tolist():
+            ids = self.merge(tokens[k].as_py())
+            out[k] = len(ids)
+            flat.append(np.array(ids, np.int32))
+        order.append(long_)
+        short = np.flatnonzero((rank < 0) & (sizes <= LONG))
+        if len(short):
+            some = tokens.take(pa.array(short))
+            merged = self.merge_all(_bytes(some), sizes[short])
+            out[short] = np.diff(merged.ends)
+            flat.append(merged.flat)
+            order.append(short)
+        order = np.concatenate(order)
+        mixed_ = Ragged(np.concatenate(flat), np.concatenate([[0], np.cumsum(out[order])]))
+        return mixed_.take(np.argsort(order))
+
+    def learn_words(self, words: pa.Array) -> Ragged:
+        """Ids of distinct segments, each cut into pre-tokens. Segments that start with a lone blank and end without one are cut as one text."""
+        data, offsets = _bytes(words), _offsets(words)
+        head, tail = offsets[:-1], offsets[1:]
+        lone = tail - head > 1
+        lone[lone] = _BLANK[data[head[lone]]] & ~_space_at(data, head[lone] + 1) & ~_space_before(data, tail[lone])
+        plain = words.filter(pa.array(lone))
+        parts, counts = [], []
+        if len(plain):
+            raw, starts = _bytes(plain), _offsets(plain)
+            pieces = self.cut(raw.tobytes().decode())
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            # From characters to bytes: a character starts at each byte that continues none.
+            chars = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))
+            ends = np.concatenate([[0], chars[ends]])
+            parts.append(_array(raw, ends))
+            counts.append(np.diff(np.searchsorted(ends, starts)))
+        other = [[p.encode() for p in self.cut(w.as_py().decode())] for w in words.filter(pa.array(~lone))]
+        parts.append(pa.array(list(chain.from_iterable(other)), pa.binary()))
+        counts.append(np.fromiter(map(len, other), np.int64, len(other)))
+        ids, at = self.known(self.tokens, pa.concat_arrays(parts), self.learn_tokens)
+        out = ids.take(at)
+        out.ends = out.ends[np.concatenate([[0], np.cumsum(np.concatenate(counts))])]
+        return out.take(np.argsort(np.concatenate([np.flatnonzero(lone), np.flatnonzero(~lone)])))
+
+    def known(self, memo: Memo, items: pa.Array, learn: Callable[[pa.Array], Ragged]) -> tuple[Ragged, np.ndarray]:
+        """Ids of the distinct items, and the number of each item among them."""
+        coded = items.dictionary_encode()
+        return memo.get(coded.dictionary, learn), coded.indices.to_numpy()
+
+    def encode_all(self, texts: pa.Array) -> Ragged:
+        """Ids of whole texts (binary, without nulls, in UTF-8).
+
+        Texts are cut before each blank or line end that stands alone between other characters: a pre-token starts
+        there, so the ids of a segment don't depend on its neighbours and are looked up once for all its occurrences.
         """
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or any(x in text for x in _OTHER_SPACE):
-            return None
-        return text.replace("\n", " \n").split(" ")
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts. The memos of pre-tokens and words start anew when they have grown past their bound."""
-        for memo in (self.tokens, self.words):
-            if len(memo) > MEMO:
-                memo.clear()
-        cut = [self.words_of(t) if t else None for t in texts]
-        unknown = {w for words in cut if words for w in words[1:]} - self.words.keys()
-        parts = {w: self.cut(w if w[0] == "\n" else f" {w}") for w in unknown}
-        whole = [self.cut(words[0] if words else t) for words, t in zip(cut, texts, strict=True)]
-        self.learn({t for some in (parts.values(), whole) for p in some for t in p} - self.tokens.keys())
-        token, word = self.tokens.__getitem__, self.words.__getitem__
-        for w, p in parts.items():
-            self.words[w] = tuple(chain.from_iterable(map(token, p)))
-        out = []
-        for words, start in zip(cut, whole, strict=True):
-            ids = list(chain.from_iterable(map(token, start)))
-            if words:
-                ids += chain.from_iterable(map(word, words[1:]))
-            out.append(ids)
-        return out
+        data, offsets = _bytes(texts), _offsets(texts)
+        blanks = np.flatnonzero(_BLANK[data])
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        blanks = blanks[~edge[blanks] & ~edge[blanks + 1]]
+        blanks = blanks[~_space_at(data, blanks + 1) & ~_space_before(data, blanks)]
+        edge[blanks] = True
+        starts = np.flatnonzero(edge)
+        if len(starts) < 2:
+            return Ragged(np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64))
+        ids, at = self.known(self.words, _array(data, starts), self.learn_words)
+        out = ids.take(at)
+        return Ragged(out.flat, out.ends[np.searchsorted(starts, offsets)])
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of the ids of each row: the bytes of all tokens one after the other, cut at the rows' ends."""
+        if not len(ids):
+            return pa.array([b""] * (len(ends) - 1), pa.binary())
+        tokens = self.vocabulary.take(pa.array(self.place_of[ids]))
+        return _array(_bytes(tokens), _offsets(tokens)[ends])
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text.encode()], pa.binary())).flat.tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of rows of about PART_BYTES: (first row, texts)."""
-    held: list[str] = []
-    first = size = 0
-    for k, x in enumerate(texts):
-        x = x.as_py() or b""
-        if held and size + len(x) > PART_BYTES:
-            yield first, held
-            first, held, size = k, [], 0
-        held.append(x.decode("utf-8", "replace"))
-        size += len(x)
-    if held:
-        yield first, held
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of rows of about PART_BYTES: (first row, texts in UTF-8). Null is empty."""
+    texts = texts.fill_null(b"")
+    try:
+        texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.as_py().decode("utf-8", "replace").encode() for x in texts], pa.binary())
+    offsets, first = _offsets(texts, False), 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PART_BYTES, "right")) - 1)
+        yield first, texts.slice(first, last - first)
+        first = last
 
 
 @lru_cache(2)
@@ -286,43 +418,47 @@ def load(path: str, pattern: str) -> Bpe:
     return Bpe(ranks, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """``docs`` without its text column, with ``out_col`` array<int>. Null and empty texts have no ids; bytes that are no UTF-8 are read as U+FFFD.
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` without its text column, with ``out_col`` array<int> and, if named, ``decoded_col`` binary: the bytes that these ids decode to.
 
     ``path`` names a file that every executor has (an installed package's). Special tokens are ordinary text.
+    Null and empty texts have no ids; bytes that are no UTF-8 are read as U+FFFD; a text is encoded whole, whatever
+    its length. Repeated rows and null ids stay rows of their own, an empty table gives an empty one, and columns of
+    ``docs`` with the names of the new ones are replaced.
     """
-    rest = [c for c in docs.columns if c not in (text_col, out_col)]
-    slim = docs.select(*rest, F.col(text_col).cast("binary").alias("_text"))
-    schema = ", ".join([*(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in rest), f"`{out_col}` array<int>"])
+    new = [out_col, *([decoded_col] if decoded_col else [])]
+    rest = [c for c in docs.columns if c not in (text_col, *new)]
+    text = F.col(text_col).cast("binary")
+    slim = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)), text.alias("text"))
+    names = [*(f"c{k}" for k in range(len(rest))), "ids", *(["bytes"] if decoded_col else [])]
+    schema = ", ".join([*(f"c{k} {slim.schema[k].dataType.simpleString()}" for k in range(len(rest))), "ids array<int>", *(["bytes binary"] if decoded_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
             for first, texts in _parts(batch.column(len(rest))):
-                each = bpe.encode_all(texts)
-                ends = np.cumsum([0, *map(len, each)])
-                flat = np.fromiter(chain.from_iterable(each), np.int32, ends[-1])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns[: len(rest)], ids], [*rest, out_col])
+                found = bpe.encode_all(texts)
+                columns = [pa.ListArray.from_arrays(pa.array(found.ends, pa.int32()), pa.array(found.flat))]
+                if decoded_col:
+                    columns.append(bpe.decode_all(found.flat, found.ends))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns[: len(rest)], *columns], names)
 
-    return bounded_batches(slim).mapInArrow(run, schema)
+    return bounded_batches(slim, BATCH_ROWS).mapInArrow(run, schema).toDF(*rest, *new)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """``tokens`` with ``out_col`` binary: the bytes of the ids. No ids, or null, give no bytes."""
+    """``tokens`` with ``out_col`` binary (replacing a column of that name): the bytes of the ids. No ids, or null, give no bytes; an unknown id fails."""
     rest = [c for c in tokens.columns if c != out_col]
     at = rest.index(ids_col)
-    schema = ", ".join([*(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in rest), f"`{out_col}` binary"])
+    slim = tokens.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)))
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(slim.schema)), "bytes binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                ids = part.column(at)
-                flat = ids.values.to_numpy(zero_copy_only=False)
-                ends = ids.offsets.to_numpy()
-                texts = [bpe.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*rest, out_col])
-
-    return bounded_batches(tokens.select(*rest)).mapInArrow(run, schema)
+            ids = batch.column(at)
+            sizes = np.nan_to_num(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64)
+            texts = bpe.decode_all(ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "bytes"])
+
+    return bounded_batches(slim).mapInArrow(run, schema).toDF(*rest, out_col)

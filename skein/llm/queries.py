@@ -39,8 +39,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    both = bpe.decode(ids, path, pattern)
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decoded_col="decoded")
     numbers = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

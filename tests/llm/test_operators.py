@@ -6,6 +6,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,11 @@ def test_components_of_a_path_and_a_star(spark):
 # 3
 
 
+def all_ids(own, texts):
+    found = own.encode_all(pa.array([t.encode() for t in texts], pa.binary()))
+    return [found.flat[a:b].tolist() for a, b in zip(found.ends[:-1], found.ends[1:], strict=True)]
+
+
 def test_bpe_equals_tiktoken(spark):
     import tiktoken
 
@@ -149,8 +155,10 @@ def test_bpe_equals_tiktoken(spark):
     letters = "ab1'sét \n\t\x1c.$中😀\u2028 \u00a0"
     texts = ["".join(RND.choice(letters) for _ in range(RND.randint(0, 60))) for _ in range(1500)]
     texts += ["a" * 3000, "".join(RND.choice("abcdé") for _ in range(4000)), "<|endoftext|>", "don't  I'll\n\nx", *[t for t in EDGE if t]]
-    assert own.encode_all(texts) == [other.encode_ordinary(t) for t in texts]
+    texts += ["".join(RND.choice(" \n\t\u2028\u3000\u00a0\u0085ab.1é") for _ in range(RND.randint(0, 25))) for _ in range(1500)]
+    assert all_ids(own, texts) == [other.encode_ordinary(t) for t in texts]
     assert [own.encode(t) for t in texts[:50]] == [other.encode_ordinary(t) for t in texts[:50]]
+    assert own.decode(own.encode("é x")) == "é x".encode() and own.decode([]) == b""
     table = docs(spark, [*texts[:200], *EDGE]).withColumn("token_ids", F.lit(1))
     both = bpe.decode(bpe.encode(table, path, pattern), path, pattern)
     for r in both.collect():
@@ -167,7 +175,30 @@ def test_every_character_is_cut_as_tiktoken_cuts_it():
     other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.ranks, special_tokens={})
     codes = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"a{chr(c)}1 {chr(c)}" for c in codes[k : k + 500]) for k in range(0, len(codes), 500)]
-    assert own.encode_all(texts) == [other.encode_ordinary(t) for t in texts]
+    assert all_ids(own, texts) == [other.encode_ordinary(t) for t in texts]
+
+
+def test_memos_start_anew_and_repeat_the_same_ids(monkeypatch):
+    path, pattern = queries.tokenizer()
+    own = bpe.load(path, pattern)
+    texts = [" ".join("".join(RND.choice("abcdefg") for _ in range(RND.randint(1, 9))) for _ in range(50)) for _ in range(40)]
+    want = all_ids(own, texts)
+    monkeypatch.setattr(bpe, "MEMO", 30)
+    for k in range(0, 40, 7):
+        assert all_ids(own, texts[k : k + 7]) == want[k : k + 7]
+
+
+def test_bytes_that_are_no_utf8_and_clashing_names(spark):
+    path, pattern = queries.tokenizer()
+    own = bpe.load(path, pattern)
+    rows = [(1, b"a \xff b", 1), (None, None, 2), (1, b"a \xff b", 3), (2, b"", 4)]
+    table = spark.createDataFrame(rows, "ids long, text binary, bytes int").withColumn("_text", F.lit("x")).withColumn("c0", F.lit(1))
+    got = bpe.encode(table, path, pattern, decoded_col="decoded")
+    assert got.columns == ["ids", "bytes", "_text", "c0", "token_ids", "decoded"]
+    want = own.encode("a \ufffd b")
+    assert rows_of(got.select("bytes", "token_ids", "decoded")) == [(1, want, "a \ufffd b".encode()), (2, [], b""), (3, want, "a \ufffd b".encode()), (4, [], b"")]
+    again = bpe.decode(got.withColumn("token_ids", F.when(F.col("bytes") != 2, F.col("token_ids"))), path, pattern)
+    assert rows_of(again.select("bytes", "decoded")) == rows_of(got.select("bytes", "decoded"))
 
 
 # 4
