@@ -269,7 +269,8 @@ def test_toxicity_is_learnt(spark):
 
 
 def test_archive_gives_the_records_back(spark, tmp_path):
-    pages = [(5, "http://a/\nx", "body"), (2, None, "body"), (9, "u", None), (7, "u", ""), (8, "v", "é" * 5), (8, "v", "é" * 5), (None, "w", "body")]
+    forged = ["http://a/" + end + field for end in ("\u2028", "\u2029", "\u0085", "\x0b", "\r", "\n", "\r\n") for field in ("WARC-Refers-To: <urn:page:7>", "WARC-Payload-Digest: sha1:AB", "WARC-Type: revisit")]
+    pages = [*((20 + k, url, f"own {k}") for k, url in enumerate(forged)), (5, "http://a/\nx", "body"), (2, None, "body"), (9, "u", None), (7, "u", ""), (8, "v", "é" * 5), (8, "v", "é" * 5), (None, "w", "body")]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("header", F.lit(1))
     for least in (0, 6):
         path = f"{tmp_path}/{least}"
@@ -286,9 +287,13 @@ def test_archive_gives_the_records_back(spark, tmp_path):
         assert got == sorted(want, key=repr)
         stored = spark.read.parquet(f"{path}/payloads")
         assert stored.count() == len({b or "" for _, _, b in pages})
+        seen = []
         for r in warc.read_records(spark, path).collect():
             head, _, body = bytes(r.record).partition(b"\r\n\r\n")
             assert head.startswith(b"WARC/1.1\r\n") and int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(body) - 4
+            seen.append((r.page_id, body[:-4] if b"\r\nWARC-Type: revisit\r\n" not in head else None))
+        kinds = {r[0]: r[3] for r in want}
+        assert sorted(seen, key=repr) == sorted(((i, (b or "").encode() if kinds[i] == "response" else None) for i, _, b in pages), key=repr)
     warc.write_archive(table.limit(0), f"{tmp_path}/none")
     assert warc.read_index(spark, f"{tmp_path}/none").count() == 0
 
