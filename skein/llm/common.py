@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that one numpy pass handles; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
+LONG_WORD = 64
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -43,6 +45,14 @@ def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataF
     return df
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose id (null included) is among the first column of ``ids``, or with ``left_anti`` is not; ``docs`` may have columns of any names."""
+    name = "_among"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return docs.join(ids.toDF(name).distinct(), F.col(id_col).eqNullSafe(F.col(name)), how)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character kept; null becomes the empty string."""
     text = F.coalesce(text, F.lit(""))
@@ -114,9 +124,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial over random byte weights, by prefix sums, then mixed."""
+    """A 64-bit hash of each word's bytes: a polynomial over random byte weights, by prefix sums, then mixed.
+
+    Modulo 2**64 there are long words that collide under every such polynomial, so those of over LONG_WORD bytes
+    have a BLAKE2 digest, keyed with the weights.
+    """
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(weights[data] * _powers(_BASE, len(data))[: len(data)], out=sums[1:])
         own = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts]
-        return mixed(own + (ends - starts).astype(np.uint64))
+        out = mixed(own + (ends - starts).astype(np.uint64))
+    key = weights[:8].tobytes()
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=key).digest())
+    return out

@@ -2,18 +2,22 @@
 
 Each pass over about two megabytes of training text is a shard: its words that the benchmark also has are
 numbered, their suffixes sorted by prefix doubling, and every benchmark suffix is binary-searched in the sorted
-suffixes. A word that the benchmark lacks ends every match, so suffixes that start with one are left out.
+suffixes by its first ten words (suffixes that share them once), which gives the places of all matches that long. The
+longest verbatim match from each place is the longest common prefix with any benchmark suffix. A word that the
+benchmark lacks ends every match, so suffixes that start with one are left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import reduce
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +32,33 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_WEIGHTS = byte_weights(4)
 _SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
-_RUN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("stop", pa.int32())])
 
 
 @dataclass
 class Block:
-    """Distinct windows of some items. ``words``: sorted hashes of their vocabulary; ``windows``: word numbers from 1, 0-padded; ``items``: those of window k are ``items[first[k]:first[k + 1]]``."""
+    """The suffixes of some items. ``words``: sorted hashes of their vocabulary, whose word k is ``letters[bounds[k]:bounds[k + 1]]``; ``text``: word numbers from 1 of all items, zeros after each.
 
+    ``windows``: the distinct first ``window`` words of the suffixes, 0-padded; window k is in ``items[first[k]:first[k + 1]]``.
+    """
+
+    weights: np.ndarray
     words: np.ndarray
+    letters: np.ndarray
+    bounds: np.ndarray
+    text: np.ndarray
     windows: np.ndarray
     lengths: np.ndarray
     first: np.ndarray
     items: np.ndarray
-    names: list[str]
+    names: list[str | None]
 
 
-def block_of(items: list[tuple[str, bytes]], window: int = WINDOW) -> Block | None:
-    """None if no item has a word."""
-    names, found = [], {}
+def block_of(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Block | None:
+    """None if no item has a word. Items shorter than a window are one whole suffix; longer ones have suffixes of a window or more."""
+    names: list[str | None] = []
+    found: dict[tuple[bytes, ...], dict[int, None]] = {}
+    texts = []
     for name, text in items:
         words = _WORD.findall(text.lower())
         if not words:
@@ -55,19 +66,28 @@ def block_of(items: list[tuple[str, bytes]], window: int = WINDOW) -> Block | No
         for k in range(max(1, len(words) - window + 1)):
             found.setdefault(tuple(words[k : k + window]), {})[len(names)] = None
         names.append(name)
+        texts.append(words)
     if not found:
         return None
-    vocabulary = sorted({w for x in found for w in x})
-    data = np.frombuffer(b"".join(vocabulary), np.uint8)
-    ends = np.cumsum([len(w) for w in vocabulary])
-    hashes = word_hashes(data, ends - [len(w) for w in vocabulary], ends, _WEIGHTS)
+    vocabulary = sorted({w for x in texts for w in x})
+    sizes = np.array([len(w) for w in vocabulary])
+    data, ends = np.frombuffer(b"".join(vocabulary), np.uint8), np.cumsum(sizes)
+    # Weights under which no two of these words collide.
+    for seed in count(4):
+        hashes = word_hashes(data, ends - sizes, ends, weights := byte_weights(seed))
+        if len(np.unique(hashes)) == len(hashes):
+            break
     order = np.argsort(hashes)
     number = {vocabulary[k]: rank + 1 for rank, k in enumerate(order.tolist())}
     windows = np.zeros((len(found), window), np.int64)
     for k, x in enumerate(found):
         windows[k, : len(x)] = [number[w] for w in x]
-    counts = [len(x) for x in found.values()]
-    return Block(hashes[order], windows, np.array([len(x) for x in found]), np.cumsum([0, *counts]), np.array([i for x in found.values() for i in x]), names)
+    text = np.array([n for x in texts for n in (*(number[w] for w in x), 0)], np.int64)
+    shares = [len(x) for x in found.values()]
+    return Block(
+        weights, hashes[order], np.frombuffer(b"".join(vocabulary[k] for k in order.tolist()), np.uint8), np.concatenate([[0], np.cumsum(sizes[order])]), text,
+        windows, np.array([len(x) for x in found]), np.cumsum([0, *shares]), np.array([i for x in found.values() for i in x]), names,
+    )
 
 
 def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
@@ -102,38 +122,103 @@ def search(text: np.ndarray, suffixes: np.ndarray, windows: np.ndarray, lengths:
     return found[0], found[1]
 
 
+def longest_matches(text: np.ndarray, at: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """The longest run of words from each place of ``text`` that one item has too (zeros end every run).
+
+    The suffixes of the spans behind these places and of the items are sorted together by prefix doubling; the
+    longest common prefix with any item's suffix is that with the nearest one before or after, and the ranks of
+    all doubling steps tell its length.
+    """
+    joint = np.concatenate([items, text, [0]])
+    here = np.concatenate([np.flatnonzero(items), len(items) + np.flatnonzero(text)])
+    rank = np.zeros(len(joint), np.int64)
+    rank[here] = joint[here]
+    levels, step = [rank], 1
+    while len(np.unique(rank[here])) < len(here) and (rank[np.minimum(here + step, len(joint) - 1)] > 0).any():
+        key = rank[here] * (int(rank.max()) + 1) + rank[np.minimum(here + step, len(joint) - 1)]
+        rank = np.zeros(len(joint), np.int64)
+        rank[here] = np.unique(key, return_inverse=True)[1] + 1
+        levels.append(rank)
+        step *= 2
+    order = here[np.argsort(rank[here], kind="stable")]
+    of_item = np.where(order < len(items), np.arange(len(order)), -1)
+    before = np.maximum.accumulate(of_item)
+    after = len(order) - 1 - np.maximum.accumulate(np.where(of_item >= 0, len(order) - 1 - np.arange(len(order)), -1)[::-1])[::-1]
+    place = np.zeros(len(joint), np.int64)
+    place[order] = np.arange(len(order))
+    # Equal ranks also stand for runs that end alike, so a run counts no further than its own end.
+    ends = np.flatnonzero(joint == 0)
+    spot = len(items) + at
+    most = ends[np.searchsorted(ends, spot)] - spot
+    out = np.zeros(len(at), np.int64)
+    for near in (before, after):
+        found = near[place[spot]]
+        some = (found >= 0) & (found < len(order))
+        p, q, n = spot[some], order[found[some]], np.zeros(int(some.sum()), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            same = (levels[k][p] == levels[k][q]) & (levels[k][p] > 0)
+            n, p, q = n + (same << k), np.minimum(p + (same << k), len(joint) - 1), np.minimum(q + (same << k), len(joint) - 1)
+        out[some] = np.maximum(out[some], np.minimum(n, most[some]))
+    return out
+
+
+def _true_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, words: np.ndarray, block: Block) -> np.ndarray:
+    """Whether these words have the bytes of the vocabulary's words (numbered from 0) whose hashes they have."""
+    own = np.diff(block.bounds)[words] == sizes
+    at = np.flatnonzero(own)
+    within = np.arange(int(sizes[at].sum())) - np.repeat(np.cumsum(sizes[at]) - sizes[at], sizes[at])
+    differ = data[np.repeat(starts[at], sizes[at]) + within] != block.letters[np.repeat(block.bounds[words[at]], sizes[at]) + within]
+    own[np.repeat(at, sizes[at])[differ]] = False
+    return own
+
+
+def _ranges(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) + np.repeat(low - np.cumsum(sizes) + sizes, sizes)
+
+
 def _shard(data: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each document: words; of each match: document, first word in it, window, and its longest verbatim extension in words."""
+    """Of each document: words; of each match: document, first word in it, window, and the words that it goes on verbatim with an item."""
     folded = _FOLD[data]
     starts, ends, first = spans(folded, offsets, _INSIDE)
     n_words = np.diff(first)
-    hashes = word_hashes(folded, starts, ends, _WEIGHTS)
+    hashes = word_hashes(folded, starts, ends, block.weights)
     at = np.minimum(np.searchsorted(block.words, hashes), len(block.words) - 1)
     known = block.words[at] == hashes
     doc = np.repeat(np.arange(len(n_words)), n_words)
-    text = np.zeros(len(starts) + len(n_words) + block.windows.shape[1] + 1, np.int64)
     place = np.arange(len(starts)) + doc
-    text[place[known]] = at[known] + 1
-    suffixes = suffix_array(text, block.windows.shape[1])
-    none = np.zeros(0, np.int64)
-    if not len(suffixes):
+    while True:
+        text = np.zeros(len(starts) + len(n_words) + block.windows.shape[1] + 1, np.int64)
+        text[place[known]] = at[known] + 1
+        suffixes = suffix_array(text, block.windows.shape[1])
+        none = np.zeros(0, np.int64)
+        if not len(suffixes):
+            return n_words, none, none, none, none
+        low, high = search(text, suffixes, block.windows, block.lengths)
+        window = np.repeat(np.arange(len(low)), high - low)
+        where = suffixes[_ranges(low, high - low)]
+        inside = np.zeros(len(text) + 1, np.int64)
+        np.add.at(inside, where, 1)
+        np.add.at(inside, where + block.lengths[window], -1)
+        inside = np.cumsum(inside)[:-1] > 0
+        # Words of matches are compared by their bytes; a word that only has a known word's hash is unknown.
+        words = np.flatnonzero(inside[place])
+        false = words[~_true_words(folded, starts[words], ends[words] - starts[words], at[words], block)]
+        if not len(false):
+            break
+        known[false] = False
+    if not len(where):
         return n_words, none, none, none, none
-    low, high = search(text, suffixes, block.windows, block.lengths)
-    counts = high - low
-    window = np.repeat(np.arange(len(counts)), counts)
-    where = suffixes[np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)]
     order = np.argsort(where, kind="stable")
     where, window = where[order], window[order]
+    # Only words that stand in matches, with one end between spans, are sorted among the items' suffixes.
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    shorter = np.cumsum(kept) - 1
+    spot, back = np.unique(where, return_inverse=True)
+    longest = longest_matches(np.where(inside, text, 0)[kept], shorter[spot], block.text)[back]
     doc_start = first[:-1] + np.arange(len(n_words))
     own = np.searchsorted(doc_start, where, "right") - 1
-    # Windows that match at consecutive words are one longer verbatim match.
-    run = np.ones(len(where), np.int64)
-    if len(where):
-        heads = np.ones(len(where), bool)
-        heads[1:] = (np.diff(where) > 1) | (np.diff(own) != 0)
-        start = where[np.maximum.accumulate(np.where(heads, np.arange(len(where)), 0))]
-        run = where - start + block.lengths[window]
-    return n_words, own, where - doc_start[own], window, run
+    return n_words, own, where - doc_start[own], window, longest
 
 
 def _merge(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -155,116 +240,113 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
             if block := block_of(held, window):
                 yield block
             held, size = [], 0
-        held.append((str(name), text))
+        held.append((name, text))
         size += len(text) // 2
     if held and (block := block_of(held, window)):
         yield block
 
 
-def _runs_schema(id_type: str) -> str:
-    return f"_row long, _id {id_type}, n_words long, runs array<struct<first:int,last:int,stop:int>>, items array<string>"
-
-
-def _runs(found: Iterable[tuple[int, int, int]]) -> list[dict]:
-    """Matches (first start, last start, end) in the order of their starts, those at consecutive words joined."""
-    out: list[dict] = []
-    for first, last, stop in found:
-        if out and first <= out[-1]["last"] + 1:
-            out[-1] = {"first": out[-1]["first"], "last": max(last, out[-1]["last"]), "stop": max(stop, out[-1]["stop"])}
-        else:
-            out.append({"first": first, "last": last, "stop": stop})
-    return out
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of all blocks to spans and the longest run."""
-    for batch in batches:
-        rows, most = [], []
-        for found in batch.column(2).to_pylist():
-            runs = _runs(sorted((x["first"], x["last"], x["stop"]) for x in found))
-            ends = np.array([[x["first"], x["stop"]] for x in runs], np.int64).reshape(-1, 2)
-            rows.append([{"first": x, "last": y - 1} for x, y in _merge(ends[:, 0], ends[:, 1])])
-            most.append(max((x["stop"] - x["first"] for x in runs), default=0))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(_SPAN)), batch.column(3), pa.array(most, pa.int32())], ["_id", "n_words", "spans", "items", "longest"])
-
-
-def _spans_schema(id_type: str) -> str:
-    return f"_id {id_type}, n_words long, spans array<struct<first:int,last:int>>, items array<string>, longest int"
+def _searched(shared: Broadcast, column: str) -> Callable[[pa.RecordBatch], Iterator[tuple[int, int, pa.Array, list, list, np.ndarray]]]:
+    """For a batch's shards: first row, last row + 1, words, spans, items and longest match of each row."""
+
+    def run(batch: pa.RecordBatch):
+        block = shared.value
+        for start, stop, data, offsets in passes(batch, column, SHARD_BYTES):
+            if block is None:
+                n_words = np.diff(spans(_FOLD[data], offsets, _INSIDE)[2])
+                own = where = windows = longest = np.zeros(0, np.int64)
+            else:
+                n_words, own, where, windows, longest = _shard(data, offsets, block)
+            rows: list = [[] for _ in n_words]
+            items: list = [[] for _ in n_words]
+            most = np.zeros(len(n_words), np.int32)
+            cuts = np.flatnonzero(np.diff(own, prepend=-1))
+            for a, b in zip(cuts, np.append(cuts[1:], len(own))[: len(cuts)], strict=True):
+                d = own[a]
+                rows[d] = [{"first": x, "last": y - 1} for x, y in _merge(where[a:b], where[a:b] + block.lengths[windows[a:b]])]
+                names = {block.names[i] for w in set(windows[a:b].tolist()) for i in block.items[block.first[w] : block.first[w + 1]]}
+                items[d] = sorted(names - {None}) + [None] * (None in names)
+                most[d] = longest[a:b].max()
+            yield start, stop, n_words, rows, items, most
+
+    return run
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """One row per document: id, n_words, spans (of words first..last inside a window's occurrence), items (of the benchmark, with a window in it), longest (verbatim match in words).
+    """One row per document: id, n_words, spans (of words first..last inside a window's occurrence), items (of the benchmark, with a window in it), longest (verbatim match with one item, in words).
 
     Words are runs of characters other than the ASCII ones that are neither letters nor digits, A-Z lower-cased.
     A window is ``window`` consecutive words of an item, or a shorter item whole. Null and empty texts have no
-    words; items without words, or an empty benchmark, match nothing; equal item ids are one item; equal windows
-    of several items count for each of them. Rows that repeat an id, or have none, are rows of their own. A block of
-    ``block_words`` is what is broadcast; a larger benchmark is searched block by block over numbered rows, with the
-    same result.
+    words; items without words, or an empty benchmark, match nothing; equal item ids are one item, as are all
+    without an id (null in ``items``); equal windows of several items count for each of them. Rows that repeat an
+    id, or have none, are rows of their own; other columns are ignored. A block of ``block_words`` is what is
+    broadcast; a larger benchmark is searched block by block over numbered rows, with the same result.
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     id_type = slim.schema["_id"].dataType.simpleString()
+    names = ["_row", "_id", "n_words", "spans", "items", "longest"]
+    schema = f"_row long, _id {id_type}, n_words long, spans array<struct<first:int,last:int>>, items array<string>, longest int"
 
-    def searched(block: Block | None, numbered: bool = False) -> Callable:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    def each(rows: DataFrame, block: Block | None) -> DataFrame:
+        search_all = _searched(docs.sparkSession.sparkContext.broadcast(block), "_text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
             for batch in batches:
-                for start, stop, data, offsets in passes(batch, "_text", SHARD_BYTES):
-                    if block is None:
-                        n_words = np.diff(spans(_FOLD[data], offsets, _INSIDE)[2])
-                        own = where = windows = longest = np.zeros(0, np.int64)
-                    else:
-                        n_words, own, where, windows, longest = _shard(data, offsets, block)
-                    rows: list = [[] for _ in n_words]
-                    items: list = [[] for _ in n_words]
-                    most = np.zeros(len(n_words), np.int32)
-                    cuts = np.flatnonzero(np.diff(own, prepend=-1))
-                    for a, b in zip(cuts, np.append(cuts[1:], len(own))[: len(cuts)], strict=True):
-                        d = own[a]
-                        stops = where[a:b] + block.lengths[windows[a:b]]
-                        if numbered:
-                            rows[d] = _runs(zip(where[a:b].tolist(), where[a:b].tolist(), stops.tolist(), strict=True))
-                        else:
-                            rows[d] = [{"first": x, "last": y - 1} for x, y in _merge(where[a:b], stops)]
-                        items[d] = sorted({block.names[i] for w in set(windows[a:b].tolist()) for i in block.items[block.first[w] : block.first[w + 1]]})
-                        most[d] = longest[a:b].max()
-                    same = [batch.column(0).slice(start, stop - start), pa.array(n_words, pa.int64())]
-                    names = pa.array(items, pa.list_(pa.string()))
-                    if numbered:
-                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(start, stop - start), *same, pa.array(rows, pa.list_(_RUN)), names], ["_row", "_id", "n_words", "runs", "items"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([*same, pa.array(rows, pa.list_(_SPAN)), names, pa.array(most)], ["_id", "n_words", "spans", "items", "longest"])
-
-        return run
+                for start, stop, n_words, found, items, most in search_all(batch):
+                    same = [batch.column(2).slice(start, stop - start), batch.column(0).slice(start, stop - start)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(n_words, pa.int64()), pa.array(found, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string())), pa.array(most)], names)
+
+        return bounded_batches(rows).mapInArrow(run, schema)
 
     blocks = _blocks(benchmark, item_col, text_col, window, block_words)
     one, more = next(blocks, None), next(blocks, None)
     if more is None:
-        return bounded_batches(slim).mapInArrow(searched(one), _spans_schema(id_type)).withColumnRenamed("_id", id_col)
+        return each(slim.withColumn("_row", F.lit(0).cast("long")), one).drop("_row").withColumnRenamed("_id", id_col)
     # Written once, so that a row has the same number for every block.
-    rows = bounded_batches(written(slim.withColumn("_row", F.monotonically_increasing_id()), "benchmark-rows"))
-    each = None
-    for block in chain((one, more), blocks):
-        part = rows.mapInArrow(searched(block, True), _runs_schema(id_type))
-        each = part if each is None else each.union(part)
-    out = each.groupBy("_row").agg(
+    rows = written(slim.withColumn("_row", F.monotonically_increasing_id()), "benchmark-rows")
+    found = reduce(DataFrame.union, [each(rows, block) for block in chain((one, more), blocks)])
+    together = found.groupBy("_row").agg(
         F.first("_id").alias("_id"),
         F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("runs")).alias("runs"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("longest").alias("longest"),
+    )
+    # Spans of several blocks that meet are one: they come in the order of their starts.
+    joined = F.aggregate(
+        "spans",
+        F.expr("cast(array() as array<struct<first:int,last:int>>)"),
+        lambda out, x: F.when(
+            (F.size(out) > 0) & (x["first"] <= F.element_at(out, -1)["last"] + 1),
+            F.concat(
+                F.slice(out, 1, F.size(out) - 1),
+                F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["last"], x["last"]).alias("last"))),
+            ),
+        ).otherwise(F.concat(out, F.array(x))),
     )
-    return out.select("_id", "n_words", "runs", "items").mapInArrow(_joined, _spans_schema(id_type)).withColumnRenamed("_id", id_col)
+    return together.select(F.col("_id").alias(id_col), "n_words", joined.alias("spans"), "items", "longest")
 
 
 def n_hit(spans_col: str = "spans"):
     return F.aggregate(spans_col, F.lit(0).cast("long"), lambda n, x: n + (x["last"] - x["first"] + 1))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any word inside a benchmark window, with all their columns."""
-    hit = contamination(docs, benchmark, id_col, text_col, item_col, window).where(F.size("spans") > 0).select(F.col(id_col).alias("_hit_id"))
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any word inside a benchmark window, with all their columns, whatever their names. One narrow pass for each block of the benchmark.
+
+    Each row is judged by its own text: rows that repeat an id, or have none, don't share a verdict. Null and empty texts stay.
+    """
+    out = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    column = f"c{docs.columns.index(text_col)}"
+    for block in _blocks(benchmark, item_col, text_col, window, block_words):
+        search_all = _searched(docs.sparkSession.sparkContext.broadcast(block), column)
+
+        def run(batches: Iterator[pa.RecordBatch], search_all=search_all) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start, stop, _, found, *_ in search_all(batch):
+                    yield batch.slice(start, stop - start).filter(pa.array([not x for x in found], pa.bool_()))
+
+        out = bounded_batches(out).mapInArrow(run, out.schema)
+    return out.toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import ascii_lower, written
+from skein.llm.common import ascii_lower, by_ids, written
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 8) -> DataFrame:
@@ -48,5 +48,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows that repeat an id stay together."""
-    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(id_col)
+    return by_ids(docs, kept, id_col)

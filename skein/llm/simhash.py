@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, written
+from skein.llm.common import bounded_batches, by_ids, written
 from skein.llm.components import components
 
 MAX_BITS = 2
@@ -165,5 +165,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group, all columns."""
-    kept = near_groups(docs, id_col, text_col, words).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = near_groups(docs, id_col, text_col, words).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)
+    return by_ids(docs, kept, id_col)

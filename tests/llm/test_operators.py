@@ -214,8 +214,30 @@ def brute_contamination(t, items, window=10):
         for k in range(len(own) - n + 1 if n else 0):
             if tuple(own[k : k + n]) in wins:
                 hit.update(range(k, k + n))
-                found.add(str(name))
-    return len(own), len(hit), sorted(found)
+                found.add(name)
+    return len(own), len(hit), [*sorted(str(x) for x in found - {None}), *[None] * (None in found)]
+
+
+def brute_longest(t, items, window=10):
+    """The longest run of words of a match that one item has too."""
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").lower())
+    own, lists = words(t), [words(x) for _, x in items]
+    hit, starts = set(), set()
+    for w in lists:
+        n = min(window, len(w))
+        for k in range(len(own) - n + 1 if n else 0):
+            if any(own[k : k + n] == w[i : i + n] for i in range(len(w) - n + 1)):
+                hit.update(range(k, k + n))
+                starts.add(k)
+    most = 0
+    for k in starts:
+        for w in lists:
+            for i in range(len(w)):
+                n = 0
+                while k + n in hit and i + n < len(w) and own[k + n] == w[i + n]:
+                    n += 1
+                most = max(most, n)
+    return most
 
 
 @pytest.mark.parametrize("block", [10**6, 30])
@@ -230,6 +252,43 @@ def test_contamination_equals_brute_force(spark, block):
     assert decontaminate.contamination(docs(spark, texts), bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [10**6, 30])
+def test_longest_matches_equal_brute_force(spark, block):
+    w = [f"w{k}" for k in range(60)]
+    items = [(1, " ".join(w[:10])), (2, " ".join(w[1:11])), (3, " ".join(w[20:50])), (4, "la " * 25), (5, "w0 w1"), (None, " ".join(w[30:55])), (None, " ".join(w[:12])), (7, " ".join([*w[20:32], *w[5:20]]))]
+    texts = [" ".join(w[:11]), " ".join(w), "la " * 60, " ".join(w[25:45]), " ".join([*w[20:34], "x", *w[8:20], *w[20:32]]), "w0 w1 w2", *EDGE]
+    texts += [" ".join(RND.choice([w[20:50], w[:12], ["la"] * 12])[RND.randrange(4) :]) + " " + " ".join(RND.choices(w, k=15)) for _ in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs(spark, texts), bench, block_words=block).withColumn("n", decontaminate.n_hit())
+    assert {r.doc_id: (r.n_words, r.n, list(r["items"])) for r in got.collect()} == {k: brute_contamination(t, items) for k, t in enumerate(texts)}
+    if block > 30:
+        assert {r.doc_id: r.longest for r in got.collect()} == {k: brute_longest(t, items) for k, t in enumerate(texts)}
+        assert got.where("doc_id = 0").first().longest == 11 and decontaminate.contamination(docs(spark, texts), bench.where("item_id < 3")).where("doc_id = 0").first().longest == 10
+
+
+def test_words_with_equal_polynomials_are_told_apart(spark, monkeypatch):
+    even = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    odd = even.translate({97: "b", 98: "a"})
+    bench = spark.createDataFrame([(1, f"{even} x")], "item_id long, text string")
+    assert [r.n for r in decontaminate.contamination(docs(spark, [f"{odd} x", f"{even} x"]), bench).withColumn("n", decontaminate.n_hit()).orderBy("doc_id").collect()] == [0, 2]
+    # Without any help of the hash: half of all words share one.
+    block = decontaminate.block_of([("1", b"aa bb cc")])
+    plain = decontaminate.word_hashes
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda d, s, e, w: np.where(d[s] == 122, block.words[0], plain(d, s, e, w)))
+    data = np.frombuffer(b"zz aa bb cc zz zz", np.uint8)
+    n, own, where, *_ = decontaminate._shard(data, np.array([0, len(data)]), block)
+    assert n.tolist() == [6] and where.tolist() == [1]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    table = spark.createDataFrame([(1, "salt iron", 1, "b", 2, 3), (2, "clean text here", 4, "c", 5, 6), (1, "clean", 7, "d", 8, 9)], "doc_id long, text string, _kept_id int, _hit_id string, _among int, c0 int")
+    bench = spark.createDataFrame([(None, "Salt, iron")], "item_id long, text string")
+    left = decontaminate.decontaminate(table, bench)
+    assert left.columns == table.columns and [tuple(r) for r in left.orderBy("_kept_id").collect()] == [(2, "clean text here", 4, "c", 5, 6), (1, "clean", 7, "d", 8, 9)]
+    for f in (exact_dedup.exact_dedup, simhash.near_dedup):
+        assert f(table).columns == table.columns and f(table).count() == 3
+
+
 def test_suffixes_are_sorted():
     numbers = np.concatenate([np.random.default_rng(2).integers(0, 3, 200), np.zeros(12, np.int64)])
     got = decontaminate.suffix_array(numbers, 10)

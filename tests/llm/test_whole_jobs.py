@@ -85,7 +85,7 @@ def test_rows_that_share_an_id_keep_their_own_result_for_every_benchmark_size(sp
     bench = spark.createDataFrame(items, "item_id long, text string")
     words = [t.split() for _, t in items]
     texts = [f"{distinct_text(5)} {items[0][1]}", f"{items[1][1]} x {items[2][1]}", distinct_text(40), items[3][1], None, items[4][1], " ".join(words[0][:10] + words[5]), "", items[0][1]]
-    # A match that goes on from one item into another of another block is one match.
+    # Matches with items of several blocks meet in one span.
     bench = bench.union(spark.createDataFrame([(9, " ".join(words[0][5:] + words[5][:5]))], bench.schema))
     items.append((9, " ".join(words[0][5:] + words[5][:5])))
     texts.append(" ".join(words[0] + words[5]))
