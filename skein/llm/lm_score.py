@@ -1,233 +1,210 @@
-"""Cross-entropy difference: matched trigram models of a target and a background corpus over one vocabulary.
+"""Cross-entropy difference: matched word n-gram models of a target and a background corpus over one vocabulary.
 
-Tokens are words (``word_model``, ``word_cross_entropy``: keyed tables that grow with the corpora and are joined) or
-characters (``model``, ``cross_entropy``).
+Both are bigram models whose context is the class of the word before: P(word | class) = (n(class, word) + PRIOR) /
+(n(class) + PRIOR * V), where V is the size of the vocabulary that they share. The totals of the classes are two arrays
+of fixed size; the pairs of class and word, which grow with the corpora, are never gathered anywhere. Each document
+sends its own distinct pairs to the tasks that count them, where both losses of a pair are known as soon as its
+counts are, and the losses return to their documents as sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from skein.llm.common import bounded_batches, byte_weights, passes, spans, word_hashes, written
-
-#: Strength of the next shorter model in each interpolation (Dirichlet prior counts).
-PRIOR_COUNT = 2.0
-#: Trigrams up to which the model is broadcast (three numbers each); a larger one is joined.
-BROADCAST_TRIGRAMS = 2_000_000
-PASS_CHARS = 1 << 19
-#: A token is a character or a text's end; two marks stand before each text and one after it. Code points are below 2**21.
-MARK = 0x1FFFFF
-_DENSE = 1 << 23
-#: Bits that a trigram costs which the model lacks.
-UNKNOWN = 24.0
+from pyspark.sql.window import Window
+
+from skein.llm.common import bounded_batches, byte_weights, mixed, passes, spans, word_hashes, written
+
+#: Count that every word has in advance after every class.
+PRIOR = 0.01
+#: Classes of context words, by the leading bits of their hashes.
+CLASS_BITS = 16
+#: A pair that makes up a share of 1 / HOT of all pairs of documents is hot; so there are at most so many.
+HOT = 10_000
+#: Bits of the filter of target ids (words of 64 bits, one a row, are broadcast: 2**18 at most).
+FILTER_BITS = 1 << 24
+#: Losses are summed as multiples of this part of a bit, so that sums don't depend on their order.
+UNIT = 1 << 20
 #: Words are runs of bytes that are not white space, A-Z lower-cased, by a 64-bit hash; this one stands for a text's bounds.
-WORD_MARK = 0x6A09E667F3BCC908
+MARK = np.uint64(0x6A09E667F3BCC908)
 _WEIGHTS = byte_weights(10)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
+_KIND = {"class": 0, "pair": 1, "all": 2}
 
 
-def _passes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of rows: (first row, codes with marks, first code of each row and the total)."""
-    held, sizes, first = [], [], 0
-    for k, x in enumerate(texts):
-        codes = np.frombuffer((x.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-        if held and sum(sizes) + len(codes) > PASS_CHARS:
-            yield first, np.concatenate(held), np.cumsum([0, *sizes])
-            held, sizes, first = [], [], k
-        held += [np.full(2, MARK, np.uint32), codes, np.full(1, MARK, np.uint32)]
-        sizes.append(len(codes) + 3)
-    if held:
-        yield first, np.concatenate(held), np.cumsum([0, *sizes])
-
-
-def _trigrams(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigram keys of the rows, the number of each trigram in row order, and each row's first trigram. A row of n characters has n + 1."""
-    alphabet, dense = np.unique(codes, return_inverse=True)
-    dense, size = dense.astype(np.int64), len(alphabet)
-    inside = np.ones(len(codes), bool)
-    inside[np.concatenate([starts[:-1], starts[:-1] + 1])] = False
-    last = np.flatnonzero(inside)
-    packed = (dense[last - 2] * size + dense[last - 1]) * size + dense[last]
-    if size**3 <= _DENSE:
-        here = np.flatnonzero(np.bincount(packed, minlength=size**3))
-        number = np.zeros(size**3, np.int32)
-        number[here] = np.arange(len(here))
-        at = number[packed]
-    else:
-        here, at = np.unique(packed, return_inverse=True)
-    wide = alphabet.astype(np.int64)
-    keys = wide[here // size**2] << 42 | wide[here // size % size] << 21 | wide[here % size]
-    return keys, at, starts - 2 * np.arange(len(starts))
-
-
-def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, n) of all trigrams of all whole texts. Each map task sums its own before the shuffle. Null counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, codes, starts in _passes(batch.column(0)):
-                keys, at, _ = _trigrams(codes, starts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, minlength=len(keys)))], ["key", "n"])
+def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per pass: first row, last row + 1, row of each token within the pass, words, and classes of the words before. A row of n words has n + 1 tokens, the last one its end."""
+    for first_row, last_row, data, offsets in passes(batch, "_text"):
+        folded = _FOLD[data]
+        starts, ends, first = spans(folded, offsets, _INSIDE)
+        n = np.diff(first)
+        rows = np.arange(len(n))
+        words = np.full(len(starts) + len(n), MARK, np.uint64)
+        words[np.arange(len(starts)) + np.repeat(rows, n)] = word_hashes(folded, starts, ends, _WEIGHTS)
+        # The end of a text stands before the next one's first word.
+        before = np.concatenate([[MARK], words[:-1]])
+        yield first_row, last_row, np.repeat(rows, n + 1), words, (before >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+def _pairs(words: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each class and word."""
+    with np.errstate(over="ignore"):
+        return mixed(words + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-def model(target: DataFrame, background: DataFrame, text_col: str = "text", prior: float = PRIOR_COUNT) -> DataFrame:
-    """(key, target, background): -log2 of the last token's probability after the first two, by both models, for all trigrams of either corpus.
 
-    Both are interpolated trigram models of the same order and prior over one vocabulary: all tokens of either
-    corpus, and one for unknown tokens. Either corpus may be empty: its model is then uniform.
-    """
-    both = (
-        trigram_counts(target, text_col)
-        .select("key", F.col("n").alias("t"), F.lit(0).cast("long").alias("b"))
-        .union(trigram_counts(background, text_col).select("key", F.lit(0).cast("long").alias("t"), F.col("n").alias("b")))
-        .groupBy("key")
-        .agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    )
-    low, mid = F.lit(0x1FFFFF).cast("long"), F.lit((1 << 42) - 1).cast("long")
-    grams = written(both.select("*", F.shiftright("key", 21).alias("ab"), F.col("key").bitwiseAND(mid).alias("bc"), F.col("key").bitwiseAND(low).alias("c")), "trigrams")
-    sums = lambda by, name: grams.groupBy(by).agg(F.sum("t").alias(f"t{name}"), F.sum("b").alias(f"b{name}"))
-    tokens = written(sums("c", "1"), "tokens")
-    size, n_t, n_b = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("t1"), F.lit(0)), F.coalesce(F.sum("b1"), F.lit(0))).first()
-    pairs = sums("bc", "2").withColumn("b_", F.shiftright("bc", 21))
-    firsts = pairs.groupBy("b_").agg(F.sum("t2").alias("t1c"), F.sum("b2").alias("b1c"))
-    table = (
-        grams.join(sums("ab", "2c"), "ab").join(pairs, "bc").join(firsts, "b_").join(tokens, "c")
-    )
-
-    def loss(k: str, n: int) -> Column:
-        one = (F.col(f"{k}1") + 1.0) / F.lit(float(n + size + 1))
-        two = (F.col(f"{k}2") + prior * one) / (F.col(f"{k}1c") + prior)
-        return -F.log2((F.col(k) + prior * two) / (F.col(f"{k}2c") + prior))
-
-    return table.select("key", loss("t", n_t).alias("target"), loss("b", n_b).alias("background"))
-
-
-def cross_entropy(docs: DataFrame, losses: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_trigrams: int = BROADCAST_TRIGRAMS) -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, target_ce, background_ce (mean loss in bits a token), score = target_ce - background_ce (low: like the target).
+def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of each row: row, key, count."""
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    heads = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1]))) if len(rows) else np.zeros(0, np.int64)
+    return rows[heads], keys[heads], np.diff(np.append(heads, len(rows)))
 
-    Null and empty texts are one token, the end. Trigrams that the model lacks cost the 24 bits of an unknown
-    token in both models. A model of at most ``broadcast_trigrams`` is broadcast as sorted arrays; a larger one
-    is joined with each row's counted trigrams.
-    """
-    losses = written(losses, "trigram-losses")
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = slim.schema["_id"].dataType.simpleString()
-    if losses.count() <= broadcast_trigrams:
-        held = losses.orderBy("key").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast([held.column(c).combine_chunks().to_numpy() if held.num_rows else np.zeros(0) for c in range(3)])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, target, background = shared.value
-            for batch in batches:
-                for first, codes, starts in _passes(batch.column(1)):
-                    keys, at, rows = _trigrams(codes, starts)
-                    place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                    have = known[place] == keys if len(known) else np.zeros(len(keys), bool)
-                    n = np.diff(rows)
-                    own = [np.add.reduceat(np.where(have, x[place] if len(known) else 0.0, 24.0)[at], rows[:-1]) / n for x in (target, background)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(own[0]), pa.array(own[1])], ["_id", "n_tokens", "target_ce", "background_ce"])
-
-        out = slim.mapInArrow(run, f"_id {kind}, n_tokens long, target_ce double, background_ce double")
-    else:
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, codes, starts in _passes(batch.column(1)):
-                    keys, at, rows = _trigrams(codes, starts)
-                    of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-                    pairs, n = np.unique(of * len(keys) + at, return_counts=True)
-                    pick = pa.array(pairs // len(keys) + first)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(2).take(pick), pa.array(keys[pairs % len(keys)]), pa.array(n)], ["_id", "_row", "key", "n"])
-
-        rows = slim.select("_id", "_text", F.monotonically_increasing_id().alias("_row"))
-        mean = lambda c: F.sum(F.col("n") * F.coalesce(c, F.lit(24.0))) / F.sum("n")
-        out = rows.mapInArrow(counted, f"_id {kind}, _row long, key long, n long").join(losses, "key", "left").groupBy("_row", "_id").agg(
-            F.sum("n").alias("n_tokens"), mean(F.col("target")).alias("target_ce"), mean(F.col("background")).alias("background_ce")
-        ).drop("_row")
-    return out.withColumn("score", F.col("target_ce") - F.col("background_ce")).withColumnRenamed("_id", id_col)
-
-
-def _word_trigrams(batch: pa.RecordBatch, by_row: bool) -> Iterator[tuple[np.ndarray | None, list[np.ndarray], np.ndarray]]:
-    """Per pass the distinct word trigrams, of each row or of all: (row or None, [a, b, c], count). A row of n words has n + 1."""
-    for first_row, _, data, offsets in passes(batch, "_text"):
-        folded = _FOLD[data]
-        starts, ends, first = spans(folded, offsets, _INSIDE)
-        n, rows = np.diff(first), np.arange(len(first) - 1)
-        codes = np.full(len(starts) + 3 * len(rows), WORD_MARK, np.int64)
-        codes[np.arange(len(starts)) + 3 * np.repeat(rows, n) + 2] = word_hashes(folded, starts, ends, _WEIGHTS).view(np.int64)
-        inside = np.ones(len(codes), bool)
-        heads = first[:-1] + 3 * rows
-        inside[np.concatenate([heads, heads + 1])] = False
-        last = np.flatnonzero(inside)
-        words, dense = np.unique(codes, return_inverse=True)
-        dense, size = dense.astype(np.int64), len(words)
-        distinct, at = np.unique((dense[last - 2] * size + dense[last - 1]) * size + dense[last], return_inverse=True)
-        of = None
-        if by_row:
-            pairs, count = np.unique(np.repeat(rows, n + 1) * len(distinct) + at, return_counts=True)
-            of, distinct = pairs // len(distinct) + first_row, distinct[pairs % len(distinct)]
-        else:
-            count = np.bincount(at, minlength=len(distinct))
-        yield of, [words[distinct // size**2], words[distinct // size % size], words[distinct % size]], count
-
-
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(a, b, c, n) of the word trigrams of all whole texts, summed by pass only. Null counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, words, n in _word_trigrams(batch, False):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(n)], ["a", "b", "c", "n"])
 
-    return bounded_batches(docs.select(F.col(text_col).alias("_text"))).mapInArrow(run, "a long, b long, c long, n long")
+@dataclass
+class Totals:
+    """``vocabulary``: distinct words, estimated by a sketch; ``target`` and ``background``: tokens after each class; ``hot``: sorted keys of hot pairs, ``hot_target`` and ``hot_background`` their counts."""
+
+    vocabulary: int
+    target: np.ndarray
+    background: np.ndarray
+    hot: np.ndarray
+    hot_target: np.ndarray
+    hot_background: np.ndarray
 
 
-def word_model(target: DataFrame, background: DataFrame, text_col: str = "text", prior: float = PRIOR_COUNT) -> DataFrame:
-    """(key, target, background) as ``model`` gives, of word trigrams; ``key`` is a hash of the three words. All tables are keyed and joined, whatever their size."""
-    none = F.lit(0).cast("long")
-    both = word_counts(target, text_col).select("a", "b", "c", F.col("n").alias("t"), none.alias("b_")).union(word_counts(background, text_col).select("a", "b", "c", none, "n"))
-    grams = written(both.groupBy("a", "b", "c").agg(F.sum("t").alias("t"), F.sum("b_").alias("g")), "word-trigrams")
-    sums = lambda of, name, *by: of.groupBy(*by).agg(F.sum("t").alias(f"t{name}"), F.sum("g").alias(f"g{name}"))
-    pairs = written(grams.groupBy("b", "c").agg(F.sum("t").alias("t"), F.sum("g").alias("g")), "word-pairs")
-    tokens = written(sums(pairs, "1", "c"), "words")
-    size, n_t, n_g = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("t1"), F.lit(0)), F.coalesce(F.sum("g1"), F.lit(0))).first()
+def with_target(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _text, _target): whether a row's id is among ``target``'s. Null ids are not.
+
+    A filter of fixed size is broadcast first; only texts that it can't rule out are joined, once.
+    """
+    ids = target.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
+    place = lambda: F.xxhash64("_id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    bit = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), place().bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    cells = ids.groupBy(F.shiftright(place(), 6).alias("_cell")).agg(F.bit_or(bit()).alias("_bits"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    tried = slim.withColumn("_cell", F.shiftright(place(), 6)).join(F.broadcast(written(cells, "target-filter")), "_cell", "left")
+    may = F.coalesce(F.col("_bits"), F.lit(0).cast("long")).bitwiseAND(bit()) != 0
+    # Merged at every size, so that the plan doesn't change where the labels outgrow a broadcast.
+    held = ids.withColumn("_target", F.lit(True)).hint("merge")
+    some = tried.where(may).select("_id", "_text").join(held, "_id", "left").select("_id", "_text", F.coalesce("_target", F.lit(False)).alias("_target"))
+    return written(some, "target-texts").union(tried.where(~may).select("_id", "_text", F.lit(False)))
+
+
+def totals(rows: DataFrame) -> Totals:
+    """The totals of ``rows`` (_text, _target): target counts of the rows so marked, background counts of all."""
+    size = 1 << CLASS_BITS
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, found, _ in _tokens(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["word"])
 
-    def two(k: str, n: int) -> Column:
-        one = (F.col(f"{k}1") + 1.0) / F.lit(float(n + size + 1))
-        return (F.col(k) + prior * one) / (F.col(f"{k}1c") + prior)
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens after each class, of all rows and of the target's; pairs that many rows of a pass have; all distinct pairs of rows."""
+        own, every, many, total = np.zeros(size, np.int64), np.zeros(size, np.int64), [], 0
+        for batch in batches:
+            target = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, _, at, found, before in _tokens(batch):
+                every += np.bincount(before, minlength=size)
+                own += np.bincount(before[target[first + at]], minlength=size)
+                _, keys, _ = _distinct(at, _pairs(found, before))
+                total += len(keys)
+                keys, n = np.unique(keys, return_counts=True)
+                some = n >= max(2, len(at) / (2 * HOT))
+                many.append((keys[some], n[some]))
+        here = np.flatnonzero(every)
+        for kind, keys, n, m in (("class", here, every[here], own[here]), *(("pair", k, n, n * 0) for k, n in many), ("all", np.zeros(1, np.int64), np.array([total]), np.zeros(1, np.int64))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), _KIND[kind], np.int32)), pa.array(keys), pa.array(n), pa.array(m)], ["kind", "key", "n", "own"])
+
+    slim = bounded_batches(rows.select("_text", "_target"))
+    vocabulary = slim.mapInArrow(words, "word long").agg(F.approx_count_distinct("word", 0.01)).first()[0]
+    seen = written(slim.mapInArrow(classes, "kind int, key long, n long, own long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "class-totals")
+    out = Totals(max(vocabulary, 1), np.zeros(size, np.int64), np.zeros(size, np.int64), *[np.zeros(0, np.int64)] * 3)
+    held = seen.where(F.col("kind") == _KIND["class"]).toArrow()
+    out.target[held.column("key").to_numpy()], out.background[held.column("key").to_numpy()] = held.column("own").to_numpy(), held.column("n").to_numpy()
+    every = seen.where(F.col("kind") == _KIND["all"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out.hot = np.sort(seen.where((F.col("kind") == _KIND["pair"]) & (F.col("n") * HOT >= every)).select("key").toArrow().column("key").to_numpy())
+    if len(out.hot):
+        shared = rows.sparkSession.sparkContext.broadcast(out.hot)
+
+        def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            own, every = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+            for batch in batches:
+                target = batch.column(1).to_numpy(zero_copy_only=False)
+                for first, _, at, found, before in _tokens(batch):
+                    keys = _pairs(found, before)
+                    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    met = known[place] == keys
+                    every += np.bincount(place[met], minlength=len(known))
+                    own += np.bincount(place[met & target[first + at]], minlength=len(known))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(known))), pa.array(own), pa.array(every)], ["at", "own", "n"])
 
-    shorter = pairs.join(tokens, "c").join(sums(pairs, "1c", "b"), "b").select("b", "c", two("t", n_t).alias("t2"), two("g", n_g).alias("g2"))
-    loss = lambda k: -F.log2((F.col(k) + prior * F.col(f"{k}2")) / (F.col(f"{k}2c") + prior))
-    table = grams.join(shorter, ["b", "c"]).join(sums(grams, "2c", "a", "b"), ["a", "b"])
-    return table.select(F.xxhash64("a", "b", "c").alias("key"), loss("t").alias("target"), loss("g").alias("background"))
+        held = slim.mapInArrow(hot, "at long, own long, n long").groupBy("at").agg(F.sum("own").alias("own"), F.sum("n").alias("n")).orderBy("at").toArrow()
+        out.hot_target, out.hot_background = held.column("own").to_numpy(), held.column("n").to_numpy()
+    return out
 
 
-def word_cross_entropy(docs: DataFrame, losses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``cross_entropy``, of word trigrams: each row's counted trigrams are joined with ``losses`` by key, at every size.
+def cross_entropy(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+    """One row per row of ``docs``: id, n_tokens, target_ce, background_ce (mean loss in bits a token), score = target_ce - background_ce (low: like the target).
 
-    One row per row of ``docs``, also where ids are null or repeated. Null and blank texts are one token, the end.
+    The background corpus is all of ``docs``, the target corpus its rows whose id is in ``target``; whole texts count.
+    Null and blank texts are one token, the end. Repeated rows and null ids are rows of their own and count as often
+    as they occur. Without target rows the target model is uniform; no rows give none. Other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = slim.schema["_id"].dataType.simpleString()
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = with_target(docs, target, id_col, text_col)
+    kind = rows.schema["_id"].dataType
+    found = totals(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each row its distinct pairs that aren't hot, with their counts (negative in target rows), and one record of its tokens and of the losses known so far."""
+        t = shared.value
+        size = [np.round(np.log2(n + prior * t.vocabulary) * UNIT).astype(np.int64) for n in (t.target, t.background)]
+        hot = [np.round(np.log2(n + prior) * UNIT).astype(np.int64) for n in (t.hot_target, t.hot_background)]
         for batch in batches:
-            for of, words, n in _word_trigrams(batch, True):
-                pick = pa.array(of)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(2).take(pick), *map(pa.array, words), pa.array(n)], ["_id", "_row", "a", "b", "c", "n"])
-
-    rows = bounded_batches(slim.select("_id", "_text", F.monotonically_increasing_id().alias("_row"))).mapInArrow(counted, f"_id {kind}, _row long, a long, b long, c long, n long")
-    keyed = rows.select("_id", "_row", F.xxhash64("a", "b", "c").alias("key"), F.col("n").cast("int").alias("n"))
-    mean = lambda c: F.sum(F.col("n") * F.coalesce(c, F.lit(UNKNOWN))) / F.sum("n")
-    out = keyed.join(losses, "key", "left").groupBy("_row", "_id").agg(F.sum("n").alias("n_tokens"), mean(F.col("target")).alias("target_ce"), mean(F.col("background")).alias("background_ce"))
-    return out.drop("_row").withColumn("score", F.col("target_ce") - F.col("background_ce")).withColumnRenamed("_id", id_col)
+            target = batch.column(2).to_numpy(zero_copy_only=False)
+            for first, last, at, words, before in _tokens(batch):
+                keys = _pairs(words, before)
+                place = np.minimum(np.searchsorted(t.hot, keys), max(len(t.hot) - 1, 0))
+                met = t.hot[place] == keys if len(t.hot) else np.zeros(len(keys), bool)
+                heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                known = []
+                for s, h in zip(size, hot, strict=True):
+                    loss = s[before]
+                    loss[met] -= h[place[met]]
+                    known.append(np.add.reduceat(loss, heads))
+                tokens = np.diff(np.append(heads, len(at)))
+                of, key, n = _distinct(at[~met], keys[~met])
+                # Records of rows are spread over all tasks.
+                head = mixed((batch.column(3).slice(first, last - first).to_numpy()).view(np.uint64)).view(np.int64)
+                pick = pa.array(first + np.concatenate([of, np.arange(last - first)]))
+                none = np.ones(len(of), bool)
+                record = [pa.array(np.concatenate([np.zeros(len(of), np.int64), x]), mask=np.append(none, np.zeros(last - first, bool))) for x in (tokens, *known)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([key, head])), batch.column(3).take(pick), batch.column(0).take(pick), pa.array(np.concatenate([np.where(target[first + of], -n, n), np.zeros(last - first, np.int64)]), pa.int32()), *record],
+                    ["key", "row", "id", "n", "tokens", "target", "background"],
+                )
+
+    numbered = bounded_batches(rows.withColumn("_row", F.monotonically_increasing_id()))
+    sent = numbered.mapInArrow(pairs, f"key long, row long, id {kind.simpleString()}, n int, tokens long, target long, background long")
+    # Rows that aren't records keep three nulls as one.
+    sent = sent.select("key", "row", "id", "n", F.when(F.col("tokens").isNotNull(), F.struct("tokens", "target", "background")).alias("record"))
+    of_pair = Window.partitionBy("key")
+    counted = sent.withColumn("b", F.sum(F.abs("n")).over(of_pair)).withColumn("t", F.sum(F.when(F.col("n") < 0, -F.col("n")).otherwise(0)).over(of_pair))
+
+    def loss(name: str, count: str) -> Column:
+        own = F.when(F.col("n") != 0, F.round(F.log2(F.col(count) + F.lit(prior)) * F.abs("n") * UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.sum(F.coalesce(F.col(f"record.{name}"), F.lit(0).cast("long")) - own)
+
+    sums = counted.groupBy("row", "id").agg(F.sum("record.tokens").alias("n_tokens"), loss("target", "t").alias("t"), loss("background", "b").alias("b"))
+    mean = lambda c: F.col(c) / F.lit(float(UNIT)) / F.col("n_tokens")
+    return sums.select(F.col("id").alias(id_col), "n_tokens", mean("t").alias("target_ce"), mean("b").alias("background_ce"), (mean("t") - mean("b")).alias("score"))

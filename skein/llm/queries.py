@@ -89,11 +89,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Merged at every size, so that the plan does not change where the labels outgrow a broadcast.
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge")
-    losses = lm_score.word_model(docs.join(good, "doc_id", "left_semi"), docs)
-    return lm_score.word_cross_entropy(docs, losses)
+    return lm_score.cross_entropy(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

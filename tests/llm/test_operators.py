@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, components, decontaminate, exact_dedup, langid, lm_score, queries, simhash, substring_dedup, toxicity, url_filter, warc
+from skein.llm import bpe, components, decontaminate, exact_dedup, langid, queries, simhash, substring_dedup, toxicity, url_filter, warc
 from tests.compare import same_rows
 
 DOCS = "doc_id long, text string, key long, fp string, anchor int"
@@ -423,45 +423,6 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(table, empty).collect()} == {"und"}
 
 
-# 10
-
-
-def brute_losses(target, background):
-    def grams(ts):
-        out = {}
-        for t in ts:
-            codes = [0x1FFFFF, 0x1FFFFF, *map(ord, t or ""), 0x1FFFFF]
-            for k in range(2, len(codes)):
-                out[tuple(codes[k - 2 : k + 1])] = out.get(tuple(codes[k - 2 : k + 1]), 0) + 1
-        return out
-
-    counts = [grams(target), grams(background)]
-    size = len({g[2] for c in counts for g in c})
-
-    def loss(c, g):
-        s = lambda test: sum(n for x, n in c.items() if test(x))
-        one = (s(lambda x: x[2] == g[2]) + 1) / (sum(c.values()) + size + 1)
-        two = (s(lambda x: x[1:] == g[1:]) + 2 * one) / (s(lambda x: x[1] == g[1]) + 2)
-        return -np.log2((c.get(g, 0) + 2 * two) / (s(lambda x: x[:2] == g[:2]) + 2))
-
-    return lambda t: [np.mean([loss(c, tuple(x)) for x in zip(*(([0x1FFFFF, 0x1FFFFF, *map(ord, t or ""), 0x1FFFFF])[k:] for k in range(3)), strict=False)]) for c in counts]
-
-
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_cross_entropy_equals_brute_force(spark, limit):
-    texts = ["abab ba", "aab", None, "", "zz é", "abab ba", "中文 ab"]
-    table = docs(spark, texts)
-    target = table.where("doc_id < 2")
-    got = lm_score.cross_entropy(table, lm_score.model(target, table), broadcast_trigrams=limit).collect()
-    want = brute_losses(texts[:2], texts)
-    for r in got:
-        assert (r.target_ce, r.background_ce) == (pytest.approx(want(texts[r.doc_id])[0]), pytest.approx(want(texts[r.doc_id])[1]))
-        assert r.n_tokens == len(texts[r.doc_id] or "") + 1 and r.score == pytest.approx(r.target_ce - r.background_ce)
-    assert len(got) == len(texts)
-    assert lm_score.cross_entropy(table.limit(0), lm_score.model(target, table)).count() == 0
-    assert lm_score.cross_entropy(table, lm_score.model(table.limit(0), table.limit(0)), broadcast_trigrams=limit).count() == len(texts)
-
-
 # 1
 
 

@@ -99,33 +99,39 @@ def test_rows_that_share_an_id_keep_their_own_result_for_every_benchmark_size(sp
 # 10
 
 
-def word_grams(t):
-    words = [None, None, *(t or "").translate({c: c + 32 for c in range(65, 91)}).split(), None]
-    return list(zip(words, words[1:], words[2:], strict=False))
-
-
-def test_word_cross_entropy_equals_brute_force(spark):
-    texts = ["salt and iron Salt and stone", "salt and iron", None, "", "iron and salt é", "salt and iron", "中文 ab", "and salt iron"]
-    table = docs(spark, texts, [0, 1, 2, 3, 4, 4, None, 7])
+def class_pairs(t):
+    """(class of the word before, word) of each token of a text, words by their bytes."""
+    words = (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    if not words:
+        return [(int(lm_score.MARK) >> 48, None)]
+    ends = np.cumsum([len(w) for w in words])
+    hashes = lm_score.word_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends, lm_score._WEIGHTS)
+    return list(zip([int(h) >> 48 for h in (lm_score.MARK, *hashes)], [*words, None], strict=True))
+
+
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_cross_entropy_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    texts = ["salt and iron Salt and stone", "salt and iron", None, "", "iron and salt é", "salt and iron", "中文 ab", "and salt iron", *["salt and"] * 12]
+    ids = [0, 1, 2, 3, 4, 4, None, 7, *[8] * 12]
+    table = docs(spark, texts, ids).withColumn("_id", F.lit(1)).withColumn("_target", F.lit("x"))
+    good = spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (None, "z"), (99, "w")], "doc_id long, text string")
     counts = []
     for corpus in (texts[:2], texts):
-        c = defaultdict(int)
-        for g in (g for t in corpus for g in word_grams(t)):
-            c[g] += 1
-        counts.append(c)
-    size = len({g[2] for g in counts[1]})
-
-    def loss(c, g):
-        s = lambda test: sum(n for x, n in c.items() if test(x))
-        one = (s(lambda x: x[2] == g[2]) + 1) / (sum(c.values()) + size + 1)
-        two = (s(lambda x: x[1:] == g[1:]) + 2 * one) / (s(lambda x: x[1] == g[1]) + 2)
-        return -np.log2((c[g] + 2 * two) / (s(lambda x: x[:2] == g[:2]) + 2))
-
-    got = lm_score.word_cross_entropy(table, lm_score.word_model(table.where("doc_id < 2"), table)).collect()
-    want = sorted((len(word_grams(t)), *[float(np.mean([loss(c, g) for g in word_grams(t)])) for c in counts]) for t in texts)
-    assert np.allclose(sorted((r.n_tokens, r.target_ce, r.background_ce) for r in got), want)
-    assert lm_score.word_cross_entropy(table.limit(0), lm_score.word_model(table, table)).count() == 0
-    assert lm_score.word_cross_entropy(table, lm_score.word_model(table.limit(0), table.limit(0))).count() == len(texts)
+        pairs, classes = defaultdict(int), defaultdict(int)
+        for c, w in (p for t in corpus for p in class_pairs(t)):
+            pairs[c, w] += 1
+            classes[c] += 1
+        counts.append((pairs, classes))
+    size = len({w for _, w in counts[1][0]})
+    loss = lambda m, p: -np.log2((m[0][p] + 0.01) / (m[1][p[0]] + 0.01 * size))
+    want = sorted((len(class_pairs(t)), *[float(np.mean([loss(m, p) for p in class_pairs(t)])) for m in counts]) for t in texts)
+    got = lm_score.cross_entropy(table, good).collect()
+    assert np.allclose(sorted((r.n_tokens, r.target_ce, r.background_ce) for r in got), want, atol=1e-5)
+    assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, ids)) and all(abs(r.score - r.target_ce + r.background_ce) < 1e-12 for r in got)
+    found = lm_score.totals(lm_score.with_target(table, good))
+    assert bool(len(found.hot)) and lm_score.cross_entropy(table.limit(0), good).count() == 0
+    assert {r.target_ce for r in lm_score.cross_entropy(table, good.limit(0)).collect()} == {float(np.log2(size))}
 
 
 def test_op10_tells_phrases_apart(spark, data):
