@@ -24,12 +24,14 @@ from skein.llm.common import bounded_batches, byte_weights, mixed, passes, spans
 PRIOR = 0.01
 #: Classes of context words, by the leading bits of their hashes.
 CLASS_BITS = 16
-#: A pair that makes up a share of 1 / HOT of all pairs of documents is hot; so there are at most so many.
-HOT = 10_000
+#: A pair that makes up a share of 1 / HOT of all pairs of documents is hot; so there are at most so many, and their counts are broadcast.
+HOT = 1 << 18
+#: Pairs that a task counts to find hot ones before it forgets the rare ones. A hot pair that it misses is counted like any other.
+POOL = 1 << 20
 #: Bits of the filter of target ids (words of 64 bits, one a row, are broadcast: 2**18 at most).
 FILTER_BITS = 1 << 24
 #: Losses are summed as multiples of this part of a bit, so that sums don't depend on their order.
-UNIT = 1 << 20
+UNIT = 1 << 16
 #: Words are runs of bytes that are not white space, A-Z lower-cased, by a 64-bit hash; this one stands for a text's bounds.
 MARK = np.uint64(0x6A09E667F3BCC908)
 _WEIGHTS = byte_weights(10)
@@ -55,9 +57,16 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def _pairs(words: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each class and word."""
+    """A key of 56 bits of each class and word (of 10**12 pairs one in 70,000 shares its key with another)."""
     with np.errstate(over="ignore"):
-        return mixed(words + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        return (mixed(words + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)).view(np.int64)
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their sums, without those below ``least``."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+    return found[sums >= least], sums[sums >= least]
 
 
 def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,21 +117,24 @@ def totals(rows: DataFrame) -> Totals:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["word"])
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens after each class, of all rows and of the target's; pairs that many rows of a pass have; all distinct pairs of rows."""
-        own, every, many, total = np.zeros(size, np.int64), np.zeros(size, np.int64), [], 0
+        """Tokens after each class, of all rows and of the target's; pairs that many rows have; all distinct pairs of rows."""
+        own, every, total = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
             target = batch.column(1).to_numpy(zero_copy_only=False)
             for first, _, at, found, before in _tokens(batch):
                 every += np.bincount(before, minlength=size)
                 own += np.bincount(before[target[first + at]], minlength=size)
-                _, keys, _ = _distinct(at, _pairs(found, before))
-                total += len(keys)
-                keys, n = np.unique(keys, return_counts=True)
-                some = n >= max(2, len(at) / (2 * HOT))
-                many.append((keys[some], n[some]))
+                seen, n = np.unique(_distinct(at, _pairs(found, before))[1], return_counts=True)
+                total += int(n.sum())
+                keys.append(seen)
+                counts.append(n)
+                if sum(map(len, keys)) > POOL:
+                    keys, counts = [[x] for x in _summed(keys, counts, max(2, total / (4 * HOT)))]
+        many, n = _summed(keys, counts, max(2, total / (4 * HOT)))
         here = np.flatnonzero(every)
-        for kind, keys, n, m in (("class", here, every[here], own[here]), *(("pair", k, n, n * 0) for k, n in many), ("all", np.zeros(1, np.int64), np.array([total]), np.zeros(1, np.int64))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), _KIND[kind], np.int32)), pa.array(keys), pa.array(n), pa.array(m)], ["kind", "key", "n", "own"])
+        for kind, key, n, m in (("class", here, every[here], own[here]), ("pair", many, n, n * 0), ("all", np.zeros(1, np.int64), np.array([total]), np.zeros(1, np.int64))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), _KIND[kind], np.int32)), pa.array(key), pa.array(n), pa.array(m)], ["kind", "key", "n", "own"])
 
     slim = bounded_batches(rows.select("_text", "_target"))
     vocabulary = slim.mapInArrow(words, "word long").agg(F.approx_count_distinct("word", 0.01)).first()[0]
@@ -186,25 +198,26 @@ def cross_entropy(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", te
                 of, key, n = _distinct(at[~met], keys[~met])
                 # Records of rows are spread over all tasks.
                 head = mixed((batch.column(3).slice(first, last - first).to_numpy()).view(np.uint64)).view(np.int64)
-                pick = pa.array(first + np.concatenate([of, np.arange(last - first)]))
+                pick = first + np.concatenate([of, np.arange(last - first)])
                 none = np.ones(len(of), bool)
+                ids = batch.column(0).take(pa.array(np.where(np.arange(len(pick)) < len(of), -1, pick), mask=np.arange(len(pick)) < len(of)))
                 record = [pa.array(np.concatenate([np.zeros(len(of), np.int64), x]), mask=np.append(none, np.zeros(last - first, bool))) for x in (tokens, *known)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([key, head])), batch.column(3).take(pick), batch.column(0).take(pick), pa.array(np.concatenate([np.where(target[first + of], -n, n), np.zeros(last - first, np.int64)]), pa.int32()), *record],
+                    [pa.array(np.concatenate([key, head])), batch.column(3).take(pa.array(pick)), ids, pa.array(np.concatenate([np.where(target[first + of], -n, n), np.zeros(last - first, np.int64)]), pa.int32()), *record],
                     ["key", "row", "id", "n", "tokens", "target", "background"],
                 )
 
     numbered = bounded_batches(rows.withColumn("_row", F.monotonically_increasing_id()))
     sent = numbered.mapInArrow(pairs, f"key long, row long, id {kind.simpleString()}, n int, tokens long, target long, background long")
-    # Rows that aren't records keep three nulls as one.
-    sent = sent.select("key", "row", "id", "n", F.when(F.col("tokens").isNotNull(), F.struct("tokens", "target", "background")).alias("record"))
+    # Rows that aren't records keep their nulls as one.
+    sent = sent.select("key", "row", "n", F.when(F.col("tokens").isNotNull(), F.struct("id", "tokens", "target", "background")).alias("record"))
     of_pair = Window.partitionBy("key")
-    counted = sent.withColumn("b", F.sum(F.abs("n")).over(of_pair)).withColumn("t", F.sum(F.when(F.col("n") < 0, -F.col("n")).otherwise(0)).over(of_pair))
+    counted = sent.select("row", "n", "record", F.sum(F.abs("n")).over(of_pair).alias("b"), F.sum(F.greatest(-F.col("n"), F.lit(0))).over(of_pair).alias("t"))
 
     def loss(name: str, count: str) -> Column:
         own = F.when(F.col("n") != 0, F.round(F.log2(F.col(count) + F.lit(prior)) * F.abs("n") * UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
         return F.sum(F.coalesce(F.col(f"record.{name}"), F.lit(0).cast("long")) - own)
 
-    sums = counted.groupBy("row", "id").agg(F.sum("record.tokens").alias("n_tokens"), loss("target", "t").alias("t"), loss("background", "b").alias("b"))
+    sums = counted.groupBy("row").agg(F.max("record.id").alias("id"), F.sum("record.tokens").alias("n_tokens"), loss("target", "t").alias("t"), loss("background", "b").alias("b"))
     mean = lambda c: F.col(c) / F.lit(float(UNIT)) / F.col("n_tokens")
     return sums.select(F.col("id").alias(id_col), "n_tokens", mean("t").alias("target_ce"), mean("b").alias("background_ce"), (mean("t") - mean("b")).alias("score"))

@@ -109,7 +109,7 @@ def class_pairs(t):
     return list(zip([int(h) >> 48 for h in (lm_score.MARK, *hashes)], [*words, None], strict=True))
 
 
-@pytest.mark.parametrize("hot", [10_000, 20])
+@pytest.mark.parametrize("hot", [1 << 18, 20])
 def test_cross_entropy_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(lm_score, "HOT", hot)
     texts = ["salt and iron Salt and stone", "salt and iron", None, "", "iron and salt é", "salt and iron", "中文 ab", "and salt iron", *["salt and"] * 12]
@@ -127,11 +127,11 @@ def test_cross_entropy_equals_brute_force(spark, monkeypatch, hot):
     loss = lambda m, p: -np.log2((m[0][p] + 0.01) / (m[1][p[0]] + 0.01 * size))
     want = sorted((len(class_pairs(t)), *[float(np.mean([loss(m, p) for p in class_pairs(t)])) for m in counts]) for t in texts)
     got = lm_score.cross_entropy(table, good).collect()
-    assert np.allclose(sorted((r.n_tokens, r.target_ce, r.background_ce) for r in got), want, atol=1e-5)
+    assert np.allclose(sorted((r.n_tokens, r.target_ce, r.background_ce) for r in got), want, atol=1e-4)
     assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, ids)) and all(abs(r.score - r.target_ce + r.background_ce) < 1e-12 for r in got)
     found = lm_score.totals(lm_score.with_target(table, good))
     assert bool(len(found.hot)) and lm_score.cross_entropy(table.limit(0), good).count() == 0
-    assert {r.target_ce for r in lm_score.cross_entropy(table, good.limit(0)).collect()} == {float(np.log2(size))}
+    assert all(abs(r.target_ce - np.log2(size)) < 1e-4 for r in lm_score.cross_entropy(table, good.limit(0)).collect())
 
 
 def test_op10_tells_phrases_apart(spark, data):
