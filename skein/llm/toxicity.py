@@ -1,8 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon maps words to symbols. Sequential transducers for reported speech, negation and target are composed
-into one machine that rewrites each insult or threat symbol of a clause into a pattern: who it is said of,
-whether it is negated or reported. Pattern weights are fitted on labelled rows around fixed prior weights.
+A lexicon maps words to symbols. Sequential transducers for insults, threats, reported speech and negation are composed
+into one machine, which rewrites the symbols of a clause into patterns: an insult, a slur that only tells when it comes
+again, a verb of harm or a threat of it, each negated or reported. A transducer for targets then runs over its output
+in both directions, since a target may stand before or after. Pattern weights are fitted on labelled rows around fixed
+prior weights.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skein.llm.common import bounded_batches, written
 
@@ -24,12 +27,26 @@ SAMPLE_ROWS = 3000
 #: Stems that may enter the lexicon, and stems considered for it.
 LEXICON, CANDIDATES = 400, 5000
 
-#: English words of each symbol of the grammar.
-INSULTS = "idiot idiots moron morons imbecile stupid scum trash worthless pathetic disgusting loser losers clown clowns vermin filth bastard jerk dumb scumbag lowlife degenerate retard".split()
-THREATS = "kill murder hurt destroy hang shoot stab strangle exterminate".split()
-TARGETS = "you your yours yourself u he she they them him her his their these those we us".split()
-NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't didn't cannot".split()
-REPORTS = "said says say told wrote reported called quoted quote alleged claimed according".split()
+#: Bytes of the longest text that is learnt from.
+SAMPLE_BYTES = 1 << 18
+
+#: Words of each symbol of the grammar, in English, German, French and Spanish.
+INSULTS = (
+    "idiot idiots moron morons imbecile stupid scum trash worthless pathetic disgusting loser losers clown clowns vermin filth bastard jerk dumb scumbag lowlife degenerate "
+    "dummkopf trottel versager abschaum widerlich abfall crétin imbécile ordure salaud minable dégoûtant estúpido imbécil escoria basura asqueroso inútil"
+).split()
+HARM = (
+    "kill murder hurt destroy hang shoot stab strangle exterminate töten umbringen ermorden vernichten erschießen tuer assassiner détruire frapper pendre matar asesinar destruir golpear"
+).split()
+INTENTS = "will shall gonna going should must deserve deserves ought werde werden wirst soll sollte muss vais va allons doit devrait voy vamos debe debería".split()
+TARGETS = (
+    "you your yours yourself u he she they them him her his their these those we us du dich dir dein deine ihr euch sie er ihn ihnen tu te toi ton ta vous votre il elle ils elles leur "
+    "tú ti tus usted ustedes él ella ellos ellas"
+).split()
+NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't didn't cannot nicht kein keine nie niemals pas jamais aucun sans nunca jamás ningún sin".split()
+REPORTS = (
+    "said says say told wrote reported called quoted quote alleged claimed according sagte sagt schrieb berichtete nannte laut dit écrit raconte selon appelait dijo dice escribió según llamó"
+).split()
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -69,7 +86,6 @@ def marker(trigger: str, mark: str, kinds: list[str], reach: int | None) -> Tran
     far = reach or 1
     for state in range(far + 1):
         out.step[state, trigger] = far, trigger
-        out.step[state, "|"] = 0, "|"
         rest = state if reach is None else max(0, state - 1)
         out.idle[state] = rest
         if state:
@@ -78,60 +94,96 @@ def marker(trigger: str, mark: str, kinds: list[str], reach: int | None) -> Tran
     return out
 
 
+def insult() -> Transducer:
+    """Insults after an insult belong to it (a chain of them is one); a word between ends the chain."""
+    out = Transducer(idle={0: 0, 1: 0})
+    for state in (0, 1):
+        out.step[state, "i"] = 1, "o" if state else "I"
+        out.step[state, "w"] = 0, "W"
+    return out
+
+
+def threat() -> Transducer:
+    """A verb of harm is a threat up to three words after an intent, else only harm."""
+    out = Transducer(idle={k: max(0, k - 1) for k in range(4)})
+    for state in range(4):
+        out.step[state, "f"] = 3, "o"
+        out.step[state, "k"] = max(0, state - 1), "T" if state else "K"
+    return out
+
+
 def marked(kinds: list[str], marks: str) -> list[str]:
     return [k + "".join(m for m, on in zip(marks, x, strict=True) if on) for k in kinds for x in product((0, 1), repeat=len(marks))]
 
 
-SYMBOLS = ["o", "|", "I", "T", "u", "n", "r"]
-PATTERNS = marked(["I", "T"], "rnu")
+#: What the lexicon gives: other words, insults, slurs, verbs of harm, intents, targets, negations, reports.
+SYMBOLS = ["o", "i", "w", "k", "f", "u", "n", "r"]
+KINDS = ["I", "W", "K", "T"]
+PATTERNS = marked(KINDS, "rnu")
 GRAMMAR = (
-    marker("r", "r", ["I", "T"], None)
-    .then(marker("n", "n", marked(["I", "T"], "r"), 3), SYMBOLS)
-    .then(marker("u", "u", marked(["I", "T"], "rn"), 4), SYMBOLS)
+    insult()
+    .then(threat(), SYMBOLS)
+    .then(marker("r", "r", KINDS, None), SYMBOLS)
+    .then(marker("n", "n", marked(KINDS, "r"), 3), SYMBOLS)
 )
-#: Prior weights: insults weigh as they stand, threats when they have a target; reports and negations take back most of it.
-PRIOR = np.array([0.0 if "n" in p else (1.5 if p[0] == "I" else 0.5) if "r" in p else (3.5 if p[0] == "I" else 0.8) + ("u" in p) * (0.5 if p[0] == "I" else 2.0) for p in PATTERNS])
+TARGET = marker("u", "u", marked(KINDS, "rn"), 4)
+#: Prior weights: insults weigh as they stand, harm when it is a threat or has a target; reports and negations take back most of it.
+_PLAIN, _REPORTED, _TARGETED = {"I": 3.5, "W": 3.0, "K": 0.8, "T": 1.5}, {"I": 1.5, "W": 1.0, "K": 0.5, "T": 0.5}, {"I": 0.5, "W": 0.5, "K": 1.0, "T": 2.0}
+PRIOR = np.array([0.0 if "n" in p else _REPORTED[p[0]] if "r" in p else _PLAIN[p[0]] + ("u" in p) * _TARGETED[p[0]] for p in PATTERNS])
 PRIOR_BIAS = -2.5
 
 
 class Lexicon:
-    """Word to symbol: whole words, and stems (``stem*``) that learnt insults start with."""
+    """Word to symbol: whole words, stems (``stem*``) that learnt insults start with, and stems (``stem**``) of learnt slurs."""
 
     def __init__(self, learnt: list[str]):
-        self.symbol = {w: s for words, s in ((INSULTS, "I"), (THREATS, "T"), (TARGETS, "u"), (NEGATIONS, "n"), (REPORTS, "r")) for w in words}
-        self.symbol |= {w: "I" for w in learnt if not w.endswith("*")}
-        self.stems = {w[:-1] for w in learnt if w.endswith("*")}
+        self.symbol = {w: s for words, s in ((INTENTS, "f"), (TARGETS, "u"), (NEGATIONS, "n"), (REPORTS, "r"), (HARM, "k"), (INSULTS, "i")) for w in words}
+        self.symbol |= {w: "i" for w in learnt if not w.endswith("*")}
+        self.stems = {w.rstrip("*"): "w" if w.endswith("**") else "i" for w in sorted(learnt) if w.endswith("*")}
         self.sizes = sorted({len(w) for w in self.stems})
         self.memo: dict[str, str] = {}
 
     def of(self, word: str) -> str:
         found = self.memo.get(word)
         if found is None:
-            found = self.symbol.get(word) or ("I" if any(word[:k] in self.stems for k in self.sizes if k <= len(word)) else "o")
+            stems = {self.stems.get(word[:k]) for k in self.sizes if k <= len(word)}
+            found = self.symbol.get(word) or ("i" if "i" in stems else "w" if "w" in stems else "o")
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[word] = found
         return found
 
-    def features(self, text: str) -> list[tuple[int, int]]:
-        """(number of a pattern, clauses with it) of a whole text."""
+    def patterns(self, clause: list[str]) -> list[str]:
+        """The patterns of a clause of symbols."""
+        state, out = GRAMMAR.start, []
+        for symbol in clause:
+            state, last = GRAMMAR.run(state, symbol)
+            out.append(last)
+        for _ in range(2):
+            state, both = TARGET.start, []
+            for symbol in out:
+                state, last = TARGET.run(state, symbol)
+                both.append(last)
+            out = both[::-1]
+        return [x for x in out if x[0] in KINDS]
+
+    def features(self, text: str) -> list[tuple[int, float]]:
+        """(number of a pattern, its weight in a whole text): clauses with it, three at most; of slurs, those after the first in a hundred words, four at most."""
         text = text.lower()
-        words = set(_WORD.findall(text))
-        if not any(self.of(w) in "IT" for w in words):
+        if not any(self.of(w) in "iwk" for w in set(_WORD.findall(text))):
             return []
         counts: dict[int, int] = {}
+        n_words = 0
         for clause in _CLAUSE.split(text):
-            state, seen = GRAMMAR.start, set()
             symbols = [self.of(w) for w in _WORD.findall(clause)]
-            if "I" not in symbols and "T" not in symbols:
-                continue
-            for symbol in symbols:
-                state, out = GRAMMAR.run(state, symbol)
-                if out[0] in "IT":
-                    seen.add(PATTERN_AT[out])
-            for k in seen:
-                counts[k] = counts.get(k, 0) + 1
-        return sorted(counts.items())
+            n_words += len(symbols)
+            if "i" in symbols or "w" in symbols or "k" in symbols:
+                seen = self.patterns(symbols)
+                for p in [*{x for x in seen if x[0] != "W"}, *(x for x in seen if x[0] == "W")]:
+                    counts[PATTERN_AT[p]] = counts.get(PATTERN_AT[p], 0) + 1
+        slurs = sum(n for k, n in counts.items() if PATTERNS[k][0] == "W")
+        share = min(4.0, 100.0 * (slurs - 1) / n_words) / slurs if slurs else 0.0
+        return sorted((k, n * share if PATTERNS[k][0] == "W" else float(min(n, 3))) for k, n in counts.items())
 
 
 PATTERN_AT = {p: k for k, p in enumerate(PATTERNS)}
@@ -143,14 +195,22 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def score(self, features: list[tuple[int, int]]) -> float:
-        x = self.bias + sum(self.weights[k] * min(n, 3) for k, n in features)
+    def score(self, features: list[tuple[int, float]]) -> float:
+        x = self.bias + sum(self.weights[k] * n for k, n in features)
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
 def stems_of(text: str) -> set[str]:
-    words = set(_WORD.findall(text.lower()))
-    return words | {f"{w[:k]}*" for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+    """Words and stems (``stem*``) of a text, and stems that start several of its words (``stem**``)."""
+    words = _WORD.findall(text.lower())
+    out, once = set(words), set()
+    for w in words:
+        for k in range(SHORTEST, min(LONGEST, len(w)) + 1):
+            stem = w[:k]
+            if stem in once:
+                out.add(f"{stem}**")
+            once.add(stem)
+    return out | {f"{s}*" for s in once}
 
 
 def cover(rows: dict[int, set[str]], score: dict[str, tuple[int, int]], least: int) -> list[str]:
@@ -172,17 +232,21 @@ def cover(rows: dict[int, set[str]], score: dict[str, tuple[int, int]], least: i
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Learns from at most ``sample_rows`` labelled rows of either class. Without labelled rows the prior lexicon and weights stand.
+    """Learns from at most ``sample_rows`` labelled rows of either class, of at most SAMPLE_BYTES each. Without labelled rows the prior lexicon and weights stand.
 
-    Null labels are left out; an id with several labels counts as toxic if one says so. A stem becomes an insult
-    if nearly all sampled rows with it are toxic and it covers toxic rows that no better stem covers.
+    Null labels are left out; an id with several labels counts as toxic if one says so; of rows that repeat an id
+    some may be learnt from, within the bound. A stem becomes an insult if nearly all sampled rows with it are toxic,
+    or a slur if nearly all rows with several words of it are, and if it covers toxic rows that no better stem covers.
     """
     of = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
     first = lambda k: of.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     # At most 2 * sample_rows ids: small enough to broadcast whatever the input.
     chosen = written(first(1).union(first(0)), "toxicity-sample")
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = written(slim.join(F.broadcast(chosen), "_id"), "toxicity-rows").repartition(12)
+    met = slim.where(F.octet_length("_text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "_id")
+    bounded = lambda k: met.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), F.xxhash64("_text")).limit(sample_rows)
+    # Bounded in rows and bytes, so a fixed number of parts does.
+    rows = written(bounded(1).union(bounded(0)), "toxicity-rows").repartition(12)
     n = dict(rows.groupBy("_toxic").count().collect())
     positives, negatives = n.get(1, 0), n.get(0, 0)
     if not positives or not negatives:
@@ -201,13 +265,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least = max(2, round(0.003 * positives))
     counted = rows.select("_text", "_toxic").mapInArrow(stems, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = F.col("clean") / F.lit(float(negatives))
-    strong = counted.where((F.col("toxic") >= least) & (rate <= 0.02 * F.col("toxic") / F.lit(float(positives)))).orderBy(F.desc("toxic"), "stem").limit(CANDIDATES)
+    # Rows with several words of a stem are fewer, and weigh by how many there are, so more clean ones may have them.
+    most = F.when(F.col("stem").endswith("**"), F.lit(0.05)).otherwise(F.lit(0.02))
+    strong = counted.where((F.col("toxic") >= least) & (rate <= most * F.col("toxic") / F.lit(float(positives)))).orderBy(F.desc("toxic"), "stem").limit(CANDIDATES)
     score = {r.stem: (r.toxic, r.clean) for r in strong.collect()}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(0)]
-            out = [[] if any(prior.of(w) == "I" for w in _WORD.findall(t.lower())) else sorted(stems_of(t) & score.keys()) for t in texts]
+            out = [[] if any(prior.of(w) == "i" for w in _WORD.findall(t.lower())) else sorted(stems_of(t) & score.keys()) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["stems"])
 
     toxic_rows = rows.where("_toxic = 1").select("_text").mapInArrow(held, "stems array<string>").where(F.size("stems") > 0)
@@ -217,12 +283,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [lexicon.features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in x] for x in each], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in each], pa.list_(pa.int32())), batch.column(1)], ["at", "n", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in x] for x in each], pa.list_(pa.int32())), pa.array([[round(c, 3) for _, c in x] for x in each], pa.list_(pa.float64())), batch.column(1)], ["at", "n", "toxic"])
 
-    data = rows.select("_text", "_toxic").mapInArrow(features, "at array<int>, n array<int>, toxic int").groupBy("at", "n", "toxic").count().orderBy("at", "n", "toxic").collect()
+    data = rows.select("_text", "_toxic").mapInArrow(features, "at array<int>, n array<double>, toxic int").groupBy("at", "n", "toxic").count().orderBy("at", "n", "toxic").collect()
     x = np.zeros((len(data), len(PATTERNS)))
     for k, r in enumerate(data):
-        x[k, r.at] = np.minimum(r.n, 3)
+        x[k, r.at] = r.n
     y, m = np.array([r.toxic for r in data], float), np.array([r["count"] for r in data], float)
     return ToxicityModel(learnt, *_fit(x, y, m))
 
@@ -245,29 +311,29 @@ def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 60, tie: floa
 
 
 def _each(docs: DataFrame, model: ToxicityModel, text_col: str, keep_below: float | None, out_col: str | None) -> DataFrame:
-    """Scores whole texts inside one map pass: rows below ``keep_below`` with their columns, or all rows with ``out_col``."""
+    """Scores whole texts inside one map pass: rows below ``keep_below`` with their columns, whatever their names, or all rows with ``out_col``."""
     columns = [c for c in docs.columns if c != out_col]
-    slim = docs.select(*columns)
+    slim = docs.select(*(F.col(f"`{c}`") for c in columns)).toDF(*(f"c{k}" for k in range(len(columns))))
     at = columns.index(text_col)
-    schema = ", ".join([*(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in columns), *([f"`{out_col}` double"] if out_col else [])])
+    schema = StructType([*slim.schema.fields, *([StructField("score", DoubleType())] if out_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.learnt)
         for batch in batches:
             scores = np.array([model.score(lexicon.features(t.as_py() or "")) for t in batch.column(at)], float)
             if out_col:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*columns, out_col])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
             else:
                 yield batch.filter(pa.array(scores < keep_below))
 
-    return bounded_batches(slim).mapInArrow(run, schema)
+    return bounded_batches(slim).mapInArrow(run, schema).toDF(*columns, *([out_col] if out_col else []))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with ``out_col`` (0 to 1, replacing a column of that name). Null and empty texts get the score of a text without patterns."""
+    """``docs`` with ``out_col`` (0 to 1, replacing a column of that name). Null and empty texts get the score of a text without patterns; repeated rows and null ids stay rows of their own; no rows give none."""
     return _each(docs, model, text_col, None, out_col)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``."""
+    """The rows of ``docs`` that score below ``threshold``, each judged by its own text."""
     return _each(docs, model, text_col, threshold, None)
