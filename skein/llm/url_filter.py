@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 from zlib import crc32
 
 import numpy as np
@@ -27,15 +28,16 @@ ALLOWED_NAMES = (
     "news wiki docs library museum university school science nature history weather garden recipes travel music books journal archive "
     "research health parliament council hospital community forum support developer python-docs open-data city-guide city-news "
     "daily-post river mountain theatre orchestra football railway airport cooking photo-club bike-repair local-history "
-    "thering tionble ththan erenest hanther stionre theandor ingthere ouration weltbild bibliothek schule zeitung gemeinde musee ecole jardin "
-    "cuisine journaux biblioteca escuela noticias ciudad jardines ernd-hand bletion"
+    "weltbild bibliothek schule zeitung gemeinde musee ecole jardin cuisine journaux biblioteca escuela noticias ciudad jardines"
 ).split()
+#: Names that mean nothing, of all pairs of these syllables: a host is no worse for being unknown.
+SYLLABLES = "ba den fil gor ha jen kul lam mo nir pa rus sel tan vi wer".split()
 BLOCKED_PATHS = "/casino/bonus /free-pills/buy /xxx/cams /bet/now /ads/track /win/prize".split()
 ALLOWED_PATHS = "/ /en/123 /fr/42.html /de/page/7/ /es/articles/2020 /about /wiki/river /news/2021/05/city".split()
 
 BUCKETS = 1 << 16
-#: Scores from which the model blocks: hosts of unknown words score around 0.3, those like the blocked names above 0.9.
-THRESHOLD = 0.7
+#: Scores from which the model blocks, and the share of urls taken to be bad, by which the two labels weigh.
+THRESHOLD, BAD_SHARE = 0.5, 0.2
 SIZES = (3, 4, 5)
 
 
@@ -46,6 +48,7 @@ def labelled_urls() -> list[tuple[str, str, int]]:
         for k, name in enumerate(names):
             for prefix, top in (("", "example.com"), ("www.", "example.net"), ("m.", "example.org"), ("blog.", "example.com"), ("", "com")):
                 out.append((f"{prefix}{name}.{top}", ALLOWED_PATHS[(k + len(prefix)) % len(ALLOWED_PATHS)], label))
+    out += [(f"{('www.', 'm.', '')[k % 3]}{a}{b}.example.{('org', 'net', 'com')[k // 3 % 3]}", ALLOWED_PATHS[k % len(ALLOWED_PATHS)], 0) for k, (a, b) in enumerate(product(SYLLABLES, repeat=2))]
     # The same hosts with a bad path and with a harmless one: only the path tells.
     for k, name in enumerate(ALLOWED_NAMES):
         host = f"{('www.', 'm.', '')[k % 3]}{name}.example.{('org', 'net', 'com')[k // 3 % 3]}"
@@ -73,7 +76,7 @@ def fitted(steps: int = 300, rate: float = 1.0, tie: float = 1e-3) -> tuple[np.n
     w, bias = np.zeros(BUCKETS), -1.0
     for _ in range(steps):
         z = np.bincount(of, w[at] * value, len(rows)) + bias
-        miss = (1 / (1 + np.exp(-z)) - y) * np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        miss = (1 / (1 + np.exp(-z)) - y) * np.where(y > 0, BAD_SHARE / y.sum(), (1 - BAD_SHARE) / (1 - y).sum())
         w -= rate * 10 * (np.bincount(at, miss[of] * value, BUCKETS) + tie * w / len(rows))
         bias -= rate * miss.sum()
     return w, bias
@@ -109,7 +112,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """One row per row of ``pages``: id, host, path, rule, verdict (the rule's, else ``block`` for a score of ``threshold`` or more), score.
 
     A null or malformed url has empty host and path and is judged by its score like any other. ``rules`` is a
-    configured list that becomes one expression. Other columns of ``pages`` are ignored.
+    configured list that becomes one expression. Repeated rows and null ids are rows of their own; no rows give
+    none; a url is judged whole, whatever its length; other columns of ``pages`` are ignored.
     """
     weights = fitted()
 
