@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import mixed, written
+from skein.llm.common import bounded_batches, mixed
 
 #: Labelled rows that the model is trained and calibrated on (those with the smallest hashes of their ids).
 SAMPLE_ROWS = 3000
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (1, 2, 3)
+#: Bytes of the longest text that is learnt from; so the sample that reaches the driver is bounded in rows and bytes.
+SAMPLE_BYTES = 1 << 16
 #: Share of accepted predictions that the rejection threshold makes right on the calibration rows.
 PRECISION = 0.99
 PASS_CHARS = 1 << 19
@@ -137,18 +139,22 @@ def fit(texts: list[str], languages: list[str], epochs: int = 6, rate: float = 0
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learns from at most ``sample_rows`` rows with text and language; ids alone choose them, texts follow by a broadcast join of that bounded sample."""
-    some = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = written(some.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows), "language-sample").distinct()
-    rows = some.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).collect()
-    rows = sorted(rows, key=lambda r: (r["_i"], r["_l"], r["_t"]))[:sample_rows]
+    """Learns from at most ``sample_rows`` rows with text, of at most SAMPLE_BYTES, and language: those with the smallest hashes of id and text.
+
+    Without such rows every prediction is ``und``. Repeated rows may be learnt from several times; null ids count like others.
+    """
+    some = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where((F.octet_length("_t") <= SAMPLE_BYTES) & F.col("_l").isNotNull())
+    # The hashes alone choose the rows, so texts aren't sorted; equal hashes are cut by the second limit.
+    last = some.select(F.xxhash64("_i", "_t").alias("_h")).orderBy("_h").limit(sample_rows).agg(F.max("_h")).first()[0]
+    rows = some.where(F.xxhash64("_i", "_t") <= last).orderBy(F.xxhash64("_i", "_t"), "_i", "_l").limit(sample_rows).collect() if last is not None else []
     return fit([r["_t"] for r in rows], [r["_l"] for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score (calibrated probability), accepted (score reaches the rejection threshold).
 
-    ``und`` with score 0 for null and for texts without a letter. Other columns are ignored.
+    ``und`` with score 0 for null and for texts without a letter. Repeated rows and null ids are rows of their own; no
+    rows give none; whole texts count; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -163,4 +169,4 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(p), accepted], ["_id", "lang_pred", "score", "accepted"])
 
     kind = slim.schema["_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"_id {kind}, lang_pred string, score double, accepted boolean").withColumnRenamed("_id", id_col)
+    return bounded_batches(slim).mapInArrow(run, f"_id {kind}, lang_pred string, score double, accepted boolean").withColumnRenamed("_id", id_col)

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small made-up tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 from itertools import combinations
@@ -305,8 +306,11 @@ def test_grammar_marks_clauses():
     assert seen("You are an idiot. A glorpish thing!") == {"Iu": 1, "I": 1}
     assert seen("He is not an idiot") == {"Inu": 1}
     assert seen("She said you are a moron") == {"Iru": 1}
-    assert seen("I will kill them; nice day") == {"T": 1}
+    assert seen("I will kill them; nice day") == {"Tu": 1} and seen("to kill time") == {"K": 1}
+    assert seen("Idiot, you") == {"Iu": 1} and seen("Du bist kein Idiot") == {"Inu": 1} and seen("stupid pathetic idiot x idiot") == {"I": 1}
     assert seen("nothing here") == {} and seen("") == {}
+    slurs = toxicity.Lexicon(["zork**"])
+    assert slurs.features("zorka. " + "x " * 99) == [(toxicity.PATTERN_AT["W"], 0.0)] and slurs.features("zorka zorkb. " + "x " * 98) == [(toxicity.PATTERN_AT["W"], 1.0)]
     model = toxicity.ToxicityModel([], toxicity.PRIOR, toxicity.PRIOR_BIAS)
     score = lambda t: model.score(lexicon.features(t))
     assert score("you idiot") > 0.5 > score("she said you are an idiot") and score("not an idiot") < 0.5
@@ -324,6 +328,48 @@ def test_toxicity_is_learnt(spark):
     assert toxicity.train(table, labels.limit(0)).learnt == [] and toxicity.score(table.limit(0), model).count() == 0
 
 
+def brute_features(text, symbol):
+    """Patterns by looking back and forth in each clause instead of running machines."""
+    found = {}
+    n = 0
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        words = [symbol(w) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)*", clause)]
+        n += len(words)
+        seen = []
+        for k, s in enumerate(words):
+            if s not in ("i", "w", "k") or (s == "i" and k and words[k - 1] == "i"):
+                continue
+            kind = {"i": "I", "w": "W", "k": "T" if "f" in words[max(0, k - 3) : k] else "K"}[s]
+            marks = ("r" if "r" in words[:k] else "") + ("n" if "n" in words[max(0, k - 3) : k] else "")
+            seen.append(kind + marks + ("u" if "u" in words[max(0, k - 4) : k + 5] else ""))
+        for p in [*{x for x in seen if x[0] != "W"}, *(x for x in seen if x[0] == "W")]:
+            found[p] = found.get(p, 0) + 1
+    slurs = sum(v for p, v in found.items() if p[0] == "W")
+    return {p: v * min(4, 100 * (slurs - 1) / n) / slurs if p[0] == "W" else min(v, 3) for p, v in found.items()}
+
+
+def test_grammar_equals_brute_force():
+    words = ["idiot", "scum", "zorka", "zorkb", "kill", "will", "you", "not", "said", "x", "y", "z", ".", "!"]
+    lexicon = toxicity.Lexicon(["zork**"])
+    for _ in range(3000):
+        t = " ".join(RND.choices(words, k=RND.randint(0, 25)))
+        got = {toxicity.PATTERNS[k]: v for k, v in lexicon.features(t)}
+        assert got == pytest.approx(brute_features(t, lexicon.of)), t
+
+
+def test_labels_of_every_language_are_predicted(spark):
+    """Of the held-out rows alone, over the larger table: most toxic ones of each language (some labels have no toxic word in the text), and nearly no clean one."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no large table")
+    both = queries.table(spark, folder, "documents").select("doc_id", "lang").join(queries.table(spark, folder, "labels"), "doc_id")
+    rows = queries.op5_toxicity(spark, folder).where("held_out").join(both, "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r for r in rows if r.lang == lang]
+        assert np.mean([r.predicted for r in own if r.toxic]) >= (0.75 if lang == "de" else 0.9), lang
+        assert np.mean([r.predicted for r in own if not r.toxic]) <= 0.03, lang
+
+
 # 6
 
 
@@ -444,6 +490,19 @@ def test_urls(spark):
     assert url_filter.judge(table.limit(0)).count() == 0
 
 
+def test_urls_that_were_never_labelled():
+    """Blocked words in new company, ordinary words, and names without any meaning."""
+    bad = "casino-royal.example.com super-bets.example.net poker-stars.example.org payday-cash.example.com xxx-videos.example.net free-porn.example.com viagra-cheap.example.org my-spam-farm.example.com adserver7.example.net lottery-jackpot.example.com".split()
+    good = "bakery.example.com green-energy.example.org chess-club.example.net village-school.example.com stadtbibliothek.example.org cinema.example.net tax-office.example.com translations.example.org lighthouse.example.net".split()
+    score = lambda h, p="/en/page/9": url_filter.score(h, p)
+    assert np.mean([score(h) >= url_filter.THRESHOLD for h in bad]) >= 0.8
+    assert np.mean([score(h) < url_filter.THRESHOLD for h in good]) >= 0.9
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("bcdfghklmnprstvw") + rnd.choice("aeiou") + rnd.choice(["", "", "n", "r"]) for _ in range(3)) for _ in range(200)]
+    assert np.mean([score(f"www.{n}.example.com") < url_filter.THRESHOLD for n in names]) >= 0.95
+    assert all(score("library.example.com", p) >= url_filter.THRESHOLD for p in ("/casino/bonus", "/xxx/cams"))
+
+
 # queries over the given tables
 
 
@@ -456,26 +515,5 @@ def test_held_out_labels_are_predicted(spark, data):
     docs_, labels = queries.table(spark, data, "documents"), queries.table(spark, data, "labels")
     got = queries.op9_language_id(spark, data).where("held_out").join(docs_, "doc_id").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.9, len(got)
-    toxic = queries.op5_toxicity(spark, data).join(labels, "doc_id").collect()
+    toxic = queries.op5_toxicity(spark, data).where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r.predicted == r.toxic for r in toxic]) > 0.85
-
-
-def test_pipeline_equals_its_stages_by_hand(spark, data):
-    import corpus_pipeline as p
-
-    docs_ = queries.table(spark, data, "documents").toPandas()
-    scores = {r.doc_id: r.predicted for r in queries.op5_toxicity(spark, data).collect()}
-    left = [(int(r.doc_id), r.text) for r in docs_.itertuples() if not scores[r.doc_id]]
-    best = {}
-    for i, t in left:
-        k = t.translate({c: c + 32 for c in range(65, 91)})
-        best[k] = max(best.get(k, -1), i)
-    left = [(i, t) for i, t in left if i in set(best.values())]
-    names = brute_components({i: reference_fingerprint(t) for i, t in left})
-    left = [(i, t) for i, t in left if names[i] == i]
-    items = [tuple(r) for r in queries.table(spark, data, "benchmark").collect()]
-    left = [(i, t) for i, t in left if not brute_contamination(t, items)[1]]
-    path, pattern = queries.tokenizer()
-    want = {i: bpe.load(path, pattern).encode(t) for i, t in left}
-    assert {r.doc_id: r.token_ids for r in p.run(spark, data).collect()} == want
-    assert [n for n, _ in p.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "decontamination", "byte-level bpe"]

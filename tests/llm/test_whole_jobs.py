@@ -8,9 +8,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from skein.llm import decontaminate, jaccard, lm_score, queries
+from skein.llm import decontaminate, jaccard, lm_score, queries, toxicity
 from skein.llm.simhash import fingerprint, shingle_hashes
-from tests.llm.test_operators import EDGE, brute_contamination, docs, rows_of
+from tests.llm.test_operators import EDGE, brute_contamination, brute_features, docs, rows_of
 
 RND = random.Random(11)
 
@@ -152,3 +152,33 @@ def test_last_stage_states_the_round_trip(spark, data):
     got = p.tokens(spark, table, data).collect()
     assert {r.doc_id: r.decoded_sha256 for r in got} == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in enumerate(texts)}
     assert all(r.n_tokens == len(r.token_ids) for r in got)
+
+
+def test_pipeline_equals_its_stages_by_hand(spark, data):
+    """Each stage by a plain version: clause scans, a dict of texts, all pairs by Jaccard, window sets, and the public encoder."""
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    import corpus_pipeline as p
+
+    docs_ = queries.table(spark, data, "documents")
+    model = queries.toxicity_model(spark, docs_, data)
+    lexicon = toxicity.Lexicon(model.learnt)
+    weight = dict(zip(toxicity.PATTERNS, model.weights, strict=True))
+    left = [(r.doc_id, r.text) for r in docs_.collect()]
+    left = [(i, t) for i, t in left if model.bias + sum(weight[k] * v for k, v in brute_features(t or "", lexicon.of).items()) < 0]
+    best = {}
+    for i, t in left:
+        k = (t or "").translate({c: c + 32 for c in range(65, 91)})
+        best[k] = max(best.get(k, -1), i)
+    left = [(i, t) for i, t in left if i in set(best.values())]
+    names, _ = brute_jaccard(dict(left))
+    left = [(i, t) for i, t in left if names[i] == i]
+    items = [tuple(r) for r in queries.table(spark, data, "benchmark").collect()]
+    left = [(i, t) for i, t in left if not brute_contamination(t, items)[1]]
+    path, pattern = queries.tokenizer()
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    assert {r.doc_id: r.token_ids for r in p.run(spark, data).collect()} == {i: other.encode_ordinary(t or "") for i, t in left}
+    assert 0 < len(left) < docs_.count()
+    assert [n for n, _ in p.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "decontamination", "byte-level bpe"]
