@@ -14,7 +14,13 @@ from skein.sources.tables import event_cycles, event_targets
 T, SEG = 40, 5
 KEYS = ["cycle_id"]
 PI = "pi()"
-EV = "ev as (select cycle_id, t, x, 0.01 * abs(x) + 0.001 u from (select user_id cycle_id, value x, row_number() over (partition by user_id order by ts, event_id) t from events) where t <= 40)"
+#: Every event in its cycles: runs of T events of a user, and the last T where some are left.
+EVC = f"""evn as (select user_id, value x, coalesce((epoch_us(ts) - lag(epoch_us(ts)) over w) / 1e6, 0.0) g, row_number() over w r, count(*) over (partition by user_id) n, sum(value) over (partition by user_id) total
+from events window w as (partition by user_id order by ts, event_id)),
+evc as (select user_id + 4294967296 * ((r - 1) // {T}) cycle_id, (r - (r - 1) // {T} * {T})::INT t, * from evn where ((r - 1) // {T} + 1) * {T} <= n
+union all select user_id + 4294967296 * (n // {T}), (r - (n - {T}))::INT, * from evn where n % {T} <> 0 and n >= {T} and r > n - {T})"""
+EV = f"{EVC}, ev as (select cycle_id, t, x, 0.01 * abs(x) + 0.001 u from evc)"
+OTHER = f"y as (select cycle_id, (any_value(total) - sum(x)) / (any_value(n) - {T}) y from evc group by 1)"
 R = lambda x, d=6: f"round({x}, {d}) + 0.0"
 RF = lambda x, d=6: f"case when isfinite({x}) then round({x}, {d}) + 0.0 end"
 
@@ -291,7 +297,7 @@ def oracle() -> dict[str, str]:
     half = len(TAPS) // 2
     mat2 = wavelet.matrix(T) ** 2
     return {
-        "q00_flagship_ranking": f"""with f as ({q3.replace('round(f.v, 6) + 0.0', 'f.v')}), y as (select user_id cycle_id, avg(value) y from (select *, row_number() over (partition by user_id order by ts, event_id) t from events) where t > {T} group by 1),
+        "q00_flagship_ranking": f"""with {EVC}, f as ({q3.replace('round(f.v, 6) + 0.0', 'f.v')}), {OTHER},
 s as (select feature_idx, coalesce(abs(corr("value", y)), 0) score from f join y using (cycle_id) group by 1)
 select feature_idx, {R('score')} score, rank::INT rank from (select *, row_number() over (order by score desc, feature_idx) rank from s) where rank <= 5""",
         "q01_cycle_scan": f"with {EV} select cycle_id, 'value' sensor, t::INT t, {R('x')} x, {R('u')} u from ev",

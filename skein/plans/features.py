@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.layout import compact, matrix_udf, pack, rounded
 from skein.operators import classify, evaluate, multisensor, neighbours, novelty, provenance, regress, resample, search, segments, select, spectrum, subspace, wavelet
-from skein.plans.cycles import EV, R, RF, T, moment_cte, segmented
+from skein.plans.cycles import EV, EVC, OTHER, R, RF, T, moment_cte, segmented
 from skein.sources.tables import embedding_features, event_cycles, event_targets, lineitem_features
 
 D = 64
@@ -397,8 +397,7 @@ s as (select c, a * w1 + b * w2 - ((aa + ra) / 2 * w1 + (ab + rb) / 2 * w2) z, s
 
 
 def oracle() -> dict[str, str]:
-    ev2 = EV.replace("ev as (select cycle_id, t, x, 0.01 * abs(x) + 0.001 u from (select user_id cycle_id, value x,", "ev2 as (select * from (select user_id cycle_id, value v, coalesce((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1e6, 0.0) g,").replace("where t <= 40)", "where t <= 40), ev as (select cycle_id, 'value' sensor, t, v x from ev2 union all select cycle_id, 'gap', t, g from ev2)")
-    ev2 = ev2.replace("from events) where", "from events) where")
+    ev2 = f"{EVC}, ev as (select cycle_id, 'value' sensor, t, x from evc union all select cycle_id, 'gap', t, g from evc)"
     seg4 = "sg as (select cycle_id, sensor, ((t - 1) // 10 + 1)::INT seg, avg(x) m, stddev_samp(x) s, max(x) h, min(x) l from ev group by 1, 2, 3)"
     fisher_pred = "case when z >= 0 then 'A' else 'R' end"
     nn = lambda k, rows, refs, cond="true": f"select q.id, {_L2} d, row_number() over (partition by q.id order by {_L2}, r.id) n from v q join v r on {rows} and {refs} and {cond}"
@@ -452,7 +451,7 @@ select id cycle_id, {R('s')} score, {R('t')} threshold, s > t is_novel from s, t
 r as (select s, sum(n) over w / sum(n) over () f, sum(p) over w / sum(p) over () t from g window w as (order by s desc)), l as (select *, lag(f, 1, 0.0) over (order by s desc) f0, lag(t, 1, 0.0) over (order by s desc) t0 from r)
 select {R('sum((f - f0) * (t + t0) / 2)')} auc, {R('(select s from r order by t - f desc, s desc limit 1)')} best_threshold from l""",
         "q54_provenance": f"""with {ev2}, {seg4}, f as (select cycle_id, sensor, unnest([struct_pack(k := (seg - 1) * 2 + 1, v := m, n := 'mean_' || seg, g := seg), struct_pack(k := (seg - 1) * 2 + 2, v := s, n := 'std_' || seg, g := seg)]) x from sg),
-y as (select user_id cycle_id, avg(value) y from (select *, row_number() over (partition by user_id order by ts, event_id) t from events) where t > {T} group by 1),
+{OTHER},
 s as (select sensor, x.k k, x.n nm, x.g g, coalesce(abs(corr(x.v, y)), 0) s from f join y using (cycle_id) group by 1, 2, 3, 4),
 r as (select *, row_number() over (order by s desc, case sensor when 'value' then 0 else 8 end + k) rk from s)
 select rk::INT feature_idx, sensor, nm name, 10::INT n_src, ((g - 1) * 10 + 1)::INT first_src, (g * 10)::INT last_src, 10.0::DOUBLE weight from r where rk <= 5""",

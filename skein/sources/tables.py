@@ -14,22 +14,53 @@ def standard_uncertainty(x: Column, share: float = 0.01, floor: float = 0.001) -
     return F.abs(x) * share + floor
 
 
+#: A cycle's id is its user's plus its number among the user's cycles (from 0) times this.
+CYCLES = 1 << 32
+
+
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events: user_id, value, gap (seconds since the user's event before, 0 at first), r (place among the user's events by time, from 1), n and total (the user's events and their sum).
+
+    Places are those within an hour plus the counts of the user's earlier hours, so no task sorts a whole user.
+    """
+    ts = F.col("ts").cast("timestamp")
+    hour = F.coalesce(F.date_trunc("hour", ts), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", hour.alias("hour"), (F.unix_micros(ts) / F.lit(1e6)).alias("at"))
+    hours = rows.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("k"), F.max("at").alias("last"), F.sum("value").alias("s"))
+    by, user = Window.partitionBy("user_id").orderBy("hour"), Window.partitionBy("user_id")
+    before = F.coalesce(F.sum("k").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.select("user_id", "hour", before.alias("before"), F.lag("last").over(by).alias("last"), F.sum("k").over(user).alias("n"), F.sum("s").over(user).alias("total"))
+    own = Window.partitionBy("user_id", "hour").orderBy("ts", "event_id")
+    gap = F.coalesce(F.col("at") - F.coalesce(F.lag("at").over(own), F.col("last")), F.lit(0.0))
+    return rows.join(hours, ["user_id", "hour"]).select("user_id", "value", gap.alias("gap"), (F.row_number().over(own) + F.col("before")).alias("r"), "n", "total")
+
+
+def _placed(events: DataFrame, length: int) -> DataFrame:
+    """Each event in its cycles: cycle_id, t and the event's columns.
+
+    A user's cycles are the consecutive runs of ``length`` events; where some are left at the end, the last
+    ``length`` events are one more cycle, so every event is in a cycle. Fewer events than that are none.
+    """
+    r, n = F.col("r"), F.col("n")
+    number, last = F.floor((r - 1) / length), F.floor(n / length)
+    full = F.when((number + 1) * length <= n, F.struct(number.alias("c"), (r - number * length).cast("int").alias("t")))
+    rest = F.when((n % length != 0) & (n >= length) & (r > n - length), F.struct(last.alias("c"), (r - (n - length)).cast("int").alias("t")))
+    each = events.withColumn("place", F.explode(F.filter(F.array(full, rest), lambda x: x.isNotNull())))
+    return each.withColumn("cycle_id", F.col("user_id") + F.col("place.c") * CYCLES).withColumn("t", F.col("place.t")).drop("place")
+
+
 def event_cycles(spark: SparkSession, sf_dir: str, length: int = 40, sensors: tuple[str, ...] = ("value",)) -> DataFrame:
-    """Long cycles (cycle_id, sensor, t, x, u): the first ``length`` events of each user by time. Sensor ``gap`` is seconds since the event before, 0 at first."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    rows = read(spark, sf_dir, "events").select("user_id", "value", F.row_number().over(by).alias("t"), F.coalesce(seconds - F.lag(seconds).over(by), F.lit(0.0)).alias("gap"))
-    rows = rows.where(F.col("t") <= length)
+    """Long cycles (cycle_id, sensor, t, x, u) of all events. Sensor ``gap`` is seconds since the user's event before, 0 at first."""
     lanes = [F.struct(F.lit(s).alias("sensor"), F.col(s).alias("x")) for s in sensors]
-    long = rows.select(F.col("user_id").alias("cycle_id"), "t", F.explode(F.array(*lanes)).alias("s")).select("cycle_id", "s.sensor", "t", "s.x")
+    long = _placed(numbered_events(spark, sf_dir), length).select("cycle_id", "t", F.explode(F.array(*lanes)).alias("s")).select("cycle_id", "s.sensor", "t", "s.x")
     return long.withColumn("u", standard_uncertainty(F.col("x")))
 
 
 def event_targets(spark: SparkSession, sf_dir: str, length: int = 40) -> DataFrame:
-    """(cycle_id, target, y): class user_id mod 3, and the mean value after the cycle."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = read(spark, sf_dir, "events").select("user_id", "value", F.row_number().over(by).alias("t"))
-    return rows.groupBy(F.col("user_id").alias("cycle_id")).agg((F.first("user_id") % 3).alias("target"), F.avg(F.when(F.col("t") > length, F.col("value"))).alias("y"))
+    """(cycle_id, target, y): class user_id mod 3, and the mean value of the user's other events (of all where there are none)."""
+    rows = _placed(numbered_events(spark, sf_dir), length)
+    other = (F.first("total") - F.sum("value")) / F.nullif(F.first("n") - length, F.lit(0))
+    return rows.groupBy("cycle_id").agg((F.first("user_id") % 3).alias("target"), F.coalesce(other, F.first("total") / F.first("n")).alias("y"))
 
 
 def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
