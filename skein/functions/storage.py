@@ -8,9 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, else the context's checkpoint folder, else a temporary one (tests)."""
+    """``spark.checkpoint.dir``, else the context's checkpoint folder, else, where driver and executors are one process, a temporary one.
+
+    A cluster without such a setting is an error: executors would write to disks of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

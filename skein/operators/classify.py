@@ -43,13 +43,13 @@ def vote(machines: dict[tuple[int, int], Linear], classes: list, features: Colum
     return _label(F.get(matrix_udf(run)(features), F.lit(0)), classes)
 
 
-def recursive_elimination(by_class: dict[tuple, Moments], step: int = 1, shift: np.ndarray | None = None) -> list[int]:
+def recursive_elimination(by_class: dict[tuple, Moments], step: int = 1) -> list[int]:
     """Features (from 0), best first: those with the least summed pairwise weight leave, ``step`` at a time; the survivor leads. Constant features are last."""
     total = sum(list(by_class.values())[1:], list(by_class.values())[0])
     dev = np.sqrt(np.maximum(np.diag(total.scatter) / (total.n - 1), 0))
     scale = np.concatenate([[1.0], np.where(dev > 0, 1 / np.where(dev > 0, dev, 1), 0)])
     center = np.eye(len(scale))
-    center[0, 1:] = -(total.mean if shift is None else total.mean - shift)
+    center[0, 1:] = -total.mean
     own = {c: Moments((center * scale[None, :]).T @ m.g @ (center * scale[None, :])) for c, m in by_class.items()}
     left, out = [k for k in range(len(dev)) if dev[k] > 0], [k for k in range(len(dev)) if not dev[k] > 0]
     while len(left) > 1:

@@ -41,11 +41,13 @@ def regression_losses(packed: DataFrame, rank: list[int], most: int = 100, compo
     return out
 
 
-def classification_losses(packed: DataFrame, rank: list[int], most: int = 100, metric: str = "mahalanobis", target: str = "target", fold: str = "fold") -> list[tuple[int, float]]:
-    """(features, cross-validated error in percent) of LDA on each prefix: one pass for the statistics, one that counts the errors of all models."""
-    parts = moments(packed.where(F.col(target).isNotNull()), (fold, target))
+def classification_losses(
+    packed: DataFrame, rank: list[int], most: int = 100, metric: str = "mahalanobis", target: str = "target", fold: str = "fold", sizes: list[int] | None = None, parts: dict[tuple, Moments] | None = None
+) -> list[tuple[int, float]]:
+    """(features, cross-validated error in percent) of LDA on each prefix, or those of ``sizes``: one pass for the statistics (none where ``parts`` has them), one that counts the errors of all models."""
+    parts = parts or moments(packed.where(F.col(target).isNotNull()), (fold, target))
     folds, classes = sorted({k[0] for k in parts}), sorted({k[1] for k in parts})
-    sizes = list(range(1, min(most, len(rank)) + 1))
+    sizes = sizes or list(range(1, min(most, len(rank)) + 1))
     models = {}
     for f in folds:
         by_class = {(c,): _sum([m for k, m in parts.items() if k[0] != f and k[1] == c]) for c in classes if any(k[0] != f and k[1] == c for k in parts)}

@@ -129,7 +129,7 @@ class Stack:
     ranker: str = "pearson"
     learner: str = "lda"
     prefilter: int = 500
-    most: int = 20
+    most: int = 100
     folds: int = 10
     sizes: dict[str, int] = field(default_factory=dict)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.layout import compact, matrix_udf, pack, rounded
-from skein.operators import classify, evaluate, multisensor, neighbours, novelty, provenance, regress, resample, search, segments, select, spectrum, subspace, wavelet
+from skein.operators import classify, evaluate, multisensor, neighbours, novelty, piecewise, provenance, regress, resample, search, segments, select, spectrum, subspace, wavelet
 from skein.plans.cycles import EV, EVC, OTHER, R, RF, T, moment_cte, segmented
 from skein.sources.tables import embedding_features, event_cycles, event_targets, lineitem_features
 
@@ -129,10 +129,11 @@ def q37_chi_squared(spark, d):
 
 
 def q38_svm_elimination(spark, d):
-    parts = subspace.moments(em(spark, d), ("target",))
+    """Elimination on the features, and on the features moved by each value's own uncertainty."""
+    moved = em(spark, d).withColumn("features", F.transform("features", lambda x: x + F.abs(x) * 0.02 + 0.001))
     rows = []
-    for name, shift in (("plain", None), ("shifted", np.full(D, 0.01))):
-        rows += [(name, f + 1, k + 1) for k, f in enumerate(classify.recursive_elimination(parts, 2, shift))]
+    for name, z in (("plain", em(spark, d)), ("shifted", moved)):
+        rows += [(name, f + 1, k + 1) for k, f in enumerate(classify.recursive_elimination(subspace.moments(z, ("target",)), 2))]
     return spark.createDataFrame(rows, "variant string, feature_idx int, rank int")
 
 
@@ -244,7 +245,7 @@ def q49_leaderboard(spark, d):
     rows = folded(spark, d)
     long = select.long_features(em(spark, d))
     ranks = {"pearson": _rank(select.pearson(long)), "relief": _rank(neighbours.relief(standardised(em(spark, d)))), "elimination": classify.recursive_elimination(subspace.moments(em(spark, d), ("target",)), step=4)}
-    board = search.leaderboard({f"{n} {m}": (lambda r=r, m=m: search.best(search.classification_losses(rows, r, 12, m))[1]) for n, r in ranks.items() for m in ("mahalanobis", "euclidean")})
+    board = search.leaderboard({f"{n} {m}": (lambda r=r, m=m: search.best(search.classification_losses(rows, r, metric=m))[1]) for n, r in ranks.items() for m in ("mahalanobis", "euclidean")})
     packed = pack(event_cycles(spark, d, T))
     keep = 8
     x = F.col("samples")
@@ -256,7 +257,8 @@ def q49_leaderboard(spark, d):
     z = spectrum.bins(packed)
     back = spectrum.reconstruct(spectrum.coefficients(z, spectrum.top_bins(z, keep // 2)), T).withColumnRenamed("x", "y")
     fourier = event_cycles(spark, d, T).join(back, ["cycle_id", "sensor", "t"]).agg(F.sum(F.pow(F.col("x") - F.col("y"), 2))).first()[0]
-    found = search.leaderboard({"pca": lambda: error(p.reconstruct(p.scores(x))), "wavelet": lambda: error(wavelet.reconstruct(mask, T)), "fourier": lambda: fourier})
+    lines = piecewise.best_splits(piecewise.error_matrix(piecewise.interval_errors(packed)), keep // 2 - 1)[-1][0]
+    found = search.leaderboard({"pca": lambda: error(p.reconstruct(p.scores(x))), "wavelet": lambda: error(wavelet.reconstruct(mask, T)), "fourier": lambda: fourier, "piecewise": lambda: lines})
     out = [("stack", k + 1, n, x_) for k, (n, x_) in enumerate(board)] + [("extractor", k + 1, n, x_) for k, (n, x_) in enumerate(found)]
     return spark.createDataFrame(out, "kind string, place int, name string, loss double").select("kind", "place", "name", rounded(F.col("loss")).alias("loss"))
 
@@ -281,7 +283,7 @@ def q51_group_knn(spark, d):
 
 def q52_novelty_models(spark, d):
     train, rest = _novel_split(spark, d)
-    gmm, one, auto = novelty.mixture(train, 3, 15), novelty.one_class(train), novelty.auto_encoder(subspace.moments(train)[()], 2)
+    gmm, one, auto = novelty.mixture(train, 3), novelty.one_class(train), novelty.auto_encoder(subspace.moments(train)[()], 2)
     return rest.select("cycle_id", *[m.score(F.col("features")).alias(n) for n, m in (("mixture", gmm), ("one_class", one), ("auto_encoder", auto))])
 
 
@@ -353,8 +355,8 @@ def q60_learners(spark, d):
     kernel = regress.ridge(subspace.moments(reg.withColumn("features", h(F.col("features"))), also=("y",))[()])
     ann = regress.ridge(subspace.moments(reg.withColumn("features", net(F.col("features"))), also=("y",))[()])
     rank = _rank(select.pearson(select.long_features(em(spark, d))))
-    losses = dict(search.classification_losses(rows, rank, 16))
-    count, _ = search.bayesian(lambda n: losses[n], 1, 16, 8)
+    known = subspace.moments(rows, ("fold", "target"))
+    count, _ = search.bayesian(lambda n: search.classification_losses(rows, rank, sizes=[n], parts=known)[0][1], 1, D)
     one = z.select("cycle_id", "target", svm.alias("svm"))
     two = reg.select("cycle_id", rounded(kernel.predict(h(F.col("features")))).alias("svr"), rounded(ann.predict(net(F.col("features")))).alias("network"))
     return one.join(two, "cycle_id").withColumn("best_count", F.lit(count))

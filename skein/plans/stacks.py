@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.layout import pack
 from skein.operators import network, search
-from skein.operators.stack import PRESETS
+from skein.operators.stack import EXTRACTORS, PRESETS
 from skein.sources.tables import embedding_features, event_cycles, event_targets
 
 T = 40
@@ -29,9 +29,9 @@ def q62_uncertain_stack(spark, d):
 
 
 def q63_preset_leaderboard(spark, d):
-    """Cross-validated losses of presets on shared folds."""
+    """Cross-validated losses on shared folds of the presets that differ in what they extract: each extractor alone and all together."""
     rows = cycles(spark, d)
-    names = ("moments-pearson-lda", "wavelet-pearson-lda", "principal-pearson-lda")
+    names = [f"{e}-pearson-lda" for e in (*EXTRACTORS, "all")]
     board = search.leaderboard({n: (lambda n=n: PRESETS[n].fit(rows).loss) for n in names})
     return spark.createDataFrame([(k + 1, n, x) for k, (n, x) in enumerate(board)], "place int, preset string, loss double")
 
