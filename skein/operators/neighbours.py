@@ -1,63 +1,105 @@
-"""Exact nearest neighbours of a query set among reference rows, in blocks; RELIEF scores and distance novelty on top."""
+"""Exact nearest neighbours of a query set among reference rows, block by block; RELIEF scores and distance novelty on top."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reference rows that are broadcast at a time. Each query keeps its k best of every block, and the best of those.
-BLOCK_ROWS = 20_000
+#: About how many rows of each side meet in a task. Each query keeps its k best of every block, and the best of those.
+BLOCK_ROWS = 10_000
+#: Blocks of queries are not cut below this for the sake of idle cores.
+LEAST_ROWS = 200
+#: Distances that a task holds at a time.
+HELD = 1 << 21
+
+_FOUND = "cycle_id long, own string, kind string, other long, distance double, diff array<double>"
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+
+
+def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """All distances of the rows of ``q`` and ``r``, added up feature by feature, so that equal rows have equal distances."""
+    out = np.zeros((len(q), len(r)))
+    for x, y in zip(q.T, np.ascontiguousarray(r.T), strict=True):
+        d = x[:, None] - y
+        out += d * d if metric == "euclidean" else np.abs(d)
+    return np.sqrt(out) if metric == "euclidean" else out
+
+
+def _classes(own: str | None, ref: np.ndarray, classes: str | None) -> list[tuple[str, np.ndarray]]:
+    """The kinds of neighbours that a query of class ``own`` looks for, and which reference rows are of each."""
+    if classes is None:
+        return [("near", np.ones(len(ref), bool))]
+    if classes == "own":
+        return [("hit", ref == own), ("miss", ref != own)]
+    return [(c, ref == c) for c in dict.fromkeys(ref.tolist())]
 
 
 def nearest(
-    queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, by_class: bool = False, include_self: bool = False, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, classes: str | None = None, include_self: bool = False, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(cycle_id, kind, distance, diff): the k nearest reference rows of each query, ties to the smaller id.
+    """(cycle_id, own, kind, other, distance, diff, place): the k nearest reference rows of each query, ties to the smaller id.
+
+    Rows are (cycle_id, features[, target][, group][, weight]) with ids that don't repeat. ``group``: only rows of the
+    query's group; a null group has no neighbours. ``classes``: ``own`` for k rows of the query's own class (kind ``hit``)
+    and k of the others (``miss``), ``each`` for k of every class (kind is the class as text); ``own`` is the query's class,
+    or null. A query's own row is left out unless ``include_self``. ``weight`` of reference rows scales their distances.
+    ``diff`` is the absolute difference of the features. No queries or no reference rows give an empty result.
 
-    Rows are (cycle_id, features[, target][, group][, weight]). ``group``: only rows of the query's group.
-    ``by_class``: k of the query's own class (kind ``hit``) and k of the others (``miss``). A query's own row is
-    left out unless ``include_self``. ``weight`` of reference rows scales their distances. ``diff`` is the
-    absolute difference of the features.
+    Both sides are cut into blocks by a hash of their ids, and each pair of blocks is a task of bounded size; a row goes
+    to as many tasks as the other side has blocks. Only the sizes of the sides reach the driver.
     """
-    columns = ["cycle_id", "features", *(["target"] if by_class else []), *([group] if group and group != "target" else ["target"] if group and not by_class else []), *(["weight"] if "weight" in reference.columns else [])]
-    columns = list(dict.fromkeys(columns))
-    found = None
-    rows = reference.select(*columns).toLocalIterator()
-    own = [c for c in columns if c != "weight"]
-    while block := list(islice(rows, block_rows)):
-        shared = queries.sparkSession.sparkContext.broadcast(pd.DataFrame([r.asDict() for r in block]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ref = shared.value
-            r, ids = np.stack(ref["features"].to_numpy()).astype(float), ref["cycle_id"].to_numpy()
-            for batch in batches:
-                out = []
-                for _, q in batch.iterrows():
-                    diff = np.abs(r - np.asarray(q["features"], float))
-                    d = np.sqrt((diff * diff).sum(axis=1)) if metric == "euclidean" else diff.sum(axis=1)
-                    if "weight" in ref:
-                        d = d * ref["weight"].to_numpy()
-                    ok = np.ones(len(ids), bool) if include_self else ids != q["cycle_id"]
-                    if group:
-                        ok &= ref[group].to_numpy() == q[group]
-                    same = ref["target"].to_numpy() == q["target"] if by_class else ok
-                    for kind, mask in (("hit", ok & same), ("miss", ok & ~same)) if by_class else (("near", ok),):
-                        at = np.flatnonzero(mask)
-                        at = at[np.lexsort((ids[at], d[at]))][:k]
-                        out += [(q["cycle_id"], kind, ids[x], d[x], diff[x]) for x in at]
-                yield pd.DataFrame(out, columns=["cycle_id", "kind", "other", "distance", "diff"])
-
-        part = queries.select(*own).mapInPandas(run, "cycle_id long, kind string, other long, distance double, diff array<double>")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "cycle_id long, kind string, other long, distance double, diff array<double>")
-    best = Window.partitionBy("cycle_id", "kind").orderBy("distance", "other")
-    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    same = lambda name: F.col(name).alias(name)  # noqa: E731  # an alias keeps the columns of both sides apart when they are one table
+    held = {
+        side: df.select(same("cycle_id"), same("features"), (F.col("target").cast("string") if classes else F.lit(None).cast("string")).alias("_class"), (F.col(group) if group else F.lit(0)).alias("_group"), *map(same, extra)).where("_group is not null")
+        for side, df, extra in (("q", queries, []), ("r", reference, ["weight"] if "weight" in reference.columns else []))
+    }
+    most = {side: df.groupBy("_group").count().agg(F.max("count")).first()[0] or 0 for side, df in held.items()}
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    parts = {side: max(-(-n // block_rows), 1) for side, n in most.items()}
+    parts["q"] = max(parts["q"], min(cores, most["q"] // LEAST_ROWS))
+
+    def blocks(side: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("cycle_id"), F.lit(parts[side])).cast("int").alias(f"_{side}")
+        return held[side].select("*", own, F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(f"_{other}")).groupBy("_group", "_q", "_r")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        diffs: list[np.ndarray] = []
+        if left.num_rows and right.num_rows:
+            q, r = _matrix(left), _matrix(right)
+            names, ids = left.column("cycle_id").to_numpy(), right.column("cycle_id").to_numpy()
+            own, of = left.column("_class").to_pylist(), np.array(right.column("_class").to_pylist(), object)
+            weight = right.column("weight").to_numpy() if "weight" in right.column_names else None
+            step = max(HELD // len(r), 1)
+            for first in range(0, len(q), step):
+                d = _distances(q[first : first + step], r, metric)
+                d = d if weight is None else d * weight
+                for row, i in zip(d, range(first, len(q)), strict=False):
+                    for kind, mask in _classes(own[i], of, classes):
+                        at = np.flatnonzero(mask if include_self else mask & (ids != names[i]))
+                        if len(at) > k:  # all that tie with the k-th stay, so that ids decide
+                            at = at[~(row[at] > np.partition(row[at], k - 1)[k - 1])]
+                        at = at[np.lexsort((ids[at], row[at]))][:k]
+                        out += [(names[i], own[i], kind, ids[x], row[x]) for x in at]
+                        diffs += [np.abs(r[x] - q[i]) for x in at]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)]
+        return pa.table([*columns, pa.array(diffs, pa.list_(pa.float64()))], names=["cycle_id", "own", "kind", "other", "distance", "diff"])
+
+    found = blocks("q", "r").cogroup(blocks("r", "q")).applyInArrow(best, _FOUND)
+    order = Window.partitionBy("cycle_id", "kind").orderBy("distance", "other")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _by_feature(near: DataFrame, weight: Column) -> DataFrame:
+    """(feature_idx, score): weighted sums of the differences."""
+    rows = near.select(weight.alias("_w"), F.posexplode("diff").alias("_k", "_d"))
+    return rows.groupBy((F.col("_k") + 1).alias("feature_idx")).agg(F.sum(F.col("_w") * F.col("_d")).alias("score"))
 
 
 def relief(packed: DataFrame, k: int = 3, queries: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -67,27 +109,22 @@ def relief(packed: DataFrame, k: int = 3, queries: DataFrame | None = None, bloc
     the rows, as RELIEF allows; all rows by default.
     """
     least = packed.groupBy("target").count().agg(F.min("count")).first()[0]
-    if least <= 1:
+    if least is None or least <= 1:
         raise ValueError("a class has a single row")
-    near = nearest(queries or packed, packed, min(k, least - 1), "cityblock", by_class=True, block_rows=block_rows)
-    sign = F.when(F.col("kind") == "miss", 1.0).otherwise(-1.0)
-    rows = near.select(sign.alias("sign"), F.posexplode("diff").alias("_k", "d"))
-    return rows.groupBy((F.col("_k") + 1).alias("feature_idx")).agg(F.sum(F.col("sign") * F.col("d")).alias("score"))
+    near = nearest(packed if queries is None else queries, packed, min(k, least - 1), "cityblock", classes="own", block_rows=block_rows)
+    return _by_feature(near, F.when(F.col("kind") == "miss", 1.0).otherwise(-1.0))
 
 
-def relief_with_priors(packed: DataFrame, k: int = 3) -> DataFrame:
-    """Multiclass RELIEF-F: for each row k neighbours of every class; misses weighted by their class's prior over that of all other classes. Differences are divided by feature ranges."""
-    classes = {r["target"]: r["count"] for r in packed.groupBy("target").count().collect()}
+def relief_with_priors(packed: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Multiclass RELIEF-F: for each row the k neighbours of every class (at most its rows less one); misses weighted by their class's prior over that of all other classes. Features should be standardised; rows without a class are left out."""
+    rows = packed.where(F.col("target").isNotNull())
+    classes = {r["c"]: r["count"] for r in rows.groupBy(F.col("target").cast("string").alias("c")).count().collect()}
     n = sum(classes.values())
-    found = None
-    for c, size in sorted(classes.items()):
-        near = nearest(packed, packed.where(F.col("target") == c).drop("target"), min(k, size - 1), "cityblock").join(packed.select("cycle_id", "target"), "cycle_id")
-        prior = F.lit(size / n)
-        other = 1 - F.element_at(F.create_map(*[x for t, m in sorted(classes.items()) for x in (F.lit(t), F.lit(m / n))]), F.col("target"))
-        weight = F.when(F.col("target") == c, -1.0).otherwise(prior / other) / F.lit(float(n * min(k, size - 1)))
-        part = near.select(weight.alias("w"), F.posexplode("diff").alias("_k", "d"))
-        found = part if found is None else found.union(part)
-    return found.groupBy((F.col("_k") + 1).alias("feature_idx")).agg(F.sum(F.col("w") * F.col("d")).alias("score"))
+    size = F.element_at(F.create_map(*[x for c, m in sorted(classes.items()) for x in (F.lit(c), F.lit(m))]), F.col("kind"))
+    own = F.element_at(F.create_map(*[x for c, m in sorted(classes.items()) for x in (F.lit(c), F.lit(m))]), F.col("own"))
+    most = F.least(F.lit(k), size - 1)
+    near = nearest(rows, rows, k, "cityblock", classes="each", block_rows=block_rows).where(F.col("place") <= most)
+    return _by_feature(near, F.when(F.col("kind") == F.col("own"), -1.0).otherwise(size / (F.lit(n) - own)) / (F.lit(float(n)) * most))
 
 
 def distance_novelty(train: DataFrame, rows: DataFrame, k: int = 5, group: str | None = None) -> tuple[DataFrame, float]:

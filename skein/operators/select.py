@@ -42,21 +42,26 @@ def spearman(long: DataFrame, target: str = "target") -> DataFrame:
     return pearson(ranked(long, target), target)
 
 
+def _beside(long: DataFrame, **of: Column) -> DataFrame:
+    """``long`` with aggregates of each feature beside its rows. The broadcast has a row per feature, as many as one row's array holds."""
+    return long.join(F.broadcast(long.groupBy("feature_idx").agg(*[c.alias(name) for name, c in of.items()])), "feature_idx")
+
+
 def weighted_pearson(long: DataFrame, target: str = "target", formula: str = "proper") -> DataFrame:
     """``proper``: weights 1/u^2 and weighted means. ``reference``: weights u (1 where a feature's are all 0), means of w*x and w*y over n."""
-    y = F.col(target).cast("double")
-    whole = Window.partitionBy("feature_idx")
+    rows = long.select("feature_idx", "v", "u", F.col(target).cast("double").alias("y"))
     if formula == "proper":
-        w = F.try_divide(F.lit(1.0), F.col("u") * F.col("u"))
-        mean = lambda c: F.sum(w * c).over(whole) / F.sum(w).over(whole)
-        rows = long.select("feature_idx", w.alias("w"), (F.col("v") - mean(F.col("v"))).alias("dx"), (y - mean(y)).alias("dy"))
-        sxy, sxx, syy = (F.sum(F.col("w") * F.col(a) * F.col(b)) for a, b in (("dx", "dy"), ("dx", "dx"), ("dy", "dy")))
+        rows = rows.withColumn("w", F.try_divide(F.lit(1.0), F.col("u") * F.col("u")))
+        mean = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum("w")
+        rows = _beside(rows, mx=mean("v"), my=mean("y"))
+        w, dx, dy = F.col("w"), F.col("v") - F.col("mx"), F.col("y") - F.col("my")
+        sxy, sxx, syy = F.sum(w * dx * dy), F.sum(w * dx * dx), F.sum(w * dy * dy)
     else:
-        w = F.when(F.max(F.abs("u")).over(whole) == 0, 1.0).otherwise(F.col("u"))
-        rows = long.select("feature_idx", w.alias("w"), F.col("v"), y.alias("y"))
-        rows = rows.withColumn("mx", F.avg(F.col("w") * F.col("v")).over(whole)).withColumn("my", F.avg(F.col("w") * F.col("y")).over(whole))
-        dx, dy = F.col("v") - F.col("mx"), F.col("y") - F.col("my")
-        sxy, sxx, syy = F.sum((F.col("w") * F.col("v") - F.col("mx")) * dy), F.sum(F.col("w") * dx * dx), F.sum(F.col("w") * dy * dy)
+        rows = _beside(rows, most=F.max(F.abs("u")))
+        rows = rows.select("feature_idx", "v", "y", F.when(F.col("most") == 0, 1.0).otherwise(F.col("u")).alias("w"))
+        rows = _beside(rows, mx=F.avg(F.col("w") * F.col("v")), my=F.avg(F.col("w") * F.col("y")))
+        w, dx, dy = F.col("w"), F.col("v") - F.col("mx"), F.col("y") - F.col("my")
+        sxy, sxx, syy = F.sum((w * F.col("v") - F.col("mx")) * dy), F.sum(w * dx * dx), F.sum(w * dy * dy)
     return rows.groupBy("feature_idx").agg(F.coalesce(F.abs(F.try_divide(sxy, F.sqrt(sxx * syy))), F.lit(0.0)).alias("score"))
 
 
@@ -66,9 +71,9 @@ def weighted_spearman(long: DataFrame, target: str = "target", formula: str = "p
 
 def zscore(long: DataFrame, column: str = "v") -> DataFrame:
     """Columns of mean 0 and sample deviation 1; a constant column becomes 0."""
-    w = Window.partitionBy("feature_idx")
-    centred = F.col(column) - F.avg(column).over(w)
-    return long.withColumn(column, F.coalesce(F.try_divide(centred, F.stddev_samp(column).over(w)), F.lit(0.0)))
+    rows = _beside(long, _mean=F.avg(column), _dev=F.stddev_samp(column))
+    scaled = F.coalesce(F.try_divide(F.col(column) - F.col("_mean"), F.col("_dev")), F.lit(0.0))
+    return rows.withColumn(column, scaled).select(*long.columns)
 
 
 def chi_squared(long: DataFrame, with_uncertainty: bool = False) -> DataFrame:

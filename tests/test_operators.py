@@ -140,11 +140,24 @@ def test_selectors(spark):
 
 def test_neighbours_in_blocks_are_the_same(spark):
     x = RNG.normal(size=(40, 3))
-    rows = features(spark, x, [0] * 40)
-    a, b = (sorted((r.cycle_id, r.other, round(r.distance, 9)) for r in neighbours.nearest(rows, rows, 3, block_rows=n).collect()) for n in (1000, 7))
+    x[20:30] = x[:10]
+    rows = features(spark, x, [i % 3 for i in range(40)])
+    a, b = (sorted((r.cycle_id, r.other, round(r.distance, 9)) for r in neighbours.nearest(rows, rows, 3, block_rows=n).collect()) for n in (1000, 8))
     assert a == b
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) + np.eye(40) * 1e9
-    assert {(i, j) for i, j, _ in a} == {(i, int(j)) for i in range(40) for j in np.argsort(d[i])[:3]}
+    assert {(i, j) for i, j, _ in a} == {(i, int(j)) for i in range(40) for j in np.argsort(d[i], kind="stable")[:3]}
+    c, e = (sorted((r.feature_idx, round(r.score, 9)) for r in neighbours.relief_with_priors(rows, block_rows=n).collect()) for n in (1000, 8))
+    assert c == e and len(c) == 3
+
+
+def test_neighbours_by_class_group_and_weight(spark):
+    x = RNG.normal(size=(30, 2))
+    rows = features(spark, x, [i % 2 for i in range(30)]).withColumn("g", F.when(F.col("cycle_id") < 25, F.col("cycle_id") % 3)).withColumn("weight", 1.0 + F.col("cycle_id") % 4)
+    d = np.abs(x[:, None] - x[None]).sum(axis=2) * (1.0 + np.arange(30) % 4) + np.eye(30) * 1e9
+    want = {(i, kind, int(j)) for i in range(25) for kind, odd in (("hit", 0), ("miss", 1)) for j in [j for j in np.argsort(d[i]) if (i + j) % 2 == odd and j < 25 and (i - j) % 3 == 0 and j != i][:2]}
+    got = neighbours.nearest(rows, rows, 2, "cityblock", group="g", classes="own", block_rows=4).collect()
+    assert {(r.cycle_id, r.kind, r.other) for r in got} == want and len(got) == len(want)
+    assert neighbours.nearest(rows, rows.limit(0), 2).count() == 0 == neighbours.nearest(rows.limit(0), rows, 2).count()
 
 
 def test_statistics_add_up_and_folds_subtract(spark):
