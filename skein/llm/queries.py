@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.storage import shared_dir
-from skein.llm import bpe, decontaminate, exact_dedup, langid, lm_score, simhash, substring_dedup, toxicity, url_filter, warc
+from skein.llm import bpe, decontaminate, exact_dedup, langid, lm_score, simhash, substring_dedup, toxicity, turns, url_filter, warc
 
 #: Rows whose crc32(id as text) mod 5 is 0 are held out of all training.
 FOLDS = 5
@@ -92,8 +92,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.cross_entropy(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turns.damaged_repair(table(spark, sf_dir, "conversations"))
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return found.withColumn("repaired_sha256", F.sha2(lines, 256)).drop("repaired")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_url_filter, op2_simhash, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_warc, op7_substring_dedup, op8_exact_dedup, op9_language_id, op10_lm_score)
+    every = (op1_url_filter, op2_simhash, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_warc, op7_substring_dedup, op8_exact_dedup, op9_language_id, op10_lm_score, op11_conversation_repair)
     return {f.__name__: f for f in every}
 
 
@@ -101,6 +107,36 @@ _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d, {5 * k + 1}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for k in range(8) for s in (15, 10, 5, 0))
 
 
+def _add(state: str, cost: str | int, edit: str) -> str:
+    return f"printf('%09d', left({state}, 9)::INT + {cost}) || substr({state}, 10) || '{edit}'"
+
+
+#: crc32 bit by bit; then the cheapest edits of one more turn a round, each state a text of nine digits of cost and its edits (I, J: user, assistant inserted; R, S: made so).
+_OP11 = f"""
+with recursive b as (select dense_rank() over (order by conv_id nulls first) g, conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') k from conversations),
+c as (select *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+lambda x, y: xor(xor(x, y) >> 1, (xor(x, y) & 1) * 3988292384)), 4294967295) % 20 m from b),
+d as (select g, turn, case when m = 4 then 'user' else r end r, case m when 1 then '' when 2 then translate(t, '.!?', '') else t end t, unnest(case when m = 3 then [1, 2] else [1] end) copy from c where m <> 0),
+e as (select *, rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) q, row_number() over (partition by g, r, t order by turn nulls first) nth, row_number() over (partition by g order by turn nulls first, r, t) i from d),
+f as (select *, case when q = '' then 'B' when nth > 1 then 'D' when right(q, 1) not in ('.', '!', '?') then 'T' else ' ' end w, lag(r) over (partition by g order by i) p from e),
+s as (select g, max(turn) - min(turn) + 1 - count(distinct turn) gaps, count(*) filter (w = 'B') blank, count(*) filter (w = 'D') duplicate, count(*) filter (w = 'T') truncated,
+count(*) filter (p is not null and left(p, 1) || left(r, 1) not in ('su', 'ua', 'au')) illegal, count(*) n from f group by g),
+z as (select distinct g, 0::BIGINT i, '000000000' n, '500000000' s, '000000003I' u, '000000006IJ' a from b
+union all select g, i, n, s, u, least(a, {_add("u", 3, "J")}) from (select g, i, n, s, least(u, {_add("least(n, s, a)", 3, "I")}) u, a from (
+select z.g, z.i + 1 i, {_add("n", 4, "D")} n, least({_add("s", 4, "D")}, case when k and left(r, 1) = 's' then {_add("n", "x", "K")} else '9' end) s,
+least({_add("u", 4, "D")}, case when k then {_add("least(n, s, a)", "3 + x", "R")} else '9' end, case when k and left(r, 1) = 'u' then {_add("least(n, s, a)", "x", "K")} else '9' end) u,
+least({_add("a", 4, "D")}, case when k then {_add("u", "3 + x", "S")} else '9' end, case when k and left(r, 1) = 'a' then {_add("u", "x", "K")} else '9' end) a
+from z join (select g, i, r, w not in ('B', 'D') k, case when w = 'T' then 3 else 0 end x from f) f on f.g = z.g and f.i = z.i + 1))),
+y as (select z.g, least(z.n, a) best from z left join s using (g) where i = coalesce(s.n, 0)),
+o as (select y.g, i, regexp_extract_all(substr(best, 10), '[IJ]*[DKRS]')[i] x, r, t from y join f using (g)),
+l as (select g, i, replace(replace(left(x, -1), 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10)) || case right(x, 1) when 'D' then '' when 'K' then r || ':' || t || chr(10) when 'R' then 'user:' || t || chr(10) else 'assistant:' || t || chr(10) end x from o
+union all select g, 1000000000, replace(replace(regexp_extract(substr(best, 10), '[IJ]*$'), 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10)) from y),
+h as (select g, string_agg(x, '' order by i) x from l group by g)
+select conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT blank, coalesce(duplicate, 0)::BIGINT duplicate, coalesce(truncated, 0)::BIGINT truncated, coalesce(illegal, 0)::BIGINT illegal,
+left(best, 9)::BIGINT AS "cost", translate(substr(best, 10), 'JS', 'IR') audit, sha256(left(x, greatest(length(x) - 1, 0)::BIGINT)) repaired_sha256
+from (select distinct g, conv_id from b) join y using (g) join h using (g) left join s using (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": rf"""
@@ -130,4 +166,5 @@ from d left join gone using (doc_id)""",
 with d as (select doc_id, {_FOLD} t from documents)
 select doc_id, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
 doc_id = max(doc_id) over (partition by t) kept, sha256(t) text_sha256 from d""",
+        "op11_conversation_repair": _OP11,
     }
