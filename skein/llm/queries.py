@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.storage import shared_dir
-from skein.llm import bpe, decontaminate, exact_dedup, langid, lm_score, simhash, substring_dedup, toxicity, turns, url_filter, warc
+from skein.llm import bpe, codes, decontaminate, embeddings, exact_dedup, langid, lm_score, simhash, substring_dedup, toxicity, turns, url_filter, warc
+from skein.llm.common import written
 
 #: Rows whose crc32(id as text) mod 5 is 0 are held out of all training.
 FOLDS = 5
@@ -98,8 +99,19 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("repaired_sha256", F.sha2(lines, 256)).drop("repaired")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    text = F.array_join(F.transform("code", lambda k: F.lower(F.lpad(F.hex(k), 2, "0"))), "")
+    found = codes.with_label_error(written(coded, "vector-codes"))
+    return found.select("vec_id", text.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_url_filter, op2_simhash, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_warc, op7_substring_dedup, op8_exact_dedup, op9_language_id, op10_lm_score, op11_conversation_repair)
+    every = (op1_url_filter, op2_simhash, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_warc, op7_substring_dedup, op8_exact_dedup, op9_language_id, op10_lm_score, op11_conversation_repair, op12_vector_codes, op13_embedding_near_dedup)
     return {f.__name__: f for f in every}
 
 
@@ -137,6 +149,31 @@ left(best, 9)::BIGINT AS "cost", translate(substr(best, 10), 'JS', 'IR') audit,
 from (select distinct g, conv_id from b) join y using (g) join h using (g) left join s using (g)"""
 
 
+def _op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round as two named queries: the nearest entries of all parts, then the entries' floored means."""
+    steps = [
+        "k as (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) v from embeddings "
+        "where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)",
+        f"p as (select vec_id, part, list_slice(v, part * len(v) // {parts} + 1, (part + 1) * len(v) // {parts}) x from k, range({parts}) r(part))",
+        f"b0 as (select part, e, x from (select part, row_number() over (partition by part order by vec_id) - 1 e, x from p) where e < {entries})",
+    ]
+    away = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for k in range(rounds + 1):
+        steps.append(f"a{k} as materialized (select vec_id, part, s.e, s.d, x from (select p.vec_id, p.part, p.x, min({{'d': {away}, 'e': b.e}}) s from p join b{k} b using (part) group by all))")
+        if k < rounds:
+            mean = "((s - ((s % n) + n) % n) // n)::BIGINT"
+            steps.append(
+                f"m{k} as (select part, e, list(v order by c) x from (select part, e, c, {mean} v from (select part, e, c, sum(x[c])::BIGINT s, count(*) n from (select part, e, x, unnest(range(1, len(x) + 1)) c from a{k}) group by all)) group by all)"
+            )
+            steps.append(f"b{k + 1} as materialized (select part, e, coalesce(m.x, b.x) x from b{k} b left join m{k} m using (part, e))")
+    return (
+        "with " + ",\n".join(steps) + f""",
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) codebooks_sha256 from b{rounds}),
+c as (select vec_id, string_agg(printf('%02x', e), '' order by part) code, sum(d)::BIGINT AS "error" from a{rounds} group by vec_id)
+select vec_id, code, "error", (sum("error") over (partition by label))::BIGINT label_error, codebooks_sha256 from c join k using (vec_id), h"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": rf"""
@@ -167,4 +204,12 @@ with d as (select doc_id, {_FOLD} t from documents)
 select doc_id, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
 doc_id = max(doc_id) over (partition by t) kept, sha256(t) text_sha256 from d""",
         "op11_conversation_repair": _OP11,
+        "op12_vector_codes": _op12(),
+        "op13_embedding_near_dedup": """
+with recursive v as (select row_number() over () n, vec_id, embedding::DOUBLE[] e, label from embeddings),
+k as (select * from v where label is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as materialized (select a.n, b.n m from k a join k b on a.label = b.label and a.n <> b.n and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select n, n m from v union select r.n, l.m from r join l on l.n = r.m),
+c as (select r.n, min(v.vec_id) component_id from r join v on v.n = r.m group by r.n)
+select vec_id, (select count(*) from l where l.n = v.n)::BIGINT n_links, component_id, vec_id = component_id kept from v join c using (n)""",
     }
