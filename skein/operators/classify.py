@@ -12,17 +12,10 @@ from skein.operators.regress import Linear, ridge
 from skein.operators.subspace import Moments, _label
 
 
-def with_target(m: Moments, y: float) -> np.ndarray:
-    """The Gram matrix of [1, x, y] for a class whose y is constant."""
-    g = m.g
-    col = y * g[:, 0]
-    return np.block([[g, col[:, None]], [col[None, :], np.array([[y * y * g[0, 0]]])]])
-
-
 def pairwise(by_class: dict[tuple, Moments], strength: float = 1e-3) -> dict[tuple[int, int], Linear]:
     """For each two classes a least-squares machine with targets +1 and -1: no pass over the rows beyond their statistics."""
     names = sorted(by_class)
-    return {(a, b): ridge(Moments(with_target(by_class[names[a]], 1.0) + with_target(by_class[names[b]], -1.0)), strength) for a, b in combinations(range(len(names)), 2)}
+    return {(a, b): ridge(by_class[names[a]].with_constant(1.0) + by_class[names[b]].with_constant(-1.0), strength) for a, b in combinations(range(len(names)), 2)}
 
 
 def vote(machines: dict[tuple[int, int], Linear], classes: list, features: Column) -> Column:
@@ -47,10 +40,7 @@ def recursive_elimination(by_class: dict[tuple, Moments], step: int = 1) -> list
     """Features (from 0), best first: those with the least summed pairwise weight leave, ``step`` at a time; the survivor leads. Constant features are last."""
     total = sum(list(by_class.values())[1:], list(by_class.values())[0])
     dev = np.sqrt(np.maximum(np.diag(total.scatter) / (total.n - 1), 0))
-    scale = np.concatenate([[1.0], np.where(dev > 0, 1 / np.where(dev > 0, dev, 1), 0)])
-    center = np.eye(len(scale))
-    center[0, 1:] = -total.mean
-    own = {c: Moments((center * scale[None, :]).T @ m.g @ (center * scale[None, :])) for c, m in by_class.items()}
+    own = {c: m.scaled(total.mean, np.where(dev > 0, 1 / np.where(dev > 0, dev, 1), 0)) for c, m in by_class.items()}
     left, out = [k for k in range(len(dev)) if dev[k] > 0], [k for k in range(len(dev)) if not dev[k] > 0]
     while len(left) > 1:
         weight = sum(np.abs(x.beta) for x in pairwise({c: m.of(left) for c, m in own.items()}).values())

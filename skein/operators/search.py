@@ -35,8 +35,7 @@ def regression_losses(packed: DataFrame, rank: list[int], most: int = 100, compo
         sse = 0.0
         for own in by_fold.values():
             model = regress.pls((total - own).of(at), components)
-            v = np.concatenate([[-model.intercept], -model.beta, [1.0]])
-            sse += float(v @ own.of(at).g @ v)
+            sse += own.of(at).squares(model.intercept, model.beta)
         out.append((n, float(np.sqrt(max(sse, 0) / total.n))))
     return out
 

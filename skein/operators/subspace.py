@@ -1,7 +1,7 @@
 """One-pass sufficient statistics of feature matrices, and what follows from them: PCA, LDA, projections.
 
-Statistics of a group are the Gram matrix of [1, x]. They add, so folds, classes and streams combine by sums, and
-the statistics of the first features of a ranking are a sub-matrix.
+Statistics of a group are its count, mean and centred products. They merge and part, so folds, classes and tasks combine, and
+the statistics of the first features of a ranking are a sub-matrix. ``gram`` has plain sums of products for streams.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,45 +39,88 @@ def gram(packed: DataFrame, by: tuple[str, ...] = (), column: str = "features",
 
 @dataclass
 class Moments:
-    """n, mean and centred sums of squares and products."""
+    """n, mean and centred sums of squares and products; groups merge and part without ever squaring what isn't centred."""
 
-    g: np.ndarray
-
-    @property
-    def n(self) -> float:
-        return self.g[0, 0]
-
-    @property
-    def mean(self) -> np.ndarray:
-        return self.g[0, 1:] / self.n
+    n: float
+    mean: np.ndarray
+    scatter: np.ndarray
 
-    @property
-    def scatter(self) -> np.ndarray:
-        return self.g[1:, 1:] - np.outer(self.g[0, 1:], self.g[0, 1:]) / self.n
+    @classmethod
+    def of_rows(cls, x: np.ndarray) -> Moments:
+        mean = x.mean(axis=0)
+        d = x - mean
+        rest = d.mean(axis=0)
+        return cls(float(len(x)), mean + rest, d.T @ d - len(x) * np.outer(rest, rest))
 
     def __add__(self, other: Moments) -> Moments:
-        return Moments(self.g + other.g)
+        n, d = self.n + other.n, other.mean - self.mean
+        return Moments(n, self.mean + d * (other.n / n), self.scatter + other.scatter + np.outer(d, d) * (self.n * other.n / n))
 
     def __sub__(self, other: Moments) -> Moments:
-        return Moments(self.g - other.g)
+        n = self.n - other.n
+        if n <= 0:
+            return Moments(0.0, np.zeros_like(self.mean), np.zeros_like(self.scatter))
+        d = self.mean - other.mean
+        return Moments(n, self.mean + d * (other.n / n), self.scatter - other.scatter - np.outer(d, d) * (self.n * other.n / n))
 
     def of(self, features: list[int]) -> Moments:
         """Of some features (from 0), in their order."""
-        at = [0, *[k + 1 for k in features]]
-        return Moments(self.g[np.ix_(at, at)])
+        return Moments(self.n, self.mean[features], self.scatter[np.ix_(features, features)])
+
+    def scaled(self, center: np.ndarray, scale: np.ndarray) -> Moments:
+        """Of (x - center) * scale."""
+        return Moments(self.n, (self.mean - center) * scale, self.scatter * np.outer(scale, scale))
+
+    def with_constant(self, y: float) -> Moments:
+        """Of [x, y] for a y that all rows share."""
+        return Moments(self.n, np.append(self.mean, y), np.pad(self.scatter, (0, 1)))
+
+    def squares(self, intercept: float, beta: np.ndarray) -> float:
+        """The sum of (y - intercept - x beta)^2, y being the last feature."""
+        v = np.append(-beta, 1.0)
+        return float(v @ self.scatter @ v + self.n * (v @ self.mean - intercept) ** 2)
+
+
+#: Rows of tasks merge by this many slots of a group first, then the slots.
+SLOTS = 32
 
 
 def moments(packed: DataFrame, by: tuple[str, ...] = (), column: str = "features", also: tuple[str, ...] = ()) -> dict[tuple, Moments]:
-    """The statistics of each group, on the driver: their size is groups times squared features, whatever the rows."""
-    rows = gram(packed, by, column, also).toPandas()
-    out = {}
-    for key, part in rows.groupby(list(by), dropna=False) if by else [((), rows)]:
-        size = int(part["j"].max()) + 1
-        g = np.zeros((size, size))
-        g[part["i"], part["j"]] = part["value"]
-        g[part["j"], part["i"]] = part["value"]
-        out[tuple(x.item() if hasattr(x, "item") else x for x in key) if isinstance(key, tuple) else (key,)] = Moments(g)
-    return out
+    """The statistics of each group, on the driver: their size is groups times squared features, whatever the rows.
+
+    Each task sends one row a group: its own mean and sums around it. Rows without features are left out.
+    """
+    keys = [f"`{b}` {packed.schema[b].dataType.simpleString()}" for b in by]
+    kind = ", ".join([*keys, "_slot int", "_n double", "_mean array<double>", "_s array<double>"])
+
+    def frame(held: dict[tuple, Moments], slot: int) -> pd.DataFrame:
+        rows = [(*key, slot, m.n, m.mean, m.scatter.ravel()) for key, m in held.items()]
+        return pd.DataFrame(rows, columns=[*by, "_slot", "_n", "_mean", "_s"])
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, Moments] = {}
+        for batch in batches:
+            batch = batch[batch[column].notna()]
+            for key, part in batch.groupby(list(by), dropna=False) if by else [((), batch)]:
+                if len(part):
+                    own = Moments.of_rows(np.hstack([np.stack(part[column].to_numpy()).astype(float), *[part[[c]].to_numpy(float) for c in also]]))
+                    key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                    held[key] = held[key] + own if key in held else own
+        yield frame(held, (TaskContext.get().partitionId() if TaskContext.get() else 0) % SLOTS)
+
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for n, mean, scatter in zip(part["_n"], part["_mean"], part["_s"], strict=True):
+            own = Moments(n, np.asarray(mean), np.asarray(scatter).reshape(len(mean), -1))
+            total = own if total is None else total + own
+        out = part.iloc[:1].copy()
+        out["_n"], out["_mean"], out["_s"] = total.n, [total.mean], [total.scatter.ravel()]
+        return out
+
+    rows = packed.select(*by, column, *also).mapInPandas(first, kind)
+    slots = rows.groupBy(*by, "_slot").applyInPandas(merged, kind)
+    found = (slots.withColumn("_slot", F.lit(0)).groupBy(*by, "_slot").applyInPandas(merged, kind)).collect()
+    return {tuple(r[b] for b in by): Moments(r["_n"], np.array(r["_mean"]), np.array(r["_s"]).reshape(len(r["_mean"]), -1)) for r in found}
 
 
 def signed(vectors: np.ndarray) -> np.ndarray:

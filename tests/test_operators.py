@@ -164,8 +164,8 @@ def test_statistics_add_up_and_folds_subtract(spark):
     x = RNG.normal(size=(50, 4))
     rows = features(spark, x, (np.arange(50) % 3).tolist())
     parts, total = subspace.moments(rows, ("target",)), subspace.moments(rows)[()]
-    assert np.allclose((parts[(0,)] + parts[(1,)] + parts[(2,)]).g, total.g)
-    assert np.allclose((total - parts[(0,)]).g, (parts[(1,)] + parts[(2,)]).g)
+    for one, two in ((parts[(0,)] + parts[(1,)] + parts[(2,)], total), (total - parts[(0,)], parts[(1,)] + parts[(2,)])):
+        assert one.n == two.n and np.allclose(one.mean, two.mean) and np.allclose(one.scatter, two.scatter)
     assert np.allclose(total.scatter / 49, np.cov(x.T))
 
 
@@ -239,3 +239,15 @@ def test_lanes_and_percent_cut(spark):
 def test_bayesian_search_finds_the_valley():
     best, seen = search.bayesian(lambda n: (n - 17) ** 2, 1, 40, 14)
     assert abs(best - 17) <= 1 and len(seen) <= 14
+
+
+def test_moments_keep_small_deviations_beside_large_means(spark):
+    x = 1e8 + RNG.normal(size=(3000, 2))
+    x[:, 1] += x[:, 0] - 1e8
+    rows = features(spark, x, y=[k % 3 for k in range(len(x))]).repartition(7)
+    parts = subspace.moments(rows, ("target",))
+    total = parts[(0,)] + parts[(1,)] + parts[(2,)]
+    want = np.cov(x.T)
+    for m in (total, subspace.moments(rows)[()], (total - parts[(0,)]) + parts[(0,)]):
+        assert np.allclose(m.scatter / (m.n - 1), want, rtol=1e-6) and np.allclose(m.mean, x.mean(axis=0), rtol=1e-15)
+    assert np.allclose(subspace.pca(total, 2).explained, np.sort(np.linalg.eigvalsh(want))[::-1] / np.trace(want), rtol=1e-6)
