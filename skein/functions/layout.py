@@ -49,18 +49,42 @@ def stacked(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(F.array(*items)).alias("_f")).select(*keys, "_f.feature_idx", "_f.value")
 
 
+def _by_length(*columns: pd.Series) -> list[list[int]]:
+    """Places of the rows that have all arrays, of one length, together by that length."""
+    sizes: dict[int, list[int]] = {}
+    for k, arrays in enumerate(zip(*columns, strict=True)):
+        if all(x is not None for x in arrays) and len({len(x) for x in arrays}) == 1:
+            sizes.setdefault(len(arrays[0]), []).append(k)
+    return list(sizes.values())
+
+
+def _matrix(column: pd.Series, at: list[int]) -> np.ndarray:
+    values = column.to_numpy()
+    return np.concatenate([values[k] for k in at]).astype(float).reshape(len(at), -1) if len(values[at[0]]) else np.zeros((len(at), 0))
+
+
 def matrix_udf(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[..., Column]:
     """A vectorised array function: rows of one length meet as a matrix, ``fn`` returns one row for each. Null gives null."""
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
         out = [None] * len(values)
-        sizes: dict[int, list[int]] = {}
-        for k, x in enumerate(values):
-            if x is not None:
-                sizes.setdefault(len(x), []).append(k)
-        for at in sizes.values():
-            for k, row in zip(at, fn(np.stack([np.asarray(values.iloc[k], float) for k in at])), strict=True):
+        for at in _by_length(values):
+            for k, row in zip(at, fn(_matrix(values, at)), strict=True):
+                out[k] = row
+        return pd.Series(out)
+
+    return run
+
+
+def pair_udf(fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[..., Column]:
+    """``matrix_udf`` of two arrays of one length; null where either is null, or where their lengths differ."""
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = [None] * len(a)
+        for at in _by_length(a, b):
+            for k, row in zip(at, fn(_matrix(a, at), _matrix(b, at)), strict=True):
                 out[k] = row
         return pd.Series(out)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import cycles, features, stacks, streams
+from skein.plans import cycles, features, spectra, stacks, streams
 
-MODULES = (cycles, features, streams, stacks)
+MODULES = (cycles, spectra, features, streams, stacks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
