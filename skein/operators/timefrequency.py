@@ -149,7 +149,7 @@ class TimeFrequency:
         return matrix_udf(self.matrix)(samples)
 
     def uncertainty(self, samples: Column, u: Column, input_is_variance: bool = False) -> Column:
-        """Standard uncertainties; NaN where a statistic or an amplitude of 0 has no derivative."""
+        """Standard uncertainties; null where a statistic or an amplitude of 0 has no derivative."""
         return pair_udf(lambda x, e: np.sqrt(self.variances(x, e if input_is_variance else e * e)))(samples, u)
 
 
