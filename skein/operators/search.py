@@ -17,26 +17,28 @@ from skein.operators import regress, subspace
 from skein.operators.subspace import Moments, moments
 
 
-def _sum(parts: list[Moments]) -> Moments:
+def total(parts: list[Moments]) -> Moments:
     out = parts[0]
     for p in parts[1:]:
         out = out + p
     return out
 
 
-def regression_losses(packed: DataFrame, rank: list[int], most: int = 100, components: int = 5, target: str = "y", fold: str = "fold") -> list[tuple[int, float]]:
-    """(features, cross-validated RMSE) of PLS on each prefix of a ranking (features from 0). Held-out errors follow from the fold's own statistics."""
-    by_fold = moments(packed, (fold,), also=(target,))
-    total = _sum(list(by_fold.values()))
-    last = len(total.mean) - 1
+def regression_losses(
+    packed: DataFrame | None, rank: list[int], most: int = 100, components: int = 5, target: str = "y", fold: str = "fold", parts: dict[tuple, Moments] | None = None
+) -> list[tuple[int, float]]:
+    """(features, cross-validated RMSE) of PLS on each prefix of a ranking (features from 0). Held-out errors follow from the fold's own statistics; ``parts`` are these where they are at hand."""
+    by_fold = parts or moments(packed, (fold,), also=(target,))
+    whole = total(list(by_fold.values()))
+    last = len(whole.mean) - 1
     out = []
     for n in range(1, min(most, len(rank)) + 1):
         at = [*rank[:n], last]
         sse = 0.0
         for own in by_fold.values():
-            model = regress.pls((total - own).of(at), components)
+            model = regress.pls((whole - own).of(at), components)
             sse += own.of(at).squares(model.intercept, model.beta)
-        out.append((n, float(np.sqrt(max(sse, 0) / total.n))))
+        out.append((n, float(np.sqrt(max(sse, 0) / whole.n))))
     return out
 
 
@@ -44,17 +46,31 @@ def classification_losses(
     packed: DataFrame, rank: list[int], most: int = 100, metric: str = "mahalanobis", target: str = "target", fold: str = "fold", sizes: list[int] | None = None, parts: dict[tuple, Moments] | None = None
 ) -> list[tuple[int, float]]:
     """(features, cross-validated error in percent) of LDA on each prefix, or those of ``sizes``: one pass for the statistics (none where ``parts`` has them), one that counts the errors of all models."""
+    return prefix_losses(packed, {"": (rank, metric)}, most, target, fold, sizes, parts)[""]
+
+
+def prefix_losses(
+    packed: DataFrame, ranks: dict[str, tuple[list[int], str]], most: int = 100, target: str = "target", fold: str = "fold", sizes: list[int] | None = None, parts: dict[tuple, Moments] | None = None
+) -> dict[str, list[tuple[int, float]]]:
+    """``classification_losses`` of several rankings, each with its metric: all of their models count errors in one pass."""
     parts = parts or moments(packed.where(F.col(target).isNotNull()), (fold, target))
     folds, classes = sorted({k[0] for k in parts}), sorted({k[1] for k in parts})
-    sizes = sizes or list(range(1, min(most, len(rank)) + 1))
+    jobs = [(name, n) for name, (rank, _) in ranks.items() for n in (sizes or range(1, min(most, len(rank)) + 1))]
     models = {}
     for f in folds:
-        by_class = {(c,): _sum([m for k, m in parts.items() if k[0] != f and k[1] == c]) for c in classes if any(k[0] != f and k[1] == c for k in parts)}
-        models[f] = [(rank[:n], subspace.lda({c: m.of(rank[:n]) for c, m in by_class.items()}, metric)) for n in sizes]
+        by_class = {(c,): total([m for k, m in parts.items() if k[0] != f and k[1] == c]) for c in classes if any(k[0] != f and k[1] == c for k in parts)}
+        models[f] = [(ranks[name][0][:n], subspace.lda({c: m.of(ranks[name][0][:n]) for c, m in by_class.items()}, ranks[name][1])) for name, n in jobs]
+    found = errors(packed, models, classes, target, fold)
+    return {name: [(n, found[k]) for k, (own, n) in enumerate(jobs) if own == name] for name in ranks}
+
+
+def errors(packed: DataFrame, models: dict, classes: list, target: str = "target", fold: str = "fold") -> list[float]:
+    """Percent of rows that each of a fold's models (places of features, discriminant) gets wrong, over all folds."""
+    many = len(next(iter(models.values())))
 
     def run(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(sizes)))
-        for f in folds:
+        out = np.zeros((len(x), many))
+        for f in models:
             own = np.flatnonzero(x[:, 0] == f)
             for k, (at, model) in enumerate(models[f]) if len(own) else []:
                 best = model.distances(x[np.ix_(own, [a + 2 for a in at])]).argmin(axis=1)
@@ -64,7 +80,7 @@ def classification_losses(
     index = F.array_position(F.lit(classes), F.col(target)) - 1
     wrong = matrix_udf(run)(F.concat(F.array(F.col(fold).cast("double"), index.cast("double")), "features"))
     rows = packed.select(F.posexplode(wrong).alias("k", "wrong")).groupBy("k").agg(100 * F.avg("wrong").alias("loss")).orderBy("k").collect()
-    return [(sizes[r["k"]], r[1]) for r in rows]
+    return [r[1] for r in rows]
 
 
 def best(losses: list[tuple]) -> tuple:

@@ -13,31 +13,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.layout import matrix_udf
-from skein.operators import classify, evaluate, neighbours, piecewise, regress, search, segments, select, subspace, wavelet
+from skein.functions.layout import matrix_udf, pair_udf
+from skein.operators import classify, evaluate, neighbours, piecewise, regress, search, segments, select, subspace, timefrequency, wavelet
 
 Map = Callable[[np.ndarray], np.ndarray]
 
 
 @dataclass
 class Extractor:
-    """Features of one sensor: a function of its samples, and the absolute linear weights that carry their variances where it is linear."""
+    """Features of one sensor: a function of its samples, and what carries the samples' variances to theirs. Where the function
+    isn't linear, that is by its derivatives at each row's own samples."""
 
     names: list[str]
     apply: Map
-    variance: Map | None = None
+    variance: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
     def features(self, samples: Column) -> Column:
         return matrix_udf(self.apply)(samples)
 
-    def uncertainty(self, u: Column) -> Column:
-        if self.variance is None:
-            raise ValueError("this extractor has no linear propagation")
-        return matrix_udf(lambda x: np.sqrt(self.variance(x * x)))(u)
+    def uncertainty(self, samples: Column, u: Column) -> Column:
+        """Null elements where a feature has no derivative, as a phase of amplitude 0."""
+        return pair_udf(lambda x, e: np.sqrt(self.variance(x, e * e)))(samples, u)
 
 
 def _linear(names: list[str], w: np.ndarray, center: np.ndarray | float = 0.0) -> Extractor:
-    return Extractor(names, lambda x: (x - center) @ w, lambda v: v @ (w * w))
+    return Extractor(names, lambda x: (x - center) @ w, lambda _, v: v @ (w * w))
 
 
 def _segment_weights(bounds: list[tuple[int, int, int]], length: int) -> np.ndarray:
@@ -78,7 +78,18 @@ def fit_fourier(cycles: DataFrame, n: int | None = None) -> Extractor:
         z = np.fft.fft(x, axis=1)[:, at]
         return np.hstack([np.abs(z), np.angle(z)])
 
-    return Extractor([f"{s}_{k}" for s in ("amplitude", "phase") for k in at], run)
+    def variance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        z = np.fft.fft(x, axis=1)[:, at]
+        angle = 2 * np.pi * np.outer(np.arange(x.shape[1]), at) / x.shape[1]
+        c, s = np.cos(angle), -np.sin(angle)
+        rr, ri, ii = v @ (c * c), v @ (c * s), v @ (s * s)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            re, im = z.real / np.abs(z), z.imag / np.abs(z)
+            amplitude = re * re * rr + 2 * re * im * ri + im * im * ii
+            phase = (im * im * rr - 2 * re * im * ri + re * re * ii) / np.abs(z) ** 2
+        return np.maximum(np.hstack([amplitude, phase]), 0)
+
+    return Extractor([f"{s}_{k}" for s in ("amplitude", "phase") for k in at], run, variance)
 
 
 def fit_moments(cycles: DataFrame, n: int | None = 10) -> Extractor:
@@ -95,29 +106,86 @@ def fit_moments(cycles: DataFrame, n: int | None = 10) -> Extractor:
             out += [s.mean(axis=1), np.sqrt(m2 * s.shape[1] / max(s.shape[1] - 1, 1)), (d**3).mean(axis=1) / safe**1.5, (d**4).mean(axis=1) / safe**2]
         return np.stack(out, axis=1)
 
-    return Extractor([f"{s}_{k}" for k, *_ in bounds for s in segments.MOMENTS], run)
+    def variance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = []
+        for _, a, b in bounds:
+            e, n = v[:, a - 1 : b], b - a + 1
+            d = x[:, a - 1 : b] - x[:, a - 1 : b].mean(axis=1, keepdims=True)
+            m2, m3, m4 = ((d**p).mean(axis=1)[:, None] for p in (2, 3, 4))
+            still = m2 <= 0
+            m2 = np.where(still, 1, m2)
+            slopes = [1 / n, d / ((n - 1) * np.sqrt(m2 * n / (n - 1))) if n > 1 else 0 * d, 3 / n * ((d * d - m2) / m2**1.5 - m3 * d / m2**2.5), 4 / n * ((d**3 - m3) / m2**2 - m4 * d / m2**3)]
+            out += [(e * slopes[0] ** 2).sum(axis=1), *[np.where(still[:, 0], np.nan, (e * c * c).sum(axis=1)) for c in slopes[1:]]]
+        return np.stack(out, axis=1)
+
+    return Extractor([f"{s}_{k}" for k, *_ in bounds for s in segments.MOMENTS], run, variance)
 
 
-EXTRACTORS: dict[str, Callable[..., Extractor]] = {"piecewise": fit_piecewise, "principal": fit_principal, "wavelet": fit_wavelet, "fourier": fit_fourier, "moments": fit_moments}
+def fit_time_frequency(cycles: DataFrame, n: int | None = 10) -> Extractor:
+    """Nine statistics of ``n`` time segments and of as many bands of each one's spectrum. What a short band leaves undefined is 0."""
+    length = cycles.select(F.size("samples").alias("n")).first().n
+    tf = timefrequency.TimeFrequency(n or 10, n or 10)
+    return Extractor(tf.names(length), lambda x: np.nan_to_num(tf.matrix(x)), lambda x, v: np.nan_to_num(tf.variances(x, v)))
 
 
-def _by_rank(scores: DataFrame) -> list[int]:
-    return [r.feature_idx - 1 for r in select.ranking(scores).orderBy("rank").collect()]
+EXTRACTORS: dict[str, Callable[..., Extractor]] = {"piecewise": fit_piecewise, "principal": fit_principal, "wavelet": fit_wavelet, "fourier": fit_fourier, "moments": fit_moments, "time-frequency": fit_time_frequency}
 
 
-def _standard(rows: DataFrame) -> DataFrame:
-    m = subspace.moments(rows)[()]
+def _standard(rows: DataFrame, m: subspace.Moments) -> DataFrame:
     dev = np.sqrt(np.maximum(np.diag(m.scatter) / (m.n - 1), 0))
     scale, mean = np.where(dev > 0, dev, np.inf), m.mean
     return rows.withColumn("features", matrix_udf(lambda x: (x - mean) / scale)(F.col("features")))
 
 
-#: Rankers: features from 0, best first. Bounded models of the rows where they rank by class, sums where by correlation.
-RANKERS: dict[str, Callable[[DataFrame, str], list[int]]] = {
-    "pearson": lambda rows, y: _by_rank(select.pearson(select.long_features(rows, keep=("cycle_id", y)), y)),
-    "spearman": lambda rows, y: _by_rank(select.spearman(select.long_features(rows, keep=("cycle_id", y)), y)),
-    "relief": lambda rows, y: _by_rank(neighbours.relief(_standard(rows))),
-    "elimination": lambda rows, y: classify.recursive_elimination(subspace.moments(rows, ("target",)), step=2),
+@dataclass
+class Prepared:
+    """Features of all extractors with folds, and the statistics of each fold (and class, or with y as the last feature)."""
+
+    rows: DataFrame
+    y: str
+    parts: dict[tuple, subspace.Moments]
+
+    @classmethod
+    def of(cls, cycles: DataFrame, made: list[tuple[str, str, Extractor]], y: str, folds: int) -> Prepared:
+        rows = extracted(cycles, made, (y,)).where(F.col(y).isNotNull())
+        dealt = (evaluate.stratified_folds(rows, folds, target=y) if y == "target" else rows.withColumn("fold", (evaluate.fold_hash() % folds).cast("int"))).persist()
+        return cls(dealt, y, subspace.moments(dealt, ("fold", "target")) if y == "target" else subspace.moments(dealt, ("fold",), also=("y",)))
+
+    def by_class(self) -> dict[tuple, subspace.Moments]:
+        return {(c,): search.total([m for k, m in self.parts.items() if k[1] == c]) for c in sorted({k[1] for k in self.parts})}
+
+    def with_y(self) -> subspace.Moments:
+        """Of all rows, y (a class as its number) being the last feature."""
+        return search.total(list(self.parts.values()) if self.y == "y" else [m.with_constant(float(c)) for (c,), m in self.by_class().items()])
+
+    def columns(self, at: list[int]) -> DataFrame:
+        return self.rows.withColumn("features", F.array(*[F.get("features", F.lit(k)) for k in at]))
+
+    def by_correlation(self, at: list[int]) -> list[int]:
+        m = self.with_y()
+        s = np.diag(m.scatter)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.nan_to_num(np.abs(m.scatter[at, -1]) / np.sqrt(s[at] * s[-1]))
+        return [at[k] for k in np.argsort(-r, kind="stable")]
+
+    def by_rank_correlation(self, at: list[int]) -> list[int]:
+        scores = select.spearman(select.long_features(self.columns(at), keep=("cycle_id", self.y)), self.y)
+        return [at[r.feature_idx - 1] for r in select.ranking(scores).orderBy("rank").collect()]
+
+    def by_relief(self, at: list[int]) -> list[int]:
+        scores = neighbours.relief(_standard(self.columns(at), search.total(list(self.by_class().values())).of(at)))
+        return [at[r.feature_idx - 1] for r in select.ranking(scores).orderBy("rank").collect()]
+
+    def by_elimination(self, at: list[int]) -> list[int]:
+        return [at[k] for k in classify.recursive_elimination({c: m.of(at) for c, m in self.by_class().items()})]
+
+
+#: Rankers: of places of features, best first. By correlation and by elimination from the statistics alone.
+RANKERS: dict[str, Callable[[Prepared, list[int]], list[int]]] = {
+    "pearson": Prepared.by_correlation,
+    "spearman": Prepared.by_rank_correlation,
+    "relief": Prepared.by_relief,
+    "elimination": Prepared.by_elimination,
 }
 
 
@@ -133,25 +201,44 @@ class Stack:
     folds: int = 10
     sizes: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def y(self) -> str:
+        return "y" if self.learner == "pls" else "target"
+
+    @property
+    def metric(self) -> str:
+        return "euclidean" if self.learner.endswith("euclidean") else "mahalanobis"
+
+    def parts(self) -> list[tuple[str, int | None]]:
+        """(extractor, size) of each."""
+        return [(e, self.sizes.get(e)) for e in self.extractors]
+
+    def ranked(self, table: Prepared, at: list[int]) -> list[int]:
+        first = RANKERS["spearman" if self.ranker == "spearman" else "pearson"](table, at)[: self.prefilter]
+        return first if self.ranker in ("pearson", "spearman") else RANKERS[self.ranker](table, first)
+
+    def model(self, table: Prepared, at: list[int]) -> subspace.Discriminant | regress.Linear:
+        if self.y == "y":
+            m = table.with_y()
+            return regress.pls(m.of([*at, len(m.mean) - 1]))
+        return subspace.lda({c: m.of(at) for c, m in table.by_class().items()}, self.metric)
+
     def fit(self, cycles: DataFrame) -> FittedStack:
-        y = "y" if self.learner == "pls" else "target"
-        sensors = sorted(r[0] for r in cycles.select("sensor").distinct().collect())
-        made = [(s, e, EXTRACTORS[e](cycles.where(F.col("sensor") == s), *([self.sizes[e]] if e in self.sizes else []))) for e in self.extractors for s in sensors]
-        rows = extracted(cycles, made, (y,))
-        first = RANKERS["pearson" if self.learner == "pls" or self.ranker != "spearman" else "spearman"](rows, y)[: self.prefilter]
-        chosen = rows.withColumn("features", F.array(*[F.get("features", F.lit(k)) for k in first]))
-        rank = RANKERS[self.ranker](chosen, y)
-        dealt = evaluate.stratified_folds(chosen, self.folds, target=y) if y == "target" else chosen.withColumn("fold", (evaluate.fold_hash() % self.folds).cast("int"))
-        metric = "euclidean" if self.learner.endswith("euclidean") else "mahalanobis"
-        losses = search.regression_losses(dealt, rank, self.most) if y == "y" else search.classification_losses(dealt, rank, self.most, metric)
+        """Extractors, then one pass for the statistics of folds and, for classes, one that counts errors of all feature counts."""
+        made = fitted(cycles, self.parts())
+        table = Prepared.of(cycles, made, self.y, self.folds)
+        rank = self.ranked(table, list(range(sum(len(x.names) for *_, x in made))))
+        losses = search.regression_losses(None, rank, self.most, parts=table.parts) if self.y == "y" else search.classification_losses(table.rows, rank, self.most, self.metric, parts=table.parts)
         count, loss = search.best(losses)
-        at = [first[k] for k in rank[:count]]
-        if y == "y":
-            m = subspace.moments(rows, also=("y",))[()]
-            model = regress.pls(m.of([*at, len(m.mean) - 1]))
-        else:
-            model = subspace.lda({c: m.of(at) for c, m in subspace.moments(rows, ("target",)).items()}, metric)
-        return FittedStack(made, at, model, losses, loss)
+        model = self.model(table, rank[:count])
+        table.rows.unpersist()
+        return FittedStack(made, rank[:count], model, losses, loss)
+
+
+def fitted(cycles: DataFrame, parts: list[tuple[str, int | None]]) -> list[tuple[str, str, Extractor]]:
+    """(sensor, extractor, fitted) of each part and sensor."""
+    sensors = sorted(r[0] for r in cycles.select("sensor").distinct().collect())
+    return [(s, e, EXTRACTORS[e](cycles.where(F.col("sensor") == s), *([] if n is None else [n]))) for e, n in parts for s in sensors]
 
 
 @dataclass
@@ -168,7 +255,7 @@ class FittedStack:
         return rows.select("cycle_id", self.model.predict(F.array(*[F.get("features", F.lit(k)) for k in self.at])).alias("prediction"))
 
     def propagate(self, cycles: DataFrame) -> DataFrame:
-        """(cycle_id, prediction and its uncertainty, or the least and greatest class of the error box), where all extractors are linear."""
+        """(cycle_id, prediction and its uncertainty, or the least and greatest class of the error box), the latter by the derivatives of all extractors."""
         rows = extracted(cycles, self.made, uncertainty=True)
         x, u = (F.array(*[F.get(c, F.lit(k)) for k in self.at]) for c in ("features", "u_features"))
         if isinstance(self.model, regress.Linear):
@@ -187,11 +274,13 @@ def extracted(cycles: DataFrame, made: list[tuple[str, str, Extractor]], keep: t
     wide = cycles.groupBy("cycle_id", *keep).pivot("sensor", sorted({s for s, *_ in made})).agg(F.first(F.struct("samples", "u")))
     columns = [F.concat(*[x.features(F.col(s)["samples"]) for s, _, x in made]).alias("features")]
     if uncertainty:
-        columns.append(F.concat(*[x.uncertainty(F.col(s)["u"]) for s, _, x in made]).alias("u_features"))
+        columns.append(F.concat(*[x.uncertainty(F.col(s)["samples"], F.col(s)["u"]) for s, _, x in made]).alias("u_features"))
     return wide.select("cycle_id", *keep, *columns)
 
 
+#: The extractors of the named stacks.
+BASE = ("piecewise", "principal", "wavelet", "fourier", "moments")
 #: Named stacks: each extractor with each ranker before LDA, each extractor with each ranker before PLS, and all extractors at once.
-PRESETS: dict[str, Stack] = {f"{e}-{r}-lda": Stack([e], r) for e in EXTRACTORS for r in ("pearson", "relief", "elimination")}
-PRESETS |= {f"{e}-{r}-pls": Stack([e], r, "pls") for e in EXTRACTORS for r in ("pearson", "spearman")}
-PRESETS |= {"all-pearson-lda": Stack(list(EXTRACTORS)), "all-pearson-pls": Stack(list(EXTRACTORS), learner="pls")}
+PRESETS: dict[str, Stack] = {f"{e}-{r}-lda": Stack([e], r) for e in BASE for r in ("pearson", "relief", "elimination")}
+PRESETS |= {f"{e}-{r}-pls": Stack([e], r, "pls") for e in BASE for r in ("pearson", "spearman")}
+PRESETS |= {"all-pearson-lda": Stack(list(BASE)), "all-pearson-pls": Stack(list(BASE), learner="pls")}

@@ -226,6 +226,9 @@ def lda(by_class: dict[tuple, Moments], metric: str = "mahalanobis") -> Discrimi
     total = sum((by_class[c] for c in names[1:]), by_class[names[0]])
     kept = np.flatnonzero(np.diag(total.scatter) > 1e-12 * np.maximum(1, total.mean**2) * total.n)
     parts = [by_class[c].of(kept.tolist()) for c in names]
+    majority = int(np.argmax([p.n for p in parts]))
+    if not len(kept):  # nothing to tell classes by: the largest one is nearest
+        return Discriminant([c[0] for c in names], kept, np.zeros((0, 1)), (np.arange(len(names)) != majority).astype(float)[:, None], np.ones((len(names), 1, 1)), majority)
     within = sum(p.scatter for p in parts)
     mean = total.of(kept.tolist()).mean
     between = sum(p.n * np.outer(p.mean - mean, p.mean - mean) for p in parts)
@@ -239,4 +242,4 @@ def lda(by_class: dict[tuple, Moments], metric: str = "mahalanobis") -> Discrimi
         inverses = np.stack([np.eye(d)] * len(parts))
     else:
         inverses = np.stack([np.linalg.pinv(w.T @ p.scatter @ w / max(p.n - 1, 1)) for p in parts])
-    return Discriminant([c[0] for c in names], kept, w, means, inverses, int(np.argmax([p.n for p in parts])))
+    return Discriminant([c[0] for c in names], kept, w, means, inverses, majority)

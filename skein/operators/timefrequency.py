@@ -122,6 +122,7 @@ class TimeFrequency:
 
     def _amplitudes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         c, s = _weights(x.shape[1], self.scope == "segment")
+        x = x - x.mean(axis=1, keepdims=True) if self.scope == "segment" and x.shape[1] else x
         re, im = x @ c.T, x @ s.T
         amplitude = np.hypot(re, im)
         if self.scope == "segment":

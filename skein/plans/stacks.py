@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.layout import pack
-from skein.operators import network, search
-from skein.operators.stack import EXTRACTORS, PRESETS
+from skein.operators import network, search, selector
+from skein.operators.stack import BASE, PRESETS
 from skein.sources.tables import embedding_features, event_cycles, event_targets
 
 T = 40
@@ -31,7 +31,7 @@ def q62_uncertain_stack(spark, d):
 def q63_preset_leaderboard(spark, d):
     """Cross-validated losses on shared folds of the presets that differ in what they extract: each extractor alone and all together."""
     rows = cycles(spark, d)
-    names = [f"{e}-pearson-lda" for e in (*EXTRACTORS, "all")]
+    names = [f"{e}-pearson-lda" for e in (*BASE, "all")]
     board = search.leaderboard({n: (lambda n=n: PRESETS[n].fit(rows).loss) for n in names})
     return spark.createDataFrame([(k + 1, n, x) for k, (n, x) in enumerate(board)], "place int, preset string, loss double")
 
@@ -45,7 +45,34 @@ def q67_perceptron(spark, d):
     return network.predict(*network.fit(rows), rows)
 
 
-NAMED = [q61_stack, q62_uncertain_stack, q63_preset_leaderboard, q64_stack_provenance, q67_perceptron]
+FOLDS = 3
+
+
+def _boards(spark, d):
+    rows = cycles(spark, d)
+    return [(kind, selector.board(rows, {n: s for n, s in PRESETS.items() if s.y == kind}, FOLDS)) for kind in ("target", "y")]
+
+
+def q72_selector_board(spark, d):
+    """All presets, cross-validated as wholes on shared folds: percent of wrong classes, and RMSE of the regressions."""
+    made = [(kind, k + 1, n, x) for kind, board in _boards(spark, d) for k, (n, x) in enumerate(board)]
+    return spark.createDataFrame(made, "predicts string, place int, preset string, loss double")
+
+
+def q73_selected_stack(spark, d):
+    """Predictions of the best classifying preset of three extractors, chosen on shared folds and refitted on all cycles."""
+    rows = cycles(spark, d)
+    found = selector.select_stack(rows, {f"{e}-pearson-lda": PRESETS[f"{e}-pearson-lda"] for e in ("piecewise", "fourier", "moments")}, FOLDS)
+    return found.transform(rows).withColumn("preset", F.lit(found.name))
+
+
+def q74_uncertain_nonlinear_stack(spark, d):
+    """A regression on amplitudes and phases, the uncertainty of each prediction carried through their derivatives."""
+    rows = cycles(spark, d)
+    return PRESETS["fourier-pearson-pls"].fit(rows).propagate(rows)
+
+
+NAMED = [q61_stack, q62_uncertain_stack, q63_preset_leaderboard, q64_stack_provenance, q67_perceptron, q72_selector_board, q73_selected_stack, q74_uncertain_nonlinear_stack]
 
 
 def oracle() -> dict[str, str]:

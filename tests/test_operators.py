@@ -251,3 +251,9 @@ def test_moments_keep_small_deviations_beside_large_means(spark):
     for m in (total, subspace.moments(rows)[()], (total - parts[(0,)]) + parts[(0,)]):
         assert np.allclose(m.scatter / (m.n - 1), want, rtol=1e-6) and np.allclose(m.mean, x.mean(axis=0), rtol=1e-15)
     assert np.allclose(subspace.pca(total, 2).explained, np.sort(np.linalg.eigvalsh(want))[::-1] / np.trace(want), rtol=1e-6)
+
+
+def test_constant_features_leave_the_majority_class(spark):
+    rows = features(spark, np.full((9, 2), 3.0), y=[0, 1, 1, 1, 1, 1, 2, 2, 0])
+    model = subspace.lda(subspace.moments(rows, ("target",)))
+    assert set(one(rows.select(model.predict(F.col("features")).alias("p")), "p")) == {1}

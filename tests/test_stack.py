@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from skein.operators import selector
 from skein.operators.network import layers
 from skein.operators.stack import EXTRACTORS, PRESETS, Stack
 
@@ -40,3 +41,53 @@ def test_uncertainty_of_a_regression_is_linear_in_that_of_the_samples(spark):
 def test_presets_name_known_parts():
     assert len(PRESETS) == 27 and all(set(s.extractors) <= set(EXTRACTORS) for s in PRESETS.values())
     assert layers(10, 3, 2) == [10, 5, 3, 3]
+
+
+@pytest.mark.parametrize("names", [("moments-pearson-lda", "wavelet-relief-lda", "piecewise-elimination-lda"), ("fourier-spearman-pls", "principal-pearson-pls")])
+def test_selection_equals_each_stack_by_itself(spark, names):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    rows = cycles(spark, 48, 16)
+    candidates = {n: replace(PRESETS[n], folds=4, most=6) for n in names}
+    y = candidates[names[0]].y
+    held = selector.dealt(rows, y, 3).persist()
+    want = {}
+    for n, stack in candidates.items():
+        off = []
+        for f in range(3):
+            train, test = held.where(F.col("_outer") != f), held.where(F.col("_outer") == f)
+            truth = dict(test.select("cycle_id", y).distinct().collect())
+            off += [(r.prediction != truth[r.cycle_id]) if y == "target" else (r.prediction - truth[r.cycle_id]) ** 2 for r in stack.fit(train).transform(test).collect()]
+        want[n] = 100 * np.mean(off) if y == "target" else np.sqrt(np.mean(off))
+    found = selector.select_stack(rows, candidates, 3)
+    assert dict(found.board) == pytest.approx(want) and [n for n, _ in found.board] == sorted(want, key=lambda n: (dict(found.board)[n], n))
+    assert found.name == found.board[0][0] and found.transform(rows).count() == 48
+
+
+@pytest.mark.parametrize("extractor", ["fourier", "moments", "time-frequency", "wavelet", "piecewise"])
+def test_uncertain_features_meet_simulation(spark, extractor):
+    rows = cycles(spark, 12, 24)
+    made = EXTRACTORS[extractor](rows.where("sensor = 'a'"), *([2] if extractor in ("time-frequency", "moments") else [None] if extractor != "piecewise" else [4]))
+    x = np.array(rows.where("sensor = 'a'").first().samples)[None]
+    u = np.full((1, 24), 1e-4)
+    draws = made.apply(x + RNG.normal(0, 1e-4, (20_000, 24)))
+    got = np.sqrt(made.variance(x, u * u))[0]
+    ok = np.isfinite(got) & (np.abs(draws).max(axis=0) < 1e6)
+    assert ok.sum() >= len(made.names) - 2 and np.allclose(got[ok], draws.std(axis=0)[ok], rtol=0.05, atol=1e-9)
+
+
+def test_a_non_linear_stack_carries_uncertainty_to_its_predictions(spark):
+    from pyspark.sql import functions as F
+
+    rows = cycles(spark, 40, 16)
+    fitted = Stack(["fourier", "moments"], "pearson", "pls", most=4, folds=4, sizes={"fourier": 3, "moments": 2}).fit(rows)
+    small = rows.withColumn("u", F.transform("u", lambda _: F.lit(1e-4)))
+    want = {r.cycle_id: r.u for r in fitted.propagate(small).collect()}
+    one = small.where("cycle_id = 7").collect()
+    noisy = [(k, r.sensor, r.target, r.y, (np.array(r.samples) + RNG.normal(0, 1e-4, 16)).tolist(), r.u) for k in range(1500) for r in one]
+    spread = np.std([r.prediction for r in fitted.transform(spark.createDataFrame(noisy, rows.schema)).collect()])
+    assert want[7] == pytest.approx(spread, rel=0.25) and len(want) == 40
+    classes = Stack(["moments"], "pearson", "lda", most=3, folds=4, sizes={"moments": 2}).fit(rows).propagate(rows).collect()
+    assert all(r.min_pred <= r.prediction <= r.max_pred for r in classes)
