@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from skein.operators import evaluate, search, subspace
 from skein.operators.stack import FittedStack, Prepared, Stack, extracted, fitted
 
+#: Spark jobs at a time.
+JOBS = 4
+
 
 @dataclass
 class Selection:
@@ -32,16 +37,19 @@ def dealt(cycles: DataFrame, y: str, folds: int) -> DataFrame:
     return cycles.join(ids, "cycle_id")
 
 
+def together(job: Callable, over: Iterable) -> list:
+    """``job`` of each, some at a time: small Spark jobs that don't wait for each other's last tasks."""
+    with ThreadPoolExecutor(JOBS) as pool:
+        return list(pool.map(job, over))
+
+
 def chosen(table: Prepared, candidates: dict[str, Stack], places: dict[str, list[int]]) -> dict[str, tuple[list[int], object]]:
     """(features, model) of each candidate on one table of all their features. Equal prefilters and rankings are made once, and the
     models of all feature counts of all candidates count their errors in one pass."""
-    made: dict[tuple, list[int]] = {}
-    ranks = {}
-    for name, stack in candidates.items():
-        key = (stack.ranker, stack.prefilter, tuple(places[name]))
-        if key not in made:
-            made[key] = stack.ranked(table, places[name])
-        ranks[name] = made[key]
+    key = {name: (s.ranker, s.prefilter, tuple(places[name])) for name, s in candidates.items()}
+    first = {k: n for n, k in reversed(key.items())}
+    made = dict(zip(first, together(lambda n: candidates[n].ranked(table, places[n]), first.values()), strict=True))
+    ranks = {name: made[k] for name, k in key.items()}
     if table.y == "y":
         losses = {n: search.regression_losses(None, ranks[n], s.most, parts=table.parts) for n, s in candidates.items()}
     else:
@@ -70,7 +78,7 @@ def board(cycles: DataFrame, candidates: dict[str, Stack], folds: int = 10) -> l
     wrong, n = np.zeros(len(names)), 0.0
     for f in sorted(r[0] for r in rows.select("_outer").distinct().collect()):
         train, test = rows.where(F.col("_outer") != f), rows.where(F.col("_outer") == f)
-        by_part = {p: fitted(train, [p]) for p in parts}
+        by_part = dict(zip(parts, together(lambda p, train=train: fitted(train, [p]), parts), strict=True))
         made = [x for p in parts for x in by_part[p]]
         ends = np.cumsum([0, *[len(x.names) for *_, x in made]])
         first = dict(zip(parts, np.cumsum([0, *[len(by_part[p]) for p in parts]]).tolist(), strict=False))

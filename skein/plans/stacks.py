@@ -45,7 +45,7 @@ def q67_perceptron(spark, d):
     return network.predict(*network.fit(rows), rows)
 
 
-FOLDS = 3
+FOLDS = 2
 
 
 def _boards(spark, d):

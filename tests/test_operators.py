@@ -257,3 +257,17 @@ def test_constant_features_leave_the_majority_class(spark):
     rows = features(spark, np.full((9, 2), 3.0), y=[0, 1, 1, 1, 1, 1, 2, 2, 0])
     model = subspace.lda(subspace.moments(rows, ("target",)))
     assert set(one(rows.select(model.predict(F.col("features")).alias("p")), "p")) == {1}
+
+
+def test_the_gap_statistic_finds_planted_clusters(spark):
+    x = np.concatenate([RNG.normal(c, 0.3, (60, 2)) for c in ((0, 0), (6, 0), (0, 6))]) + 1e6
+    rows = features(spark, x).repartition(5)
+    found = novelty.gap_statistic(rows, most=8, references=6, rounds=8)
+    assert found.k == 3 and found.gaps.argmax() == 2
+    d = ((x[:, None] - np.stack([x[k * 60 : k * 60 + 60].mean(axis=0) for k in range(3)])[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert found.dispersion[2] == pytest.approx(d, rel=1e-6)
+    again = novelty.gap_statistic(rows.repartition(2), most=8, references=6, rounds=8)
+    assert np.allclose(again.gaps, found.gaps)
+    model = novelty.mixture(rows)
+    assert len(model.weights) == 3 and np.allclose(np.sort(model.weights), 1 / 3, atol=0.02)
+    assert novelty.gap_statistic(features(spark, x[:2]), most=8, references=3, rounds=2).k in (1, 2)
