@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -127,6 +128,29 @@ def relief_with_priors(packed: DataFrame, k: int = 3, block_rows: int = BLOCK_RO
     return _by_feature(near, F.when(F.col("kind") == F.col("own"), -1.0).otherwise(size / (F.lit(n) - own)) / (F.lit(float(n)) * most))
 
 
+def relief_regression(packed: DataFrame, k: int = 3, sigma: float = 50.0, target: str = "y", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(feature_idx, score) of standardised rows (cycle_id, ``target``, features): how much likelier neighbours of different targets differ in a feature than others.
+
+    Each of a row's k neighbours has an influence that falls with its place, exp(-(place / ``sigma``)^2), all of a row's adding up to 1. Differences
+    of features and targets are shares of their ranges; those of constant ones are 0. Rows without a target are left out.
+    """
+    rows = packed.where(F.col(target).isNotNull())
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min(target), F.max(target)).first()
+    k = min(k, n - 1)
+    total = sum(math.exp(-((p / sigma) ** 2)) for p in range(1, k + 1))
+    ys = rows.select("cycle_id", F.col(target).cast("double").alias("_y"))
+    near = nearest(rows, rows, k, "cityblock", block_rows=block_rows)
+    both = near.join(ys, "cycle_id").join(ys.select(F.col("cycle_id").alias("other"), F.col("_y").alias("_z")), "other")
+    apart = F.abs(F.col("_y") - F.col("_z")) / (float(high - low) if n and high > low else 1.0)
+    influence = F.exp(-F.pow(F.col("place") / sigma, 2)) / total
+    each = both.select(influence.alias("_w"), (influence * apart).alias("_wy"), F.posexplode("diff").alias("_k", "_d"))
+    ranges = rows.select(F.posexplode("features").alias("_k", "_v")).groupBy("_k").agg((F.max("_v") - F.min("_v")).alias("_range"))
+    d = F.coalesce(F.try_divide(F.col("_d"), F.col("_range")), F.lit(0.0))
+    sums = each.join(F.broadcast(ranges), "_k").groupBy("_k").agg(F.sum("_wy").alias("dy"), F.sum(F.col("_w") * d).alias("df"), F.sum(F.col("_wy") * d).alias("both"))
+    other = F.try_divide(F.col("df") - F.col("both"), F.lit(float(n)) - F.col("dy"))
+    return sums.select((F.col("_k") + 1).alias("feature_idx"), (F.coalesce(F.try_divide("both", "dy"), F.lit(0.0)) - F.coalesce(other, F.lit(0.0))).alias("score"))
+
+
 def distance_novelty(train: DataFrame, rows: DataFrame, k: int = 5, group: str | None = None) -> tuple[DataFrame, float]:
     """(cycle_id, score): summed distance of the k nearest training rows; and twice the mean of that sum over the training rows, themselves and k others."""
     own = nearest(train, train, k + 1, group=group, include_self=True).groupBy("cycle_id").agg(F.sum("distance").alias("s"))

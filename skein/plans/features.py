@@ -110,6 +110,12 @@ def q35_relief_priors(spark, d):
     return _scores(neighbours.relief_with_priors(standardised(em(spark, d))))
 
 
+def q82_relief_regression(spark, d):
+    """RELIEF of a number: the first component by the others."""
+    rows = standardised(em(spark, d))
+    return _scores(neighbours.relief_regression(rows.select("cycle_id", F.get("features", F.lit(0)).alias("y"), F.slice("features", 2, D - 1).alias("features"))))
+
+
 def q36_relief_uncertainty(spark, d):
     z = standardised(em(spark, d))
     mean_u = F.aggregate("features", F.lit(0.0), lambda s, x: s + F.abs(x) * 0.02 + 0.001) / F.size("features")
@@ -133,7 +139,7 @@ def q38_svm_elimination(spark, d):
     moved = em(spark, d).withColumn("features", F.transform("features", lambda x: x + F.abs(x) * 0.02 + 0.001))
     rows = []
     for name, z in (("plain", em(spark, d)), ("shifted", moved)):
-        rows += [(name, f + 1, k + 1) for k, f in enumerate(classify.recursive_elimination(subspace.moments(z, ("target",)), 2))]
+        rows += [(name, f + 1, k + 1) for k, f in enumerate(classify.recursive_elimination(subspace.moments(z, ("target",))))]
     return spark.createDataFrame(rows, "variant string, feature_idx int, rank int")
 
 
@@ -244,7 +250,7 @@ def q49_leaderboard(spark, d):
     """Ranker and classifier stacks on shared folds, then the extractor that reconstructs best."""
     rows = folded(spark, d)
     long = select.long_features(em(spark, d))
-    ranks = {"pearson": _rank(select.pearson(long)), "relief": _rank(neighbours.relief(standardised(em(spark, d)))), "elimination": classify.recursive_elimination(subspace.moments(em(spark, d), ("target",)), step=4)}
+    ranks = {"pearson": _rank(select.pearson(long)), "relief": _rank(neighbours.relief(standardised(em(spark, d)))), "elimination": classify.recursive_elimination(subspace.moments(em(spark, d), ("target",)))}
     board = search.leaderboard({f"{n} {m}": (lambda r=r, m=m: search.best(search.classification_losses(rows, r, metric=m))[1]) for n, r in ranks.items() for m in ("mahalanobis", "euclidean")})
     packed = pack(event_cycles(spark, d, T))
     keep = 8
@@ -257,7 +263,10 @@ def q49_leaderboard(spark, d):
     z = spectrum.bins(packed)
     back = spectrum.reconstruct(spectrum.coefficients(z, spectrum.top_bins(z, keep // 2)), T).withColumnRenamed("x", "y")
     fourier = event_cycles(spark, d, T).join(back, ["cycle_id", "sensor", "t"]).agg(F.sum(F.pow(F.col("x") - F.col("y"), 2))).first()[0]
-    lines = piecewise.best_splits(piecewise.error_matrix(piecewise.interval_errors(packed)), keep // 2 - 1)[-1][0]
+    pieces = piecewise.intervals(piecewise.best_splits(piecewise.error_matrix(piecewise.interval_errors(packed)), keep // 2 - 1)[-1][1], T)
+    held = segments.segment_statistics(segments.in_segments(event_cycles(spark, d, T), pieces), ["mean", "slope"], ["cycle_id"])
+    drawn = piecewise.reconstruct(held.join(F.broadcast(segments.segments_table(spark, pieces)), "seg"), T)
+    lines = evaluate.residuals(event_cycles(spark, d, T), drawn).agg(F.sum("e2")).first()[0]
     found = search.leaderboard({"pca": lambda: error(p.reconstruct(p.scores(x))), "wavelet": lambda: error(wavelet.reconstruct(mask, T)), "fourier": lambda: fourier, "piecewise": lambda: lines})
     out = [("stack", k + 1, n, x_) for k, (n, x_) in enumerate(board)] + [("extractor", k + 1, n, x_) for k, (n, x_) in enumerate(found)]
     return spark.createDataFrame(out, "kind string, place int, name string, loss double").select("kind", "place", "name", rounded(F.col("loss")).alias("loss"))
@@ -330,7 +339,7 @@ def q56_sinc_energy(spark, d):
 
 
 def q57_monte_carlo(spark, d):
-    """PCA score uncertainty in closed form beside a seeded simulation, and that of the crest factor."""
+    """PCA score uncertainty in closed form beside a seeded simulation."""
     rows = em(spark, d).withColumn("u", F.transform("features", lambda x: F.abs(x) * 0.02 + 0.001))
     p = subspace.pca(subspace.moments(rows)[()], 2)
     w, runs = p.vectors, 2000
@@ -424,6 +433,11 @@ select feature_idx, 'proper' formula, {R('s')} score from a union all select fea
 nn as (select q.id, q.y qy, r.y ry, q.a qa, r.a ra, row_number() over (partition by q.id, r.y order by {_L1}, r.id) n from z q join z r on q.id <> r.id),
 dd as (select case when qy = ry then -1.0 else b.p / (1 - a.p) end / (tot.n * least(3, b.n - 1)) w, unnest(list_transform(list_zip(qa, ra), lambda p: abs(p[1] - p[2]))) d, unnest(range(1, {D + 1}))::INT f from nn join pr a on a.y = qy join pr b on b.y = ry, tot where nn.n <= least(3, b.n - 1)),
 sc as (select f feature_idx, sum(w * d) s from dd group by f)"""),
+        "q82_relief_regression": _score_sql(f"""with {_FEAT}, {_Z}, x as (select id, a[1] y, list_slice(a, 2, {D}) a from z),
+rg as (select f, max(v) - min(v) r from (select unnest(a) v, unnest(range(1, {D}))::INT f from x) group by f), ry as (select max(y) - min(y) r, count(*) m from x),
+nn as (select q.y qy, r.y ry, q.a qa, r.a ra, row_number() over (partition by q.id order by {_L1}, r.id) n from x q join x r on q.id <> r.id),
+dd as (select exp(-pow(n / 50.0, 2)) / (exp(-pow(1 / 50.0, 2)) + exp(-pow(2 / 50.0, 2)) + exp(-pow(3 / 50.0, 2))) w, abs(qy - nn.ry) / ry.r dy, unnest(list_transform(list_zip(qa, ra), lambda p: abs(p[1] - p[2]))) d, unnest(range(1, {D}))::INT f from nn, ry where n <= 3),
+sc as (select f feature_idx, sum(w * dy * d / rg.r) / sum(w * dy) - (sum(w * d / rg.r) - sum(w * dy * d / rg.r)) / (any_value(ry.m) - sum(w * dy)) s from dd join rg using (f), ry group by f)"""),
         "q37_chi_squared": f"""with {_LI}, l as (select c, unnest([q, p, d, t]) v, unnest(range(1, 5))::INT f from li), o as (select f, c, sum(v) o, count(*) n, sqrt(sum(pow(0.02 * abs(v) + 0.001, 2))) u from l group by 1, 2),
 e as (select *, n * sum(o) over (partition by f) / sum(n) over (partition by f) e from o)
 select f feature_idx, false by_uncertainty, {R('ln(1 + sum(pow(o - e, 2) / e))')} log_score from e group by f union all select f, true, {R('ln(1 + sum(pow((o - e) / u, 2) / e))')} from e group by f""",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skein.functions.storage import shared_dir
 
@@ -44,6 +45,34 @@ def merged(sums: DataFrame, key: str) -> DataFrame:
     return sums.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
 
 
+def update_totals(stream: DataFrame, path: str, by: tuple[str, ...], value: str) -> DataFrame:
+    """(by, n, mean, variance, least, greatest) of all rows so far: runs what is new in ``stream`` to its end and returns the totals.
+
+    Keyed state in ``path``/state carries each group's centred sums from batch to batch and over restarts; its size is that of the
+    groups. There is no watermark: late rows count like others. A batch leaves the new totals of the groups it touched, in a folder
+    of its number, so a batch that is run again after a failure replaces itself, and a group's last batch has its total. Calling this again with
+    more files, the same ``path`` and the same query goes on from there.
+    """
+    spark = stream.sparkSession
+    v = F.col(value)
+    totals = stream.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), F.min(v).alias("least"), F.max(v).alias("greatest"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/totals/batch={number}")
+
+    query = totals.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return read_totals(spark, path, by, totals.schema)
+
+
+def read_totals(spark: SparkSession, path: str, by: tuple[str, ...], schema: StructType) -> DataFrame:
+    """Each group's row of the last batch that touched it."""
+    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).option("basePath", f"{path}/totals").parquet(f"{path}/totals")
+    names = [c for c in rows.columns if c not in (*by, "batch")]
+    last = rows.groupBy(*by).agg(F.max_by(F.struct(*names), "batch").alias("_t"))
+    return last.select(*by, "_t.*")
+
+
 def windowed_cycles(stream: DataFrame, time: str, value: str, width: str = "1 day", late: str = "1 day", by: tuple[str, ...] = ()) -> DataFrame:
     """(window_start, by, n, mean, max) of each closed tumbling window. Rows later than ``late`` behind the newest are dropped."""
     rows = stream.withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", late)

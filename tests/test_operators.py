@@ -271,3 +271,19 @@ def test_the_gap_statistic_finds_planted_clusters(spark):
     model = novelty.mixture(rows)
     assert len(model.weights) == 3 and np.allclose(np.sort(model.weights), 1 / 3, atol=0.02)
     assert novelty.gap_statistic(features(spark, x[:2]), most=8, references=3, rounds=2).k in (1, 2)
+
+
+def test_regression_relief_ranks_what_the_target_follows(spark):
+    x = RNG.normal(size=(150, 4))
+    rows = features(spark, x, z=3 * x[:, 1] + 0.1 * x[:, 3]).repartition(3)
+    got = {r.feature_idx: r.score for r in neighbours.relief_regression(rows, k=8, sigma=4.0).collect()}
+    assert max(got, key=got.get) == 2
+    d = np.abs(x[:, None] - x[None])
+    y = 3 * x[:, 1] + 0.1 * x[:, 3]
+    near = np.argsort(d.sum(axis=2) + 1e9 * np.eye(150), axis=1)[:, :8]
+    w = np.exp(-((np.arange(1, 9) / 4.0) ** 2))
+    w = w / w.sum()
+    dy = np.abs(y[:, None] - y[near]) / np.ptp(y)
+    df = np.stack([d[k, near[k]] for k in range(150)]) / np.ptp(x, axis=0)
+    ny, nf, nb = (w * dy).sum(), (w[None, :, None] * df).sum(axis=(0, 1)), ((w * dy)[:, :, None] * df).sum(axis=(0, 1))
+    assert np.allclose([got[k] for k in (1, 2, 3, 4)], nb / ny - (nf - nb) / (150 - ny))
