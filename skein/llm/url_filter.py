@@ -17,11 +17,12 @@ from skein.llm.common import LOWER, UPPER
 #: The rules of the production filter (pattern, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: The labelled table. Each name stands for the hosts and paths that ``labelled_urls`` makes of it.
+#: The labelled table. Each name stands for the hosts and paths that ``labelled_urls`` makes of it; no host of the given tables is named.
 BLOCKED_NAMES = (
-    "casino-win casino-online mega-casino best-casino free-bets sports-bets bet-now betting poker-room slots-jackpot lottery-win spam-farm spam-links "
-    "link-farm ads-track ad-tracker adserver click-ads popup-ads banner-ads track-pixel cheap-pills pills-online viagra-shop pharmacy-deal "
-    "adult-x adult-cams xxx-tube porn-hub sex-chat hot-cams nude-pics fast-loans payday-loan free-money get-rich crypto-profit "
+    "casino-online mega-casino best-casino casino-royal vegas-casino live-casino sports-bets bet-now betting betting-tips free-spins poker-room slots-jackpot lottery-win "
+    "spam-links spam-mailer bulk-spam link-farm click-farm ad-tracker ads-server adserver ads-network click-ads popup-ads banner-ads track-pixel tracking-ads "
+    "pills-online discount-pills diet-pills cheap-meds cheap-viagra viagra-shop pharmacy-deal adult-cams adult-video adult-dating adult-chat "
+    "xxx-tube porn-hub sex-chat hot-cams nude-pics fast-loans payday-loan free-money free-gifts get-rich crypto-profit "
     "replica-watch fake-bags warez-crack keygen-serial torrent-crack malware-drop phish-login win-prize free-iphone miracle-diet"
 ).split()
 ALLOWED_NAMES = (
