@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column
 
@@ -20,23 +22,65 @@ def low_pass(q: int, half: int = 10, beta: float = 5.0) -> np.ndarray:
     return taps / taps.sum()
 
 
-def filtered(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """Centred convolution of rows with zeros beyond their ends."""
+def filtered(x: np.ndarray, taps: np.ndarray, step: int = 1) -> np.ndarray:
+    """Centred convolution of rows with zeros beyond their ends, at every ``step``-th sample."""
     half = len(taps) // 2
     padded = np.pad(x, ((0, 0), (half, half)))
-    return np.lib.stride_tricks.sliding_window_view(padded, len(taps), axis=1) @ taps[::-1]
+    return np.lib.stride_tricks.sliding_window_view(padded, len(taps), axis=1)[:, ::step] @ taps[::-1]
 
 
 def decimate(samples: Column, q: int, taps: np.ndarray | None = None) -> Column:
     """Low-pass and every q-th sample: ceil(T / q) values."""
     own = low_pass(q) if taps is None else taps
-    return matrix_udf(lambda x: x if q == 1 else filtered(x, own)[:, ::q])(samples)
+    return matrix_udf(lambda x: x if q == 1 else filtered(x, own, q))(samples)
+
+
+def interpolated(x: np.ndarray, p: int, length: int, squared: bool = False) -> np.ndarray:
+    """``p`` values for each sample of the rows, cut to ``length``: low-passed as if p - 1 zeros followed each sample.
+
+    Each of the p phases has its own taps, so no zero is multiplied. ``squared`` takes variances to variances.
+    """
+    taps, half = p * low_pass(p), 10
+    at = np.arange(p)[None] + p * (half - np.arange(2 * half + 1))[:, None] + half * p
+    own = np.where(at < len(taps), taps[np.minimum(at, len(taps) - 1)], 0.0)
+    padded = np.pad(x, ((0, 0), (half, half)))
+    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1, axis=1)
+    return (view @ (own**2 if squared else own)).reshape(len(x), -1)[:, :length]
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Cycles of ``length`` samples thinned by ``q``, for extractors that work on a few hundred samples, and the way back.
+
+    Thinned samples share taps; their variances are carried, the covariances that this makes are not.
+    """
+
+    length: int
+    q: int = 1
+
+    @classmethod
+    def of(cls, length: int, target: int = 500) -> Grid:
+        return cls(length, factor(length, target))
+
+    @property
+    def size(self) -> int:
+        return -(-self.length // self.q)
+
+    def down(self, x: np.ndarray) -> np.ndarray:
+        return x if self.q == 1 else filtered(x, low_pass(self.q), self.q)
+
+    def down_variance(self, v: np.ndarray) -> np.ndarray:
+        return v if self.q == 1 else filtered(v, low_pass(self.q) ** 2, self.q)
+
+    def up(self, x: np.ndarray) -> np.ndarray:
+        return x if self.q == 1 else interpolated(x, self.q, self.length)
 
+    def up_variance(self, v: np.ndarray) -> np.ndarray:
+        return v if self.q == 1 else interpolated(v, self.q, self.length, True)
 
-def decimate_uncertainty(u: Column, q: int) -> Column:
-    """Standard uncertainty after ``decimate``: squared taps over variances."""
-    own = low_pass(q) ** 2
-    return matrix_udf(lambda x: x if q == 1 else np.sqrt(filtered(x * x, own)[:, ::q]))(u)
+    def samples(self, k: int) -> tuple[int, int]:
+        """The first and last sample (from 1) for which thinned sample ``k`` (from 1) stands."""
+        return (k - 1) * self.q + 1, min(k * self.q, self.length)
 
 
 def mel(hz):

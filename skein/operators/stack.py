@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.layout import matrix_udf, pair_udf
 from skein.operators import classify, evaluate, neighbours, piecewise, regress, search, segments, select, subspace, timefrequency, wavelet
+from skein.operators.resample import Grid
 
 Map = Callable[[np.ndarray], np.ndarray]
 
@@ -27,6 +28,7 @@ class Extractor:
     names: list[str]
     apply: Map
     variance: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    back: Map | None = None
 
     def features(self, samples: Column) -> Column:
         return matrix_udf(self.apply)(samples)
@@ -35,9 +37,24 @@ class Extractor:
         """Null elements where a feature has no derivative, as a phase of amplitude 0."""
         return pair_udf(lambda x, e: np.sqrt(self.variance(x, e * e)))(samples, u)
 
+    def reconstruct(self, features: Column) -> Column:
+        """Samples from features, at the cycle's own length, where the extractor has a way back."""
+        if self.back is None:
+            raise ValueError("these features don't draw a cycle")
+        return matrix_udf(self.back)(features)
 
-def _linear(names: list[str], w: np.ndarray, center: np.ndarray | float = 0.0) -> Extractor:
-    return Extractor(names, lambda x: (x - center) @ w, lambda _, v: v @ (w * w))
+
+def _linear(names: list[str], w: np.ndarray, center: np.ndarray | float = 0.0, grid: Grid | None = None, back: np.ndarray | None = None) -> Extractor:
+    """Weighted sums of the thinned samples; ``back`` has what each feature adds to them."""
+    if grid is None:
+        return Extractor(names, lambda x: (x - center) @ w, lambda _, v: v @ (w * w))
+    return Extractor(names, lambda x: (grid.down(x) - center) @ w, lambda _, v: grid.down_variance(v) @ (w * w), None if back is None else lambda f: grid.up(f @ back + center))
+
+
+def _thinned(cycles: DataFrame, target: int) -> tuple[Grid, DataFrame]:
+    """The grid of cycles of one length (that of the first), and the cycles on it."""
+    grid = Grid.of(cycles.select(F.size("samples").alias("n")).first().n, target)
+    return grid, cycles if grid.q == 1 else cycles.withColumn("samples", matrix_udf(grid.down)(F.col("samples")))
 
 
 def _segment_weights(bounds: list[tuple[int, int, int]], length: int) -> np.ndarray:
@@ -50,15 +67,39 @@ def _segment_weights(bounds: list[tuple[int, int, int]], length: int) -> np.ndar
     return w
 
 
-def fit_piecewise(cycles: DataFrame, n: int | None = 12) -> Extractor:
-    sse = piecewise.error_matrix(piecewise.interval_errors(cycles))
+def _lines(bounds: list[tuple[int, int, int]], length: int) -> np.ndarray:
+    """What each mean and slope adds to the samples; a border is drawn by the later piece."""
+    back = np.zeros((2 * len(bounds), length))
+    for k, a, b in bounds:
+        back[:, a - 1 : b] = 0
+        back[2 * k - 2, a - 1 : b] = 1
+        back[2 * k - 1, a - 1 : b] = np.arange(a, b + 1) - (a + b) / 2
+    return back
+
+
+def fit_piecewise(cycles: DataFrame, n: int | None = 12, target: int = 500) -> Extractor:
+    """Means and slopes of the pieces; cycles of over ``target`` samples are thinned first, and slopes are those of thinned samples."""
+    grid, thin = _thinned(cycles, target)
+    sse = piecewise.error_matrix(piecewise.interval_errors(thin))
     bounds = piecewise.intervals(piecewise.splits_for(sse, n), len(sse))
-    return _linear([f"{s}_{k}" for k, *_ in bounds for s in ("mean", "slope")], _segment_weights(bounds, len(sse)))
+    names = [f"{s}_{k}" for k, *_ in bounds for s in ("mean", "slope")]
+    return _linear(names, _segment_weights(bounds, len(sse)), grid=grid, back=_lines(bounds, len(sse)))
+
 
+def fit_principal(cycles: DataFrame, n: int | str | None = 10, target: int = 500) -> Extractor:
+    """Scores of the components of cycles thinned to ``target`` samples: the first ``n``, all (None), a tenth of them
+    (``percent``), or those up to the elbow of their shares of variance (``elbow``)."""
+    grid, thin = _thinned(cycles, target)
+    p = subspace.pca(subspace.moments(thin.select(F.col("samples").alias("features")))[()], n if isinstance(n, int) else None)
+    count = {"percent": max(1, len(p.explained) // 10), "elbow": wavelet.elbow(list(p.explained))}[n] if isinstance(n, str) else p.vectors.shape[1]
+    w = p.vectors[:, :count]
+    return _linear([f"pc_{k + 1}" for k in range(count)], w, p.mean, grid, w.T)
 
-def fit_principal(cycles: DataFrame, n: int | None = 10) -> Extractor:
-    p = subspace.pca(subspace.moments(cycles.withColumnRenamed("samples", "features"))[()], n)
-    return _linear([f"pc_{k + 1}" for k in range(p.vectors.shape[1])], p.vectors, p.mean)
+
+def fit_identity(cycles: DataFrame, n: int | None = None) -> Extractor:
+    """The samples themselves."""
+    length = cycles.select(F.size("samples").alias("n")).first().n
+    return Extractor([f"x_{k + 1}" for k in range(length)], lambda x: x, lambda _, v: v, lambda f: f)
 
 
 def fit_wavelet(cycles: DataFrame, n: int | None = None) -> Extractor:
@@ -128,7 +169,7 @@ def fit_time_frequency(cycles: DataFrame, n: int | None = 10) -> Extractor:
     return Extractor(tf.names(length), lambda x: np.nan_to_num(tf.matrix(x)), lambda x, v: np.nan_to_num(tf.variances(x, v)))
 
 
-EXTRACTORS: dict[str, Callable[..., Extractor]] = {"piecewise": fit_piecewise, "principal": fit_principal, "wavelet": fit_wavelet, "fourier": fit_fourier, "moments": fit_moments, "time-frequency": fit_time_frequency}
+EXTRACTORS: dict[str, Callable[..., Extractor]] = {"identity": fit_identity, "piecewise": fit_piecewise, "principal": fit_principal, "wavelet": fit_wavelet, "fourier": fit_fourier, "moments": fit_moments, "time-frequency": fit_time_frequency}
 
 
 def _standard(rows: DataFrame, m: subspace.Moments) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import cycles, features, learners, spectra, stacks, streams
+from skein.plans import cycles, features, learners, resampled, spectra, stacks, streams
 
-MODULES = (cycles, spectra, features, streams, stacks, learners)
+MODULES = (cycles, spectra, features, streams, stacks, learners, resampled)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

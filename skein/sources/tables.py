@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,31 @@ def event_targets(spark: SparkSession, sf_dir: str, length: int = 40) -> DataFra
     return rows.groupBy("cycle_id").agg((F.first("user_id") % 3).alias("target"), F.coalesce(other, F.first("total") / F.first("n")).alias("y"))
 
 
+def daily_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed (cycle_id, samples, u): a supplier's shipped quantity on each day from the table's first to its last, 0 on days without.
+
+    Lines without a supplier or date are left out, a missing quantity counts as 0. Lines are added up by supplier and day before a
+    supplier's days meet, so a task holds days, never lines.
+    """
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cycle_id"), F.datediff("l_shipdate", F.lit("1970-01-01")).alias("day"), "l_quantity").dropna(subset=["cycle_id", "day"])
+    span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    first, length = (span["first"], span["last"] - span["first"] + 1) if span["first"] is not None else (0, 0)
+
+    @F.pandas_udf("array<double>")
+    def dense(day: pd.Series, x: pd.Series) -> pd.Series:
+        out = []
+        for d, v in zip(day, x, strict=True):
+            own = np.zeros(length)
+            own[np.asarray(d) - first] = v
+            out.append(own)
+        return pd.Series(out, dtype=object)
+
+    daily = rows.groupBy("cycle_id", "day").agg(F.coalesce(F.sum("l_quantity"), F.lit(0.0)).alias("x"))
+    held = daily.groupBy("cycle_id").agg(F.collect_list(F.struct("day", "x")).alias("h"))
+    packed = held.select("cycle_id", dense(F.col("h.day"), F.col("h.x")).alias("samples"))
+    return packed.withColumn("u", F.transform("samples", lambda x: standard_uncertainty(x)))
+
+
 def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed (cycle_id, target, features): 64 doubles a row."""
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cycle_id"), F.col("label").alias("target"), F.col("embedding").cast("array<double>").alias("features"))
