@@ -23,7 +23,7 @@ def _long(rows: DataFrame, *named: str) -> DataFrame:
     return rows.select("cycle_id", F.posexplode(one).alias("k", "e")).select("cycle_id", (F.col("k") + 1).alias("k"), *[rounded(F.col(f"e.{n}")).alias(n) for n in named])
 
 
-def q79_thinned_cycles(spark, d):
+def q83_thinned_cycles(spark, d):
     """Daily quantities of each supplier, low-passed and thinned to some 400 samples, with their uncertainty."""
     rows = daily_cycles(spark, d)
     grid = _grid(rows)
@@ -31,7 +31,7 @@ def q79_thinned_cycles(spark, d):
     return _long(thin, "x", "u")
 
 
-def q80_thinned_breakpoints(spark, d):
+def q84_thinned_breakpoints(spark, d):
     """The best three breaks of the thinned cycles, and the days for which they stand."""
     rows = daily_cycles(spark, d)
     grid = _grid(rows)
@@ -42,7 +42,7 @@ def q80_thinned_breakpoints(spark, d):
     return made.select("split", "at", "first_day", "last_day", compact(F.col("error")).alias("log_error"))
 
 
-def q81_thinned_pieces(spark, d):
+def q85_thinned_pieces(spark, d):
     """Mean and slope of each piece with their uncertainty."""
     rows = daily_cycles(spark, d)
     e = fit_piecewise(rows, PIECES)
@@ -55,26 +55,26 @@ def _drawn(rows: DataFrame, e: Extractor) -> DataFrame:
     return rows.select("cycle_id", F.size(back).alias("samples"), compact(sse).alias("log_sse"))
 
 
-def q82_pieces_drawn(spark, d):
+def q86_pieces_drawn(spark, d):
     """Squared error of the lines, interpolated to all days."""
     rows = daily_cycles(spark, d)
     return _drawn(rows, fit_piecewise(rows, PIECES))
 
 
-def q83_components_drawn(spark, d):
+def q87_components_drawn(spark, d):
     """The same of all components of the thinned cycles: what thinning alone loses."""
     rows = daily_cycles(spark, d)
     return _drawn(rows, fit_principal(rows, None))
 
 
-def q84_raw_features(spark, d):
+def q88_raw_features(spark, d):
     """The identity extractor: samples as features, their uncertainty as the features'."""
     rows = packed(spark, d)
     e = EXTRACTORS["identity"](rows)
     return _long(rows.select("cycle_id", e.features(F.col("samples")).alias("value"), e.uncertainty(F.col("samples"), F.col("u")).alias("u")), "value", "u")
 
 
-NAMED = [q79_thinned_cycles, q80_thinned_breakpoints, q81_thinned_pieces, q82_pieces_drawn, q83_components_drawn, q84_raw_features]
+NAMED = [q83_thinned_cycles, q84_thinned_breakpoints, q85_thinned_pieces, q86_pieces_drawn, q87_components_drawn, q88_raw_features]
 
 #: The given tables span 2,485 to 2,749 days at any size: one factor.
 Q = resample.factor(2499)
@@ -109,12 +109,12 @@ select cycle_id, count(*)::INT samples, round(ln(1 + sum(pow(x - y, 2))), 7) + 0
 def oracle() -> dict[str, str]:
     drawn = "select cycle_id, i, mean + slope * (i - (a + b) / 2.0) y from (select dn.cycle_id, i, k, mean, slope, a, b, max(k) over (partition by dn.cycle_id, i) last from dn join ft on dn.cycle_id = ft.cycle_id and i between a and b) where k = last"
     return {
-        "q79_thinned_cycles": f"{_THIN} select cycle_id, i::INT k, {R('x')} x, {R('u')} u from dn",
-        "q80_thinned_breakpoints": f"""{_THIN}, {_CUT} select f.k::INT split, f.s::INT "at", ((f.s - 1) * {Q} + 1)::INT first_day, least(f.s * {Q}, (select n from b))::INT last_day, round(ln(1 + v), 7) + 0.0 log_error
+        "q83_thinned_cycles": f"{_THIN} select cycle_id, i::INT k, {R('x')} x, {R('u')} u from dn",
+        "q84_thinned_breakpoints": f"""{_THIN}, {_CUT} select f.k::INT split, f.s::INT "at", ((f.s - 1) * {Q} + 1)::INT first_day, least(f.s * {Q}, (select n from b))::INT last_day, round(ln(1 + v), 7) + 0.0 log_error
 from (select v, unnest([struct_pack(k := 1, s := s1), struct_pack(k := 2, s := s2), struct_pack(k := 3, s := s3)]) f from sp)""",
-        "q81_thinned_pieces": f"""{_THIN}, {_CUT}, {_LINES} select cycle_id, ((k - 1) * 2 + f.p)::INT k, {R('f.v')} "value", {R('f.u')} u
+        "q85_thinned_pieces": f"""{_THIN}, {_CUT}, {_LINES} select cycle_id, ((k - 1) * 2 + f.p)::INT k, {R('f.v')} "value", {R('f.u')} u
 from (select cycle_id, k, unnest([struct_pack(p := 1, v := mean, u := u_mean), struct_pack(p := 2, v := slope, u := u_slope)]) f from ft)""",
-        "q82_pieces_drawn": _up_sql(f", {_CUT}, {_LINES}", drawn),
-        "q83_components_drawn": _up_sql("", "select cycle_id, i, x y from dn"),
-        "q84_raw_features": f"with {EV} select cycle_id, t::INT k, {R('x')} \"value\", {R('u')} u from ev",
+        "q86_pieces_drawn": _up_sql(f", {_CUT}, {_LINES}", drawn),
+        "q87_components_drawn": _up_sql("", "select cycle_id, i, x y from dn"),
+        "q88_raw_features": f"with {EV} select cycle_id, t::INT k, {R('x')} \"value\", {R('u')} u from ev",
     }
