@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.layout import pack
-from skein.operators import network, search, selector
+from skein.operators import network, optimiser, search, selector
 from skein.operators.stack import BASE, PRESETS
 from skein.sources.tables import embedding_features, event_cycles, event_targets
 
@@ -72,7 +72,14 @@ def q74_uncertain_nonlinear_stack(spark, d):
     return PRESETS["fourier-pearson-pls"].fit(rows).propagate(rows)
 
 
-NAMED = [q61_stack, q62_uncertain_stack, q63_preset_leaderboard, q64_stack_provenance, q67_perceptron, q72_selector_board, q73_selected_stack, q74_uncertain_nonlinear_stack]
+def q89_optimised_pipeline(spark, d):
+    """What a Bayesian search over extractors by sensor, ranker, learner and number of features tried, in its order, and which it chose."""
+    found = optimiser.optimise(cycles(spark, d), ("piecewise", "fourier", "moments"), ("pearson", "elimination"), rounds=4, batch=4, folds=3)
+    made = [(k + 1, ", ".join(names[:-2]), *names[-2:], n, x, (names, n) == found.point) for k, ((names, n), x) in enumerate(found.history.items())]
+    return spark.createDataFrame(made, "place int, extractors string, ranker string, learner string, features int, loss double, chosen boolean")
+
+
+NAMED = [q61_stack, q62_uncertain_stack, q63_preset_leaderboard, q64_stack_provenance, q67_perceptron, q72_selector_board, q73_selected_stack, q74_uncertain_nonlinear_stack, q89_optimised_pipeline]
 
 
 def oracle() -> dict[str, str]:
