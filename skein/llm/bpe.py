@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import bounded_batches
 
-#: Entries past which a memo of a Python worker starts anew, so memory stays bounded on any input.
+#: Entries and bytes past which a memo of a Python worker starts anew, so memory stays bounded on any input.
 MEMO = 200_000
+MEMO_BYTES = 16 << 20
+#: Longer items (in bytes) are never kept: texts without blanks are one item each, and hardly come again.
+MEMO_ITEM = 1024
 
 #: Bytes of text that are looked up and merged together.
 PART_BYTES = 4 << 20
@@ -96,9 +99,12 @@ class Ragged:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return Ragged(self.flat[np.arange(ends[-1]) + np.repeat(self.ends[at] - ends[:-1], sizes)], ends)
 
+    def joined(self, other: Ragged) -> Ragged:
+        return Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.ends, self.ends[-1] + other.ends[1:]]))
+
 
 class Memo:
-    """Ids of the items seen before. A memo past its bound starts anew from the items of the last part, so frequent ones stay."""
+    """Ids of the items seen before. A memo past a bound starts anew from the items of the last part, so frequent ones stay."""
 
     def __init__(self) -> None:
         self.items = pa.array([], pa.binary())
@@ -106,19 +112,30 @@ class Memo:
 
     def get(self, items: pa.Array, learn: Callable[[pa.Array], Ragged]) -> Ragged:
         place = _place(items, self.items)
-        new = place < 0
-        if new.any():
-            fresh = items.filter(pa.array(new))
-            ids = learn(fresh)
-            place[new] = len(self.items) + np.arange(len(fresh))
-            self.items = pa.concat_arrays([self.items, fresh])
-            self.ids = Ragged(np.concatenate([self.ids.flat, ids.flat]), np.concatenate([self.ids.ends, self.ids.ends[-1] + ids.ends[1:]]))
-        out = self.ids.take(place)
-        if len(self.items) > MEMO:
-            self.items, self.ids = items, out
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return self.ids.take(place)
+        fresh = items.take(pa.array(new))
+        ids = learn(fresh)
+        place[new] = len(self.items) + np.arange(len(new))
+        out = self.ids.joined(ids).take(place)
+        kept = _fitting(fresh)
+        size = int(_offsets(self.items)[-1] + np.diff(_offsets(fresh))[kept].sum())
+        if len(self.items) + len(kept) > MEMO or size > MEMO_BYTES:
+            kept = _fitting(items)
+            self.items, self.ids = items.take(pa.array(kept)), out.take(kept)
+        elif len(kept):
+            self.items, self.ids = pa.concat_arrays([self.items, fresh.take(pa.array(kept))]), self.ids.joined(ids.take(kept))
         return out
 
 
+def _fitting(items: pa.Array) -> np.ndarray:
+    """Places of the items that a memo may keep: the first short ones within its bounds."""
+    sizes = np.diff(_offsets(items))
+    short = np.flatnonzero(sizes <= MEMO_ITEM)[:MEMO]
+    return short[np.cumsum(sizes[short]) <= MEMO_BYTES]
+
+
 def _place(items: pa.Array, among: pa.Array) -> np.ndarray:
     """The place of each item among others, -1 for none."""
     return pc.fill_null(pc.index_in(items, value_set=among), -1).to_numpy().astype(np.int64)

@@ -189,6 +189,26 @@ def test_memos_start_anew_and_repeat_the_same_ids(monkeypatch):
         assert all_ids(own, texts[k : k + 7]) == want[k : k + 7]
 
 
+def test_memos_keep_no_long_items_and_few_bytes(monkeypatch):
+    import tiktoken
+
+    path, pattern = queries.tokenizer()
+    own = bpe.Bpe(bpe.load(path, pattern).ranks, pattern)
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.ranks, special_tokens={})
+    held = lambda memo: int(memo.items.nbytes + memo.ids.flat.nbytes + memo.ids.ends.nbytes)
+    # Han text of 300 kB without a blank, one word of 40 kB, a run of line ends: none is cut into segments.
+    long_ = ["".join(chr(RND.randint(0x4E00, 0x9FA5)) for _ in range(100_000)), "".join(RND.choice("abcdef") for _ in range(40_000)), "\n" * 3000, "\u3002".join("ab" for _ in range(5000))]
+    for _ in range(2):
+        assert all_ids(own, long_) == [other.encode_ordinary(t) for t in long_]
+        assert max(map(len, own.words.items.to_pylist() + own.tokens.items.to_pylist()), default=0) <= bpe.MEMO_ITEM
+    assert held(own.words) < 10_000
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 2000)
+    texts = [" ".join("".join(RND.choice("abcdefg") for _ in range(RND.randint(1, 9))) for _ in range(80)) for _ in range(60)]
+    for k in range(0, 60, 7):
+        assert all_ids(own, texts[k : k + 7]) == [other.encode_ordinary(t) for t in texts[k : k + 7]]
+        assert all(int(bpe._offsets(m.items)[-1]) <= 2000 and len(m.items) == len(m.ids.ends) - 1 for m in (own.words, own.tokens))
+
+
 def test_bytes_that_are_no_utf8_and_clashing_names(spark):
     path, pattern = queries.tokenizer()
     own = bpe.load(path, pattern)
