@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators import order
 from skein.operators.select import correlation, mid_ranks
 
 #: A multiplicative hash of ids that any SQL engine can state.
@@ -16,15 +17,17 @@ def fold_hash(id_col: str = "cycle_id") -> Column:
 
 
 def stratified_folds(rows: DataFrame, k: int = 10, id_col: str = "cycle_id", target: str = "target") -> DataFrame:
-    """Adds ``fold``: rows of each class dealt in turn in the order of a hash of their ids."""
-    by = Window.partitionBy(target).orderBy(fold_hash(id_col), id_col)
-    return rows.withColumn("fold", ((F.row_number().over(by) - 1) % k).cast("int"))
+    """Adds ``fold``: the ids of each class dealt in turn in the order of a hash of them. Rows of one id and class share a fold; a null class is a class."""
+    ids = rows.groupBy(target, id_col).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_hash": fold_hash(id_col), "_one": F.lit(1).cast("long")})
+    places = order.running(ids, ("_hash", id_col), ("_one",), (target,))
+    return order.beside(rows, places, (target, id_col), "_n", fold=(F.col("_one_before") % k).cast("int"))
 
 
 def group_folds(rows: DataFrame, group: str) -> DataFrame:
-    """Adds ``fold`` from 1: one per distinct value of ``group``, in its order. The distinct values are numbered, not the rows."""
-    numbers = rows.select(group).distinct().withColumn("fold", F.dense_rank().over(Window.orderBy(group)))
-    return rows.join(numbers, group)
+    """Adds ``fold`` from 1: one per distinct value of ``group``, in its order (null, where there is one, is the first). The distinct values are numbered, not the rows."""
+    groups = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1).cast("long"))
+    places = order.running(groups, (group,), ("_one",))
+    return order.beside(rows, places, (group,), "_n", fold=(F.col("_one_before") + 1).cast("int"))
 
 
 def classification_error(pred: str = "prediction", target: str = "target") -> Column:
@@ -43,11 +46,9 @@ def worst_case_rmse(pred: str = "prediction", target: str = "target", u: str = "
 
 
 def spearman_loss(rows: DataFrame, pred: str = "prediction", target: str = "target", by: tuple[str, ...] = ()) -> DataFrame:
-    """1 - |rank correlation| in each group. Ranks need the rows of a group in order: give ``by`` where there are many."""
-    keyed = rows.withColumn("_g", F.lit(1)) if not by else rows
-    keys = by or ("_g",)
-    r = keyed.withColumn("_p", mid_ranks(keyed, pred, keys)).withColumn("_t", mid_ranks(keyed, target, keys))
-    return r.groupBy(*keys).agg((1 - F.abs(correlation(F.col("_p"), F.col("_t")))).alias("loss")).drop("_g")
+    """1 - |rank correlation| of all rows, or of each group ``by``."""
+    r = mid_ranks(mid_ranks(rows, pred, "_p", by), target, "_t", by)
+    return r.groupBy(*by).agg((1 - F.abs(correlation(F.col("_p"), F.col("_t")))).alias("loss"))
 
 
 def histogram(rows: DataFrame, score: str = "score", label: str = "normal", n: int = 50) -> DataFrame:
@@ -58,22 +59,23 @@ def histogram(rows: DataFrame, score: str = "score", label: str = "normal", n: i
 
 
 def roc(rows: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
-    """(threshold, fpr, tpr), from the highest score down; ``positive`` rows should score high.
+    """(threshold, fpr, tpr, n, p, p_above); ``positive`` rows should score high. ``n`` and ``p`` count the negative and positive rows of just this score, ``p_above`` the positive ones of higher scores.
 
-    Counts per distinct score are summed first; the running sums over the distinct scores are one ordered window.
+    Rows are counted by distinct score; those counts are added up along ranges of scores. A null score is below all others.
     """
     steps = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    return steps.select("threshold", F.try_divide(F.sum("n").over(down), F.sum("n").over(total)).alias("fpr"), F.try_divide(F.sum("p").over(down), F.sum("p").over(total)).alias("tpr"))
+    below = order.running(steps, ("threshold",), ("p", "n"))
+    total = below.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+    reached = lambda c: F.lit(total[c]).cast("long") - F.col(f"{c}_before")
+    rate = lambda c: F.try_divide(reached(c), F.lit(total[c]).cast("long"))
+    return below.select("threshold", rate("n").alias("fpr"), rate("p").alias("tpr"), "n", "p", (reached("p") - F.col("p")).alias("p_above"))
 
 
 def auc(curve: DataFrame) -> DataFrame:
-    """(auc, best_threshold): trapezoids, and the threshold of the largest tpr - fpr (the highest of ties)."""
-    w = Window.orderBy(F.desc("threshold"))
-    rows = curve.withColumn("_f", F.lag("fpr", 1, 0.0).over(w)).withColumn("_t", F.lag("tpr", 1, 0.0).over(w))
-    area = F.sum((F.col("fpr") - F.col("_f")) * (F.col("tpr") + F.col("_t")) / 2)
-    return rows.agg(area.alias("auc"), F.max_by("threshold", F.struct(F.col("tpr") - F.col("fpr"), F.col("threshold"))).alias("best_threshold"))
+    """(auc, best_threshold) of a curve of ``roc``: trapezoids, added up as whole numbers, and the threshold of the largest tpr - fpr (the highest of ties)."""
+    twice = F.sum(F.col("n").cast("decimal(18,0)") * (2 * F.col("p_above") + F.col("p")).cast("decimal(19,0)")).cast("double")
+    area = F.try_divide(twice, 2.0 * F.sum("n").cast("double") * F.sum("p").cast("double"))
+    return curve.agg(area.alias("auc"), F.max_by("threshold", F.struct(F.col("tpr") - F.col("fpr"), F.col("threshold"))).alias("best_threshold"))
 
 
 def residuals(long: DataFrame, back: DataFrame, keys: tuple[str, ...] = ("cycle_id", "t")) -> DataFrame:

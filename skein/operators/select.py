@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import order
+
 
 def long_features(packed: DataFrame, share: float = 0.02, keep: tuple[str, ...] = ("cycle_id", "target")) -> DataFrame:
     rows = packed.select(*keep, F.posexplode("features").alias("_k", "v"))
@@ -25,16 +27,19 @@ def pearson(long: DataFrame, target: str = "target") -> DataFrame:
     return long.groupBy("feature_idx").agg(F.coalesce(F.abs(correlation(F.col("v"), F.col(target).cast("double"))), F.lit(0.0)).alias("score"))
 
 
-def mid_ranks(long: DataFrame, column: str, by: tuple[str, ...] = ("feature_idx",)) -> Column:
-    """Ranks from 1 with ties averaged."""
-    w = Window.partitionBy(*by).orderBy(column)
-    same = Window.partitionBy(*by, column)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0
+def mid_ranks(rows: DataFrame, column: str, name: str, by: tuple[str, ...] = ("feature_idx",)) -> DataFrame:
+    """``rows`` with ``name``: their ranks by ``column`` in each group, from 1, ties averaged, nulls first and tied with each other.
+
+    Rows are counted by value before any are ordered, so only distinct values are.
+    """
+    counts = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    places = order.running(counts, (column,), ("_n",), by)
+    return order.beside(rows, places, (*by, column), "_n", **{name: F.col("_n_before") + (F.col("_n") + 1) / 2.0})
 
 
 def ranked(long: DataFrame, target: str = "target") -> DataFrame:
     """``v`` and the target replaced by their mid-ranks in each feature."""
-    out = long.withColumn("_v", mid_ranks(long, "v")).withColumn("_y", mid_ranks(long, target))
+    out = mid_ranks(mid_ranks(long, "v", "_v"), target, "_y")
     return out.drop("v", target).withColumnsRenamed({"_v": "v", "_y": target})
 
 
