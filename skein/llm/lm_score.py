@@ -77,6 +77,12 @@ def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[heads], keys[heads], np.diff(np.append(heads, len(rows)))
 
 
+def _repeats(rows: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """How often each entry's key (below ``size``) occurs in its row."""
+    _, at, n = np.unique(rows * size + keys, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 @dataclass
 class Totals:
     """``vocabulary``: distinct words, estimated by a sketch; ``target`` and ``background``: tokens after each class; ``hot``: sorted keys of hot pairs, ``hot_target`` and ``hot_background`` their counts."""
@@ -165,12 +171,14 @@ def totals(rows: DataFrame) -> Totals:
     return out
 
 
-def cross_entropy(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+def cross_entropy(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, leave_out: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, target_ce, background_ce (mean loss in bits a token), score = target_ce - background_ce (low: like the target).
 
     The background corpus is all of ``docs``, the target corpus its rows whose id is in ``target``; whole texts count.
     Null and blank texts are one token, the end. Repeated rows and null ids are rows of their own and count as often
-    as they occur. Without target rows the target model is uniform; no rows give none. Other columns are ignored.
+    as they occur. With ``leave_out`` each row is scored by the models of all other rows: what it adds itself to the
+    counts of either corpus is taken off first, so rows of the target aren't favoured by their own words; its copies still
+    count, and the vocabulary is that of all rows. Without target rows the target model is uniform; no rows give none. Other columns are ignored.
     """
     rows = with_target(docs, target, id_col, text_col)
     kind = rows.schema["_id"].dataType
@@ -180,8 +188,9 @@ def cross_entropy(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", te
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row its distinct pairs that aren't hot, with their counts (negative in target rows), and one record of its tokens and of the losses known so far."""
         t = shared.value
-        size = [np.round(np.log2(n + prior * t.vocabulary) * UNIT).astype(np.int64) for n in (t.target, t.background)]
-        hot = [np.round(np.log2(n + prior) * UNIT).astype(np.int64) for n in (t.hot_target, t.hot_background)]
+        bits = lambda n: np.round(np.log2(n) * UNIT).astype(np.int64)
+        size = [bits(n + prior * t.vocabulary) for n in (t.target, t.background)]
+        hot = [bits(n + prior) for n in (t.hot_target, t.hot_background)]
         for batch in batches:
             target = batch.column(2).to_numpy(zero_copy_only=False)
             for first, last, at, words, before in _tokens(batch):
@@ -190,10 +199,18 @@ def cross_entropy(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", te
                 met = t.hot[place] == keys if len(t.hot) else np.zeros(len(keys), bool)
                 heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 known = []
-                for s, h in zip(size, hot, strict=True):
-                    loss = s[before]
-                    loss[met] -= h[place[met]]
-                    known.append(np.add.reduceat(loss, heads))
+                if leave_out:
+                    own, pair = _repeats(at, before, 1 << CLASS_BITS), _repeats(at[met], place[met], max(len(t.hot), 1))
+                    marked = target[first + at]
+                    for n, m, share in ((t.target, t.hot_target, marked), (t.background, t.hot_background, np.ones(len(at), bool))):
+                        loss = bits(n[before] - own * share + prior * t.vocabulary)
+                        loss[met] -= bits(m[place[met]] - pair * share[met] + prior)
+                        known.append(np.add.reduceat(loss, heads))
+                else:
+                    for s, h in zip(size, hot, strict=True):
+                        loss = s[before]
+                        loss[met] -= h[place[met]]
+                        known.append(np.add.reduceat(loss, heads))
                 tokens = np.diff(np.append(heads, len(at)))
                 of, key, n = _distinct(at[~met], keys[~met])
                 # Records of rows are spread over all tasks.
@@ -215,7 +232,8 @@ def cross_entropy(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", te
     counted = sent.select("row", "n", "record", F.sum(F.abs("n")).over(of_pair).alias("b"), F.sum(F.greatest(-F.col("n"), F.lit(0))).over(of_pair).alias("t"))
 
     def loss(name: str, count: str) -> Column:
-        own = F.when(F.col("n") != 0, F.round(F.log2(F.col(count) + F.lit(prior)) * F.abs("n") * UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
+        left = F.col(count) - ((F.abs("n") if count == "b" else F.greatest(-F.col("n"), F.lit(0))) if leave_out else F.lit(0))
+        own = F.when(F.col("n") != 0, F.round(F.log2(left + F.lit(prior)) * F.abs("n") * UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
         return F.sum(F.coalesce(F.col(f"record.{name}"), F.lit(0).cast("long")) - own)
 
     sums = counted.groupBy("row").agg(F.max("record.id").alias("id"), F.sum("record.tokens").alias("n_tokens"), loss("target", "t").alias("t"), loss("background", "b").alias("b"))

@@ -90,7 +90,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.cross_entropy(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    """Held-out documents count in the background only, and every document is scored by the counts of the others."""
+    target = table(spark, sf_dir, "labels").where("quality = 1").where(~held_out("doc_id"))
+    scored = lm_score.cross_entropy(table(spark, sf_dir, "documents"), target, leave_out=True)
+    return scored.withColumn("held_out", held_out("doc_id"))
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

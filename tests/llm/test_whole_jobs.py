@@ -134,6 +134,29 @@ def test_cross_entropy_equals_brute_force(spark, monkeypatch, hot):
     assert all(abs(r.target_ce - np.log2(size)) < 1e-4 for r in lm_score.cross_entropy(table, good.limit(0)).collect())
 
 
+@pytest.mark.parametrize("hot", [1 << 18, 20])
+def test_rows_are_scored_by_the_others_counts(spark, monkeypatch, hot):
+    """Each row against models fitted without it, one brute-force fit a row."""
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    texts = ["salt and iron Salt and stone", "salt and iron", None, "iron and salt é", "salt and iron", "only here once", *["salt and"] * 12]
+    good = {0, 1, 5}
+    table = docs(spark, texts)
+    size = len({w for t in texts for _, w in class_pairs(t)})
+    want = []
+    for k, t in enumerate(texts):
+        row = [len(class_pairs(t))]
+        for corpus in (good, set(range(len(texts)))):
+            pairs, classes = defaultdict(int), defaultdict(int)
+            for c, w in (p for j in corpus - {k} for p in class_pairs(texts[j])):
+                pairs[c, w] += 1
+                classes[c] += 1
+            row.append(float(np.mean([-np.log2((pairs[p] + 0.01) / (classes[p[0]] + 0.01 * size)) for p in class_pairs(t)])))
+        want.append(row)
+    got = lm_score.cross_entropy(table, spark.createDataFrame([(k,) for k in good], "doc_id long"), leave_out=True).orderBy("doc_id").collect()
+    assert np.allclose([(r.n_tokens, r.target_ce, r.background_ce) for r in got], want, atol=1e-4)
+    assert lm_score.cross_entropy(table.limit(0), table.limit(0), leave_out=True).count() == 0
+
+
 def test_op10_tells_phrases_apart(spark, data):
     """The query's tokens are words, so its model grows with the words of the documents."""
     texts = {r.doc_id: r.text for r in queries.table(spark, data, "documents").collect()}
