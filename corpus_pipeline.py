@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, decontaminate, exact_dedup, jaccard, toxicity
-from skein.llm.common import written
+from skein.llm import bpe, decontaminate, exact_dedup, jaccard, simhash, toxicity
+from skein.llm.common import by_ids, written
+from skein.llm.components import components
 from skein.llm.queries import table, tokenizer, toxicity_model
 
 
@@ -21,8 +22,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, the smallest doc_id."""
-    return jaccard.near_dedup(docs)
+    """Of each group linked by SimHash fingerprints at most two bits apart, as op2 links them, or by a Jaccard similarity of
+    0.8 or more of five-word shingles, the smallest doc_id. The second finds the near copies that differ in more bits."""
+    prints = written(simhash.near_groups(docs).select("doc_id", "component_id"), "fingerprint-groups")
+    exact = written(jaccard.near_groups(docs), "shingle-groups")
+    roots = components(prints.union(exact).toDF("u", "v"))
+    kept = exact.join(roots, F.col("doc_id") == F.col("node"), "left").where(F.coalesce("root", "component_id").eqNullSafe(F.col("doc_id")))
+    return by_ids(docs, kept.select("doc_id"), "doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

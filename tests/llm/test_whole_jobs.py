@@ -177,6 +177,24 @@ def test_last_stage_states_the_round_trip(spark, data):
     assert all(r.n_tokens == len(r.token_ids) for r in got)
 
 
+def test_pipeline_stage_links_by_fingerprints_and_by_shingles(spark, data):
+    """Texts of equal three-word shingles, and so of one fingerprint, whose five-word shingles differ; near copies of many bits; and both in a row."""
+    import corpus_pipeline as p
+
+    w = "cobalt".split()
+    one, two = " ".join(w * 3), " ".join(w * 4)
+    base = distinct_text(60)
+    texts = [one, two, base, base + " tail", distinct_text(60), None, ""]
+    table = docs(spark, texts)
+    names, _ = brute_jaccard(dict(enumerate(texts)))
+    assert names[1] == 1 and names[3] == 2
+    bits = fingerprint(shingle_hashes(one.encode(), 3)) ^ fingerprint(shingle_hashes(two.encode(), 3))
+    assert bits == 0
+    kept = p.drop_near_copies(spark, table, data)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5]
+    assert p.drop_near_copies(spark, table.limit(0), data).count() == 0
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, data):
     """Each stage by a plain version: clause scans, a dict of texts, all pairs by Jaccard, window sets, and the public encoder."""
     import public_tokenizers
