@@ -9,6 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Numbers of a column that a vectorised function takes at a time, and that an Arrow batch of long arrays should hold.
+PIECE = 1 << 20
+
+
+def short_batches(df: DataFrame, length: int) -> DataFrame:
+    """``df`` of arrays of ``length``, after lowering the session's bound of rows in an Arrow batch: thousands of numbers in the usual 10,000 rows would fill a worker."""
+    conf = df.sparkSession.conf
+    rows, held = max(PIECE // max(length, 1), 1), int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < held <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
 
 def pack(long: DataFrame, keys: tuple[str, ...] = ("cycle_id", "sensor"), at: str = "t", values: dict[str, str] | None = None) -> DataFrame:
     """Long rows to one array per cycle and sensor, in the order of ``at``. ``values`` names the arrays: {"samples": "x", "u": "u"}."""
@@ -50,12 +62,12 @@ def stacked(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def _by_length(*columns: pd.Series) -> list[list[int]]:
-    """Places of the rows that have all arrays, of one length, together by that length."""
+    """Places of the rows that have all arrays, of one length, together by that length, as many as hold PIECE numbers."""
     sizes: dict[int, list[int]] = {}
     for k, arrays in enumerate(zip(*columns, strict=True)):
         if all(x is not None for x in arrays) and len({len(x) for x in arrays}) == 1:
             sizes.setdefault(len(arrays[0]), []).append(k)
-    return list(sizes.values())
+    return [at[k : k + step] for n, at in sizes.items() for step in [max(PIECE // max(n, 1), 1)] for k in range(0, len(at), step)]
 
 
 def _matrix(column: pd.Series, at: list[int]) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Adaptive piecewise-linear approximation: squared errors of all intervals, optimal breakpoints, features of the pieces.
 
-Errors add over cycles: each Arrow batch sums its own triangle from running sums, Spark sums the batches, and the
+Errors add over cycles: each task sums its own triangle from running sums, Spark sums the tasks', and the
 dynamic programme over at most a few hundred samples runs on the driver.
 """
 
@@ -20,6 +20,7 @@ def interval_errors(packed: DataFrame) -> DataFrame:
     """(i, j, sse): for each interval of samples i < j the squared error of its own least-squares line, summed over all cycles of one length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             if not len(batch):
                 continue
@@ -31,15 +32,17 @@ def interval_errors(packed: DataFrame) -> DataFrame:
             st, stt = (np.concatenate([[0], np.cumsum(v)]) for v in (t, t * t))
             parts = []
             for i in range(len(t) - 1):
-                j = np.arange(i + 1, len(t))
-                n = j - i + 1.0
-                ct = st[j + 1] - st[i]
-                ctt = stt[j + 1] - stt[i] - ct * ct / n
-                cx = sx[:, j + 1] - sx[:, [i]]
-                cxx = sxx[:, j + 1] - sxx[:, [i]] - cx * cx / n
-                ctx = stx[:, j + 1] - stx[:, [i]] - ct * cx / n
-                parts.append(pd.DataFrame({"i": i + 1, "j": j + 1, "sse": np.maximum(cxx - ctx * ctx / ctt, 0).sum(axis=0)}))
-            yield pd.concat(parts)
+                n = np.arange(2, len(t) - i + 1.0)
+                ct = st[i + 2 :] - st[i]
+                ctt = stt[i + 2 :] - stt[i] - ct * ct / n
+                cx = sx[:, i + 2 :] - sx[:, [i]]
+                cxx = sxx[:, i + 2 :] - sxx[:, [i]] - cx * cx / n
+                ctx = stx[:, i + 2 :] - stx[:, [i]] - ct * cx / n
+                parts.append(np.maximum(cxx - ctx * ctx / ctt, 0).sum(axis=0))
+            held[len(t)] = [a + b for a, b in zip(held[len(t)], parts, strict=True)] if len(t) in held else parts
+        for size, parts in held.items():
+            for i, sse in enumerate(parts):
+                yield pd.DataFrame({"i": i + 1, "j": np.arange(i + 2, size + 1), "sse": sse})
 
     return packed.select("samples").mapInPandas(run, "i int, j int, sse double").groupBy("i", "j").agg(F.sum("sse").alias("sse"))
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions.layout import short_batches
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,7 +88,7 @@ def daily_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     daily = rows.groupBy("cycle_id", "day").agg(F.coalesce(F.sum("l_quantity"), F.lit(0.0)).alias("x"))
     held = daily.groupBy("cycle_id").agg(F.collect_list(F.struct("day", "x")).alias("h"))
-    packed = held.select("cycle_id", dense(F.col("h.day"), F.col("h.x")).alias("samples"))
+    packed = short_batches(held, length).select("cycle_id", dense(F.col("h.day"), F.col("h.x")).alias("samples"))
     return packed.withColumn("u", F.transform("samples", lambda x: standard_uncertainty(x)))
 
 

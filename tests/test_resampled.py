@@ -93,3 +93,31 @@ def test_daily_cycles_of_rows_with_nulls_and_of_none(spark, tmp_path):
     spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/b/lineitem.parquet")
     assert {r.cycle_id: r.samples for r in daily_cycles(spark, f"{tmp_path}/a").collect()} == {1: [5.0, 0.0, 0.0, 0.0], 2: [0.0, 0.0, 7.0, 0.0]}
     assert daily_cycles(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_long_cycles_meet_in_bounded_pieces(spark, monkeypatch):
+    """A vectorised function takes at most PIECE numbers at a time, Arrow batches of long arrays hold as many, and a task adds up one triangle of errors."""
+    import pandas as pd
+
+    from skein.functions import layout
+    from skein.operators import piecewise
+
+    monkeypatch.setattr(layout, "PIECE", 1000)
+    column = pd.Series([np.zeros(300), None, *[np.ones(300)] * 9, np.zeros(5)])
+    found = layout._by_length(column)
+    assert sorted(k for at in found for k in at) == [0, *range(2, 12)] and max(300 * len(at) for at in found if at != [11]) <= 1000
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name, "10000")
+    try:
+        rows = layout.short_batches(spark.range(40).selectExpr("id cycle_id", "transform(sequence(1, 20), x -> cast(x * (id + 1) % 7 as double)) samples"), 200)
+        assert int(spark.conf.get(name)) == 5
+        one = rows.repartition(2)
+        errors = piecewise.interval_errors(one)
+        whole = {(r.i, r.j): r.sse for r in errors.collect()}
+        assert len(whole) == 190
+        x = np.array([r.samples for r in one.orderBy("cycle_id").collect()])
+        t = np.arange(3, 9)
+        line = np.polynomial.polynomial.polyfit(t, x[:, 3:9].T, 1)
+        assert abs(whole[4, 9] - ((x[:, 3:9] - (line[0][:, None] + line[1][:, None] * t)) ** 2).sum()) < 1e-8
+    finally:
+        spark.conf.set(name, held)
