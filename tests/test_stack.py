@@ -91,3 +91,12 @@ def test_a_non_linear_stack_carries_uncertainty_to_its_predictions(spark):
     assert want[7] == pytest.approx(spread, rel=0.25) and len(want) == 40
     classes = Stack(["moments"], "pearson", "lda", most=3, folds=4, sizes={"moments": 2}).fit(rows).propagate(rows).collect()
     assert all(r.min_pred <= r.prediction <= r.max_pred for r in classes)
+
+
+def test_stacks_read_cycles_that_were_made_once(spark, data):
+    """Each pass of a fit would number all events again otherwise."""
+    from skein.plans import stacks
+
+    rows = stacks.cycles(spark, data)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and rows.where("sensor = 'gap'").count() * 2 == rows.count() > 0
