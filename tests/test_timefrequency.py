@@ -69,3 +69,10 @@ def test_simulation_of_a_last_short_unit_and_of_no_noise(spark):
     still = timefrequency.simulated(packed(spark, x, np.zeros((1, 10))), segments.tumbling(10, 1), runs=2500, unit=1000).collect()
     assert {r.runs for r in still} == {2500} and all(r.u == 0 for r in still)
     assert next(r.mean for r in still if r.statistic == "max") == x.max()
+
+
+def test_extremes_are_those_of_all_statistics():
+    rng = np.random.default_rng(3)
+    places = [segments.NINE.index(n) for n in timefrequency.ORDER]
+    for x in (rng.normal(size=(200, 13)), np.zeros((3, 4)), np.array([[1.0, np.nan, 3.0]]), np.zeros((2, 0)), np.round(rng.normal(size=(200, 5)))):
+        assert np.array_equal(timefrequency.extremes(x), timefrequency.nine(x)[:, places], equal_nan=True)
