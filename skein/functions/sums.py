@@ -1,4 +1,4 @@
-"""Sums of arrays over all rows, for iterative fits: added up in each task, then by slots, then on the driver."""
+"""Sums of arrays over all rows, for iterative fits: added up in each task, then by slots, then by key."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ SLOTS = 32
 
 
 def added(rows: DataFrame, fn: Callable[[pd.DataFrame], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """The sums of the arrays that ``fn`` makes of each batch, by key. A task sends one array a key, the driver gets SLOTS of them at most."""
+    """The sums of the arrays that ``fn`` makes of each batch, by key. A task sends one array a key, at most SLOTS of them meet, and the driver gets one."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
@@ -29,7 +29,6 @@ def added(rows: DataFrame, fn: Callable[[pd.DataFrame], dict[int, np.ndarray]])
         return out
 
     kind = "k int, slot int, v array<double>"
-    out: dict[int, np.ndarray] = {}
-    for r in rows.mapInPandas(first, kind).groupBy("k", "slot").applyInPandas(merged, kind).collect():
-        out[r.k] = out[r.k] + np.array(r.v) if r.k in out else np.array(r.v)
-    return out
+    slots = rows.mapInPandas(first, kind).groupBy("k", "slot").applyInPandas(merged, kind)
+    found = slots.groupBy("k").applyInPandas(merged, kind).collect()
+    return {r.k: np.array(r.v) for r in found}

@@ -81,3 +81,14 @@ def test_an_auto_encoder_scores_what_leaves_the_curve(spark):
     threshold = gradient.auto_encoder_threshold(rows, model)
     off = table(spark, [[0.0, 1.5, 0.0], [0.9, -1.0, -1.0]]).select(model.score(F.col("features")).alias("s")).collect()
     assert all(r.s > threshold for r in off)
+
+
+def test_the_driver_gets_one_array_a_key_whatever_the_tasks(spark, monkeypatch):
+    from skein.functions.sums import added
+
+    rows = spark.range(90).repartition(12)
+    got = []
+    collect = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: got.append(collect(df)) or got[-1])
+    found = added(rows, lambda batch: {0: np.array([len(batch), batch["id"].sum()]), 3: np.ones(1) * len(batch)})
+    assert len(got[0]) == 2 and found[0].tolist() == [90, 4005] and found[3].tolist() == [90]
