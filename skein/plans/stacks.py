@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.functions.layout import pack
 from skein.functions.storage import stored
 from skein.operators import network, optimiser, search, selector
 from skein.operators.stack import BASE, PRESETS
-from skein.sources.tables import embedding_features, event_cycles, event_targets
+from skein.sources.tables import embedding_features, labelled_cycles
 
 T = 40
 
 
 def cycles(spark, d):
     """Packed cycles of both sensors with their targets, made once: fitting a stack reads them many times."""
-    return stored(pack(event_cycles(spark, d, T, ("value", "gap"))).join(event_targets(spark, d, T), "cycle_id"), "cycles")
+    return stored(labelled_cycles(spark, d, T, ("value", "gap")), "cycles")
 
 
 def q61_stack(spark, d):

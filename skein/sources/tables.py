@@ -60,11 +60,23 @@ def event_cycles(spark: SparkSession, sf_dir: str, length: int = 40, sensors: tu
     return long.withColumn("u", standard_uncertainty(F.col("x")))
 
 
+def _targets(length: int) -> list[Column]:
+    other = (F.first("total") - F.sum("value")) / F.nullif(F.first("n") - length, F.lit(0))
+    return [(F.first("user_id") % 3).alias("target"), F.coalesce(other, F.first("total") / F.first("n")).alias("y")]
+
+
 def event_targets(spark: SparkSession, sf_dir: str, length: int = 40) -> DataFrame:
     """(cycle_id, target, y): class user_id mod 3, and the mean value of the user's other events (of all where there are none)."""
-    rows = _placed(numbered_events(spark, sf_dir), length)
-    other = (F.first("total") - F.sum("value")) / F.nullif(F.first("n") - length, F.lit(0))
-    return rows.groupBy("cycle_id").agg((F.first("user_id") % 3).alias("target"), F.coalesce(other, F.first("total") / F.first("n")).alias("y"))
+    return _placed(numbered_events(spark, sf_dir), length).groupBy("cycle_id").agg(*_targets(length))
+
+
+def labelled_cycles(spark: SparkSession, sf_dir: str, length: int = 40, sensors: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Packed ``event_cycles`` beside their ``event_targets`` (cycle_id, sensor, samples, u, target, y): events are numbered once and meet once by cycle."""
+    held = F.array_sort(F.collect_list(F.struct("t", *sensors)))
+    cycles = _placed(numbered_events(spark, sf_dir), length).groupBy("cycle_id").agg(held.alias("h"), *_targets(length))
+    lanes = [F.struct(F.lit(s).alias("sensor"), F.col("h")[s].alias("samples")) for s in sensors]
+    packed = cycles.select("cycle_id", F.explode(F.array(*lanes)).alias("s"), "target", "y")
+    return packed.select("cycle_id", "s.sensor", "s.samples", F.transform("s.samples", lambda x: standard_uncertainty(x)).alias("u"), "target", "y")
 
 
 def daily_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
