@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.layout import matrix_udf
+from skein.functions.sums import added
 from skein.operators import regress, subspace
 from skein.operators.subspace import Moments, moments
 
@@ -65,22 +66,24 @@ def prefix_losses(
 
 
 def errors(packed: DataFrame, models: dict, classes: list, target: str = "target", fold: str = "fold") -> list[float]:
-    """Percent of rows that each of a fold's models (places of features, discriminant) gets wrong, over all folds."""
+    """Percent of rows that each of a fold's models (places of features, discriminant) gets wrong, over all folds. Tasks count; no row leaves them."""
     many = len(next(iter(models.values())))
 
-    def run(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), many))
+    def one(batch: pd.DataFrame) -> dict[int, np.ndarray]:
+        x = np.stack(batch["x"].to_numpy()).astype(float)
+        out = np.zeros(many + 1)
+        out[many] = len(x)
         for f in models:
             own = np.flatnonzero(x[:, 0] == f)
             for k, (at, model) in enumerate(models[f]) if len(own) else []:
                 best = model.distances(x[np.ix_(own, [a + 2 for a in at])]).argmin(axis=1)
-                out[own, k] = np.array([classes.index(c) for c in model.classes])[best] != x[own, 1]
-        return out
+                out[k] += (np.array([classes.index(c) for c in model.classes])[best] != x[own, 1]).sum()
+        return {0: out}
 
     index = F.array_position(F.lit(classes), F.col(target)) - 1
-    wrong = matrix_udf(run)(F.concat(F.array(F.col(fold).cast("double"), index.cast("double")), "features"))
-    rows = packed.select(F.posexplode(wrong).alias("k", "wrong")).groupBy("k").agg(100 * F.avg("wrong").alias("loss")).orderBy("k").collect()
-    return [r[1] for r in rows]
+    rows = packed.select(F.concat(F.array(F.col(fold).cast("double"), index.cast("double")), "features").alias("x"))
+    found = added(rows.where(F.col("x").isNotNull()), one)
+    return (100 * (found[0][:many] / found[0][many])).tolist() if found else []
 
 
 def best(losses: list[tuple]) -> tuple:
