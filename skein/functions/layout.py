@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,6 +75,11 @@ def _matrix(column: pd.Series, at: list[int]) -> np.ndarray:
     return np.concatenate([values[k] for k in at]).astype(float).reshape(len(at), -1) if len(values[at[0]]) else np.zeros((len(at), 0))
 
 
+def matrices(values: pd.Series) -> Iterator[np.ndarray]:
+    """A column's arrays, rows of one length as a matrix. Null is left out."""
+    return (_matrix(values, at) for at in _by_length(values))
+
+
 def matrix_udf(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[..., Column]:
     """A vectorised array function: rows of one length meet as a matrix, ``fn`` returns one row for each. Null gives null."""
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.layout import matrix_udf, pair_udf
+from skein.functions.sums import strongest
 from skein.operators import classify, evaluate, neighbours, piecewise, regress, search, segments, select, subspace, timefrequency, wavelet
 from skein.operators.resample import Grid
 
@@ -104,16 +105,13 @@ def fit_identity(cycles: DataFrame, n: int | None = None) -> Extractor:
 
 def fit_wavelet(cycles: DataFrame, n: int | None = None) -> Extractor:
     length = cycles.select(F.size("samples").alias("n")).first().n
-    rows = cycles.select("cycle_id", F.posexplode(wavelet.coefficients(F.col("samples"))).alias("i", "value")).withColumn("idx", F.col("i") + 1)
-    at = sorted(r.idx - 1 for r in wavelet.top(rows, n).collect())
+    at = sorted(strongest(cycles, wavelet.analyse, n))
     return _linear([f"w_{k + 1}" for k in at], wavelet.matrix(length)[at].T)
 
 
 def fit_fourier(cycles: DataFrame, n: int | None = None) -> Extractor:
     """Amplitudes and phases of the bins of the largest mean amplitude."""
-    from skein.operators import spectrum
-
-    at = sorted(r.k for r in spectrum.top_bins(spectrum.bins(cycles, keys=("cycle_id",)), n).collect())
+    at = sorted(strongest(cycles, lambda x: np.fft.fft(x, axis=1)[:, : x.shape[1] // 2], n))
 
     def run(x: np.ndarray) -> np.ndarray:
         z = np.fft.fft(x, axis=1)[:, at]
@@ -312,7 +310,7 @@ class FittedStack:
 
 def extracted(cycles: DataFrame, made: list[tuple[str, str, Extractor]], keep: tuple[str, ...] = (), uncertainty: bool = False) -> DataFrame:
     """(cycle_id, keep, features[, u_features]): the blocks of all extractors side by side, by one grouping of the sensors of a cycle."""
-    wide = cycles.groupBy("cycle_id", *keep).pivot("sensor", sorted({s for s, *_ in made})).agg(F.first(F.struct("samples", "u")))
+    wide = cycles.groupBy("cycle_id", *keep).pivot("sensor", sorted({s for s, *_ in made})).agg(F.first(F.struct("samples", *["u"] * uncertainty)))
     columns = [F.concat(*[x.features(F.col(s)["samples"]) for s, _, x in made]).alias("features")]
     if uncertainty:
         columns.append(F.concat(*[x.uncertainty(F.col(s)["samples"], F.col(s)["u"]) for s, _, x in made]).alias("u_features"))

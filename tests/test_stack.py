@@ -100,3 +100,54 @@ def test_stacks_read_cycles_that_were_made_once(spark, data):
     rows = stacks.cycles(spark, data)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Exchange" not in plan and rows.where("sensor = 'gap'").count() * 2 == rows.count() > 0
+
+
+def test_cycles_and_their_targets_come_from_one_numbering_of_the_events(spark, data):
+    from skein.functions.layout import pack
+    from skein.sources.tables import event_cycles, event_targets, labelled_cycles
+
+    rows = labelled_cycles(spark, data, 40, ("value", "gap"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "events" not in plan.split("Join")[0]
+    want = pack(event_cycles(spark, data, 40, ("value", "gap"))).join(event_targets(spark, data, 40), "cycle_id")
+    ours, theirs = (sorted(map(tuple, df.collect()), key=lambda r: r[:2]) for df in (rows, want))
+    assert rows.columns == want.columns and [r[:5] for r in ours] == [r[:5] for r in theirs]
+    assert np.allclose([r[5] for r in ours], [r[5] for r in theirs], rtol=1e-12)
+
+
+def test_extractors_choose_what_sums_over_exploded_rows_choose(spark):
+    from pyspark.sql import functions as F
+
+    from skein.operators import spectrum, wavelet
+
+    rows = cycles(spark, 30, 24).where("sensor = 'a'")
+    long = rows.select("cycle_id", F.posexplode(wavelet.coefficients(F.col("samples"))).alias("i", "value")).withColumn("idx", F.col("i") + 1)
+    for n in (None, 5):
+        assert EXTRACTORS["wavelet"](rows, n).names == [f"w_{k}" for k in sorted(r.idx for r in wavelet.top(long, n).collect())]
+        at = sorted(r.k for r in spectrum.top_bins(spectrum.bins(rows, keys=("cycle_id",)), n).collect())
+        assert EXTRACTORS["fourier"](rows, n).names == [f"{s}_{k}" for s in ("amplitude", "phase") for k in at]
+
+
+@pytest.mark.parametrize("extractor", ["wavelet", "fourier"])
+def test_extractors_add_up_in_tasks(spark, extractor, monkeypatch):
+    rows = cycles(spark, 30, 24).where("sensor = 'a'").repartition(6)
+    explode = []
+    monkeypatch.setattr("pyspark.sql.functions.posexplode", lambda *a: explode.append(a))
+    assert EXTRACTORS[extractor](rows).names and not explode
+
+
+def test_errors_are_counted_in_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skein.operators import search, subspace
+
+    rows = spark.createDataFrame([(k % 3, k % 2 if k else None, [float(k % 2) + 0.1 * (k % 7), float(k % 5)]) for k in range(40)], "fold int, target int, features array<double>").repartition(5)
+    parts = subspace.moments(rows.where("target is not null"), ("fold", "target"))
+    by_class = {(c,): search.total([m for k, m in parts.items() if k[1] == c]) for c in (0, 1)}
+    model = subspace.lda(by_class)
+    monkeypatch.setattr(F, "posexplode", None)
+    got = search.errors(rows, {f: [([0, 1], model), ([1, 0], model)] for f in range(3)}, [0, 1])
+    x = np.array([r.features for r in rows.collect()])
+    truth = np.array([np.nan if r.target is None else r.target for r in rows.collect()])
+    want = [100 * np.mean(model.distances(x[:, at]).argmin(axis=1) != truth) for at in ([0, 1], [1, 0])]
+    assert got == pytest.approx(want) and got[0] > 0
