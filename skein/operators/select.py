@@ -19,12 +19,16 @@ def ranking(scores: DataFrame) -> DataFrame:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson's r as an aggregate; null where a side is constant."""
+    """Pearson's r as an aggregate of the rows that have both; null where a side is constant."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def pearson(long: DataFrame, target: str = "target") -> DataFrame:
-    return long.groupBy("feature_idx").agg(F.coalesce(F.abs(correlation(F.col("v"), F.col(target).cast("double"))), F.lit(0.0)).alias("score"))
+def pearson(long: DataFrame, target: str = "target", undefined: float = 0.0) -> DataFrame:
+    """``undefined`` is the score where a side is constant; 0 where no row has both sides."""
+    v, y = F.col("v"), F.col(target).cast("double")
+    known = F.when(F.count(F.when(v.isNotNull() & y.isNotNull(), 1)) > 0, F.lit(undefined))
+    return long.groupBy("feature_idx").agg(F.coalesce(F.abs(correlation(v, y)), known, F.lit(0.0)).alias("score"))
 
 
 def mid_ranks(rows: DataFrame, column: str, name: str, by: tuple[str, ...] = ("feature_idx",)) -> DataFrame:

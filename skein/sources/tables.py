@@ -60,14 +60,14 @@ def event_cycles(spark: SparkSession, sf_dir: str, length: int = 40, sensors: tu
     return long.withColumn("u", standard_uncertainty(F.col("x")))
 
 
-def _targets(length: int) -> list[Column]:
+def _targets(length: int, alone: Column | None = None) -> list[Column]:
     other = (F.first("total") - F.sum("value")) / F.nullif(F.first("n") - length, F.lit(0))
-    return [(F.first("user_id") % 3).alias("target"), F.coalesce(other, F.first("total") / F.first("n")).alias("y")]
+    return [(F.first("user_id") % 3).alias("target"), F.coalesce(other, F.first("total") / F.first("n") if alone is None else alone).alias("y")]
 
 
-def event_targets(spark: SparkSession, sf_dir: str, length: int = 40) -> DataFrame:
-    """(cycle_id, target, y): class user_id mod 3, and the mean value of the user's other events (of all where there are none)."""
-    return _placed(numbered_events(spark, sf_dir), length).groupBy("cycle_id").agg(*_targets(length))
+def event_targets(spark: SparkSession, sf_dir: str, length: int = 40, alone: Column | None = None) -> DataFrame:
+    """(cycle_id, target, y): class user_id mod 3, and the mean value of the user's other events (where there are none ``alone``, by default the mean of all)."""
+    return _placed(numbered_events(spark, sf_dir), length).groupBy("cycle_id").agg(*_targets(length, alone))
 
 
 def labelled_cycles(spark: SparkSession, sf_dir: str, length: int = 40, sensors: tuple[str, ...] = ("value",)) -> DataFrame:
