@@ -25,7 +25,7 @@ def short_batches(df: DataFrame, length: int) -> DataFrame:
 def pack(long: DataFrame, keys: tuple[str, ...] = ("cycle_id", "sensor"), at: str = "t", values: dict[str, str] | None = None) -> DataFrame:
     """Long rows to one array per cycle and sensor, in the order of ``at``. ``values`` names the arrays: {"samples": "x", "u": "u"}."""
     values = values or {"samples": "x", "u": "u"}
-    held = F.array_sort(F.collect_list(F.struct(at, *values.values())))
+    held = F.sort_array(F.collect_list(F.struct(at, *values.values())))
     packed = long.groupBy(*keys).agg(held.alias("_held"))
     return packed.select(*keys, *[F.col("_held")[column].alias(name) for name, column in values.items()])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.layout import short_batches
+from skein.functions.storage import stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +23,30 @@ def standard_uncertainty(x: Column, share: float = 0.01, floor: float = 0.001) -
 CYCLES = 1 << 32
 
 
+#: Users of more events are numbered hour by hour, the others each in one window.
+MANY = 1 << 18
+
+
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events: user_id, value, gap (seconds since the user's event before, 0 at first), r (place among the user's events by time, from 1), n and total (the user's events and their sum).
 
-    Places are those within an hour plus the counts of the user's earlier hours, so no task sorts a whole user.
+    The counts and sums of users are stored first. The driver gets the ids of those with over MANY events, of which there is one in MANY events at most.
     """
-    ts = F.col("ts").cast("timestamp")
-    hour = F.coalesce(F.date_trunc("hour", ts), F.lit("0001-01-01 00:00:00").cast("timestamp"))
-    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", hour.alias("hour"), (F.unix_micros(ts) / F.lit(1e6)).alias("at"))
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at")
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", at).where(F.col("user_id").isNotNull())
+    users = stored(rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "users")
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(own), F.lit(0.0))
+    many = [r.user_id for r in users.where(F.col("n") > MANY).collect()]
+    few = rows.where(~F.col("user_id").isin(many)) if many else rows
+    numbered = few.join(users, "user_id").select("user_id", "value", gap.alias("gap"), F.row_number().over(own).cast("long").alias("r"), "n", "total")
+    return numbered.union(_numbered_by_hour(rows.where(F.col("user_id").isin(many)))) if many else numbered
+
+
+def _numbered_by_hour(rows: DataFrame) -> DataFrame:
+    """Places are those within an hour plus the counts of the user's earlier hours, so no task sorts a whole user."""
+    hour = F.coalesce(F.date_trunc("hour", F.col("ts").cast("timestamp")), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    rows = rows.withColumn("hour", hour)
     hours = rows.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("k"), F.max("at").alias("last"), F.sum("value").alias("s"))
     by, user = Window.partitionBy("user_id").orderBy("hour"), Window.partitionBy("user_id")
     before = F.coalesce(F.sum("k").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -49,7 +66,7 @@ def _placed(events: DataFrame, length: int) -> DataFrame:
     number, last = F.floor((r - 1) / length), F.floor(n / length)
     full = F.when((number + 1) * length <= n, F.struct(number.alias("c"), (r - number * length).cast("int").alias("t")))
     rest = F.when((n % length != 0) & (n >= length) & (r > n - length), F.struct(last.alias("c"), (r - (n - length)).cast("int").alias("t")))
-    each = events.withColumn("place", F.explode(F.filter(F.array(full, rest), lambda x: x.isNotNull())))
+    each = events.withColumn("place", F.explode(F.array(full, rest))).where(F.col("place").isNotNull())
     return each.withColumn("cycle_id", F.col("user_id") + F.col("place.c") * CYCLES).withColumn("t", F.col("place.t")).drop("place")
 
 
@@ -67,13 +84,13 @@ def _targets(length: int, alone: Column | None = None) -> list[Column]:
 
 def event_targets(spark: SparkSession, sf_dir: str, length: int = 40, alone: Column | None = None) -> DataFrame:
     """(cycle_id, target, y): class user_id mod 3, and the mean value of the user's other events (where there are none ``alone``, by default the mean of all)."""
-    return _placed(numbered_events(spark, sf_dir), length).groupBy("cycle_id").agg(*_targets(length, alone))
+    return _placed(numbered_events(spark, sf_dir), length).groupBy("user_id", "cycle_id").agg(*_targets(length, alone)).drop("user_id")
 
 
 def labelled_cycles(spark: SparkSession, sf_dir: str, length: int = 40, sensors: tuple[str, ...] = ("value",)) -> DataFrame:
     """Packed ``event_cycles`` beside their ``event_targets`` (cycle_id, sensor, samples, u, target, y): events are numbered once and meet once by cycle."""
-    held = F.array_sort(F.collect_list(F.struct("t", *sensors)))
-    cycles = _placed(numbered_events(spark, sf_dir), length).groupBy("cycle_id").agg(held.alias("h"), *_targets(length))
+    held = F.sort_array(F.collect_list(F.struct("t", *sensors)))
+    cycles = _placed(numbered_events(spark, sf_dir), length).groupBy("user_id", "cycle_id").agg(held.alias("h"), *_targets(length))
     lanes = [F.struct(F.lit(s).alias("sensor"), F.col("h")[s].alias("samples")) for s in sensors]
     packed = cycles.select("cycle_id", F.explode(F.array(*lanes)).alias("s"), "target", "y")
     return packed.select("cycle_id", "s.sensor", "s.samples", F.transform("s.samples", lambda x: standard_uncertainty(x)).alias("u"), "target", "y")
