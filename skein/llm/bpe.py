@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches
+from skein.llm.common import bounded_batches, lean
 
 #: Entries and bytes past which a memo of a Python worker starts anew, so memory stays bounded on any input.
 MEMO = 200_000
@@ -460,7 +460,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                     columns.append(bpe.decode_all(found.flat, found.ends))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns[: len(rest)], *columns], names)
 
-    return bounded_batches(slim, BATCH_ROWS).mapInArrow(run, schema).toDF(*rest, *new)
+    return bounded_batches(slim, BATCH_ROWS).mapInArrow(lean(run), schema).toDF(*rest, *new)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -478,4 +478,4 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
             texts = bpe.decode_all(ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "bytes"])
 
-    return bounded_batches(slim).mapInArrow(run, schema).toDF(*rest, out_col)
+    return bounded_batches(slim).mapInArrow(lean(run), schema).toDF(*rest, out_col)

@@ -1,9 +1,11 @@
-"""Shared helpers: cutting lineage, ASCII folding, and word tables over Arrow text."""
+"""Shared helpers: cutting lineage, workers' memory, ASCII folding, and word tables over Arrow text."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from hashlib import blake2b
 
 import numpy as np
@@ -35,8 +37,11 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
-    """``df``, after lowering the session's bounds of Arrow batches: texts of hundreds of kilobytes in the usual 10,000 rows would fill a worker."""
+def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "4m") -> DataFrame:
+    """``df``, after lowering the session's bounds of Arrow batches: texts of hundreds of kilobytes in the usual 10,000 rows would fill a worker.
+
+    A batch stands in the executor and in its worker, in buffers of up to twice its size and once more on its way back.
+    """
     conf = df.sparkSession.conf
     held = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if not 0 < held <= rows:
@@ -45,6 +50,39 @@ def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataF
     return df
 
 
+_Map = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Of the GNU C library; others have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(run: _Map) -> _Map:
+    """``run`` of a mapInArrow, after whose batches freed memory goes back to the system.
+
+    Workers are reused: what their allocators keep of one stage would stand beside the executor's memory in all later ones.
+    """
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            _release()
+
+    @wraps(run)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(released(batches))
+        finally:
+            _release()
+
+    return each
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` whose id (null included) is among the first column of ``ids``, or with ``left_anti`` is not; ``docs`` may have columns of any names."""
     name = "_among"

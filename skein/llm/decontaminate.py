@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, byte_weights, passes, spans, word_hashes, written
+from skein.llm.common import bounded_batches, byte_weights, lean, passes, spans, word_hashes, written
 
 WINDOW = 10
 #: Words of benchmark text that are searched together, and so broadcast; a larger benchmark is searched in blocks.
@@ -298,7 +298,7 @@ def contamination(
                     same = [batch.column(2).slice(start, stop - start), batch.column(0).slice(start, stop - start)]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(n_words, pa.int64()), pa.array(found, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string())), pa.array(most)], names)
 
-        return bounded_batches(rows).mapInArrow(run, schema)
+        return bounded_batches(rows).mapInArrow(lean(run), schema)
 
     blocks = _blocks(benchmark, item_col, text_col, window, block_words)
     one, more = next(blocks, None), next(blocks, None)
@@ -348,5 +348,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 for start, stop, _, found, *_ in search_all(batch):
                     yield batch.slice(start, stop - start).filter(pa.array([not x for x in found], pa.bool_()))
 
-        out = bounded_batches(out).mapInArrow(run, out.schema)
+        out = bounded_batches(out).mapInArrow(lean(run), out.schema)
     return out.toDF(*docs.columns)

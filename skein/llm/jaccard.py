@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import bounded_batches, by_ids, written
+from skein.llm.common import bounded_batches, by_ids, lean, written
 from skein.llm.components import components
 from skein.llm.simhash import shingle_hashes
 
@@ -50,7 +50,7 @@ def _order(slim: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(held[here])], ["slot", "n"])
 
     counts = np.zeros(1 << ORDER_BITS, np.int64)
-    got = slim.select("_text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = slim.select("_text").mapInArrow(lean(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return counts
 
@@ -76,7 +76,7 @@ def _prefixes(slim: DataFrame, words: int, similarity: tuple[int, int]) -> DataF
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "node", "n", "pos"])
 
-    return slim.select("_text").mapInArrow(run, "token long, node long, n int, pos int")
+    return slim.select("_text").mapInArrow(lean(run), "token long, node long, n int, pos int")
 
 
 def _filter(nodes: DataFrame, n: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def _sets(slim: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, lists), pa.array(parity, lists)], ["node", "all", "parity"])
 
-    return slim.select("_text").mapInArrow(run, "node long, all array<long>, parity array<long>").dropDuplicates(["node"])
+    return slim.select("_text").mapInArrow(lean(run), "node long, all array<long>, parity array<long>").dropDuplicates(["node"])
 
 
 def near_roots(slim: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
@@ -179,7 +179,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             own = [shingle_set(x.as_py(), words)[0] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["_id", "node"])
 
-    names = written(slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, node long"), "shingle-names")
+    names = written(slim.mapInArrow(lean(run), f"_id {slim.schema['_id'].dataType.simpleString()}, node long"), "shingle-names")
     roots = near_roots(slim, words, similarity, bucket)
     least = names.groupBy("node").agg(F.min("_id").alias("least"))
     named = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

@@ -28,6 +28,8 @@ CLASS_BITS = 16
 HOT = 1 << 18
 #: Pairs that a task counts to find hot ones before it forgets the rare ones. A hot pair that it misses is counted like any other.
 POOL = 1 << 20
+#: Bytes of an Arrow batch: repeats of a pair within one are one row, so smaller batches would send more rows.
+BATCH_BYTES = "16m"
 #: Bits of the filter of target ids (words of 64 bits, one a row, are broadcast: 2**18 at most).
 FILTER_BITS = 1 << 24
 #: Losses are summed as multiples of this part of a bit, so that sums don't depend on their order.
@@ -142,7 +144,7 @@ def totals(rows: DataFrame) -> Totals:
         for kind, key, n, m in (("class", here, every[here], own[here]), ("pair", many, n, n * 0), ("all", np.zeros(1, np.int64), np.array([total]), np.zeros(1, np.int64))):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), _KIND[kind], np.int32)), pa.array(key), pa.array(n), pa.array(m)], ["kind", "key", "n", "own"])
 
-    slim = bounded_batches(rows.select("_text", "_target"))
+    slim = bounded_batches(rows.select("_text", "_target"), size=BATCH_BYTES)
     vocabulary = slim.mapInArrow(words, "word long").agg(F.approx_count_distinct("word", 0.01)).first()[0]
     seen = written(slim.mapInArrow(classes, "kind int, key long, n long, own long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "class-totals")
     out = Totals(max(vocabulary, 1), np.zeros(size, np.int64), np.zeros(size, np.int64), *[np.zeros(0, np.int64)] * 3)
@@ -224,7 +226,7 @@ def cross_entropy(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", te
                     ["key", "row", "id", "n", "tokens", "target", "background"],
                 )
 
-    numbered = bounded_batches(rows.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = bounded_batches(rows.withColumn("_row", F.monotonically_increasing_id()), size=BATCH_BYTES)
     sent = numbered.mapInArrow(pairs, f"key long, row long, id {kind.simpleString()}, n int, tokens long, target long, background long")
     # Rows that aren't records keep their nulls as one.
     sent = sent.select("key", "row", "n", F.when(F.col("tokens").isNotNull(), F.struct("id", "tokens", "target", "background")).alias("record"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, by_ids, written
+from skein.llm.common import bounded_batches, by_ids, lean, written
 from skein.llm.components import components
 
 MAX_BITS = 2
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["_id", "fp"])
 
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return bounded_batches(slim).mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
+    return bounded_batches(slim).mapInArrow(lean(run), f"_id {slim.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
 
 
 @lru_cache(1)
@@ -130,7 +130,7 @@ def near_edges(prints: DataFrame, bucket: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(fp[rows]), pa.array(keys)], ["fp", "key"])
 
     n = 10 * prints.count()
-    keyed = written(prints.select("fp").mapInArrow(run, "fp long, key long"), "golay-keys", n)
+    keyed = written(prints.select("fp").mapInArrow(lean(run), "fp long, key long"), "golay-keys", n)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = written(keyed.join(sizes, "key"), "golay-buckets", n)
     small = held.where(F.col("n") <= bucket)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from skein.llm.common import bounded_batches, written
+from skein.llm.common import bounded_batches, lean, written
 
 #: Labelled rows of each class that the lexicon and the weights are learnt from (those with the smallest hashes of their ids).
 SAMPLE_ROWS = 3000
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.string()), pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.int64())], ["stem", "clean", "toxic"])
 
     least = max(2, round(0.003 * positives))
-    counted = rows.select("_text", "_toxic").mapInArrow(stems, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = rows.select("_text", "_toxic").mapInArrow(lean(stems), "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = F.col("clean") / F.lit(float(negatives))
     # Rows with several words of a stem are fewer, and weigh by how many there are, so more clean ones may have them.
     most = F.when(F.col("stem").endswith("**"), F.lit(0.05)).otherwise(F.lit(0.02))
@@ -276,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = [[] if any(prior.of(w) == "i" for w in _WORD.findall(t.lower())) else sorted(stems_of(t) & score.keys()) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["stems"])
 
-    toxic_rows = rows.where("_toxic = 1").select("_text").mapInArrow(held, "stems array<string>").where(F.size("stems") > 0)
+    toxic_rows = rows.where("_toxic = 1").select("_text").mapInArrow(lean(held), "stems array<string>").where(F.size("stems") > 0)
     learnt = cover({k: set(r.stems) for k, r in enumerate(toxic_rows.collect())}, score, least) if score else []
     lexicon = Lexicon(learnt)
 
@@ -285,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             each = [lexicon.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in x] for x in each], pa.list_(pa.int32())), pa.array([[round(c, 3) for _, c in x] for x in each], pa.list_(pa.float64())), batch.column(1)], ["at", "n", "toxic"])
 
-    data = rows.select("_text", "_toxic").mapInArrow(features, "at array<int>, n array<double>, toxic int").groupBy("at", "n", "toxic").count().orderBy("at", "n", "toxic").collect()
+    data = rows.select("_text", "_toxic").mapInArrow(lean(features), "at array<int>, n array<double>, toxic int").groupBy("at", "n", "toxic").count().orderBy("at", "n", "toxic").collect()
     x = np.zeros((len(data), len(PATTERNS)))
     for k, r in enumerate(data):
         x[k, r.at] = r.n
@@ -326,7 +326,7 @@ def _each(docs: DataFrame, model: ToxicityModel, text_col: str, keep_below: floa
             else:
                 yield batch.filter(pa.array(scores < keep_below))
 
-    return bounded_batches(slim).mapInArrow(run, schema).toDF(*columns, *([out_col] if out_col else []))
+    return bounded_batches(slim).mapInArrow(lean(run), schema).toDF(*columns, *([out_col] if out_col else []))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -223,3 +223,29 @@ def test_pipeline_equals_its_stages_by_hand(spark, data):
     assert {r.doc_id: r.token_ids for r in p.run(spark, data).collect()} == {i: other.encode_ordinary(t or "") for i, t in left}
     assert 0 < len(left) < docs_.count()
     assert [n for n, _ in p.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "decontamination", "byte-level bpe"]
+
+
+# pipeline: memory of Python workers
+
+
+def test_workers_give_memory_back_between_stages(spark):
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("memory can't be read here")
+
+    def own(batches):
+        for _ in batches:
+            pages = Path("/proc/self/smaps_rollup").read_text()
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", pages))) / 1024])], ["mb"])
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda k: F.concat(F.lit("word"), (F.col("id") * 7919 + k * k) % 99991)))
+    rows = spark.range(0, 4000, numPartitions=4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    items = spark.createDataFrame([("a", " ".join(f"word{k * k}" for k in range(1, 300)))], "item_id string, text string")
+    for stage in (jaccard.near_groups(rows), decontaminate.decontaminate(rows, items)):
+        stage.write.format("noop").mode("overwrite").save()
+    held = [r.mb for r in spark.range(0, 4, numPartitions=4).mapInArrow(own, "mb double").collect()]
+    assert max(held) < 150, held
