@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from threading import Lock
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -178,11 +179,14 @@ def _standard(rows: DataFrame, m: subspace.Moments) -> DataFrame:
 
 @dataclass
 class Prepared:
-    """Features of all extractors with folds, and the statistics of each fold (and class, or with y as the last feature)."""
+    """Features of all extractors with folds, and the statistics of each fold (and class, or with y as the last feature). Rank correlations
+    of all features are taken at once, when they are first asked for."""
 
     rows: DataFrame
     y: str
     parts: dict[tuple, subspace.Moments]
+    scores: dict[int, float] | None = None
+    lock: Lock = field(default_factory=Lock, repr=False)
 
     @classmethod
     def of(cls, cycles: DataFrame, made: list[tuple[str, str, Extractor]], y: str, folds: int) -> Prepared:
@@ -208,8 +212,10 @@ class Prepared:
         return [at[k] for k in np.argsort(-r, kind="stable")]
 
     def by_rank_correlation(self, at: list[int]) -> list[int]:
-        scores = select.spearman(select.long_features(self.columns(at), keep=("cycle_id", self.y)), self.y)
-        return [at[r.feature_idx - 1] for r in select.ranking(scores).orderBy("rank").collect()]
+        with self.lock:
+            if self.scores is None:
+                self.scores = select.rank_correlations(self.rows, self.y)
+        return [at[k] for k in np.argsort([-self.scores.get(k, 0.0) for k in at], kind="stable")]
 
     def by_relief(self, at: list[int]) -> list[int]:
         scores = neighbours.relief(_standard(self.columns(at), search.total(list(self.by_class().values())).of(at)))

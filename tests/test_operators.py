@@ -318,3 +318,36 @@ def test_neighbours_measure_few_of_all_pairs(classes, metric, monkeypatch):
         want += [(kind, *row) for kind, rows_ in held.items() for row in rows_[:3]]
     assert sorted((r["kind"], r["cycle_id"], r["other"], r["distance"]) for r in got) == sorted(want)
     assert sum(measured) < len(x) ** 2 / 4
+
+
+@pytest.mark.parametrize("classes, metric", [("own", "cityblock"), ("each", "cityblock"), (None, "euclidean")])
+def test_two_blocks_meet_once_for_the_rows_of_both(classes, metric, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(1500, 6)), 1)
+    x[40:60] = x[1400]
+    names = [None if k % 11 == 0 else str(k % 3) if k < 900 else str(k % 4) for k in range(len(x))]
+    rows = pa.table({"cycle_id": np.arange(len(x)), "features": pa.array(list(x)), "_class": pa.array(names, pa.string())})
+    left, right = rows.slice(0, 900), rows.slice(900)
+    listed = lambda t: sorted(map(repr, t.to_pylist()))
+    want = [neighbours._best(a, b, 3, metric, classes, False) for a, b in ((left, right), (right, left))]
+    bounded, most = [], neighbours._Bounds.most
+    monkeypatch.setattr(neighbours._Bounds, "most", lambda *a: bounded.append(most(*a)) or bounded[-1])
+    monkeypatch.setattr(neighbours, "WAITING", 500)
+    got = neighbours._best(left, right, 3, metric, classes, False, both=True)
+    assert listed(got) == listed(pa.concat_tables(want)) and sum(b.size for b in bounded) == 900 * 600
+
+
+def test_one_table_is_compared_in_unordered_pairs_of_blocks(spark):
+    x = np.round(RNG.normal(size=(400, 4)), 1)
+    rows = features(spark, x, y=[k % 3 for k in range(len(x))])
+    found = neighbours.places(rows, rows, 2, "cityblock", classes="own", block_rows=64)
+    want = set()
+    for i in range(len(x)):
+        d = neighbours._distances(x[i][None], x, "cityblock")
+        for kind, own in (("hit", True), ("miss", False)):
+            near = sorted((j for j in range(len(x)) if j != i and (j % 3 == i % 3) == own), key=lambda j: (d[j], j))[:2]
+            want |= {(i, kind, j, k + 1) for k, j in enumerate(near)}
+    got = [(r.cycle_id, r.kind, r.other, r.place) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -66,3 +66,29 @@ def test_rank_loss_of_all_rows_and_of_groups(spark, tied):
     for r in evaluate.spearman_loss(rows, "v", "y", ("g",)).collect():
         part = tied[tied["g"].isna()] if r.g is None else tied[tied["g"] == r.g]
         assert r.loss == pytest.approx(1 - abs(part["v"].rank().corr(part["y"].rank())))
+
+
+def packed_ties(spark, n=2000):
+    """Rows of a tied feature, one with nulls, a constant one and one like the target, which is tied too; some rows without features."""
+    y = RNG.integers(0, 40, n)
+    rows = [(int(k), float(y[k]), None if k % 97 == 0 else [float(RNG.integers(0, 9)), None if k % 5 == 0 else float(RNG.normal()), 3.0, float(y[k] + RNG.normal())]) for k in range(n)]
+    return spark.createDataFrame(rows, "cycle_id long, y double, features array<double>")
+
+
+def test_rank_correlations_of_all_features_are_those_of_long_rows(spark):
+    rows = packed_ties(spark)
+    want = {r.feature_idx - 1: r.score for r in select.spearman(select.long_features(rows, keep=("cycle_id", "y")), "y").collect()}
+    got = select.rank_correlations(rows, "y")
+    assert got == pytest.approx(want | {2: 0.0}, rel=1e-9, abs=1e-12) and got[3] > 0.9
+    assert select.rank_correlations(rows.limit(0), "y") == {}
+
+
+def test_stacks_of_one_table_rank_its_rows_once(spark, monkeypatch):
+    from skein.operators.stack import Prepared
+
+    calls = []
+    running = order.running
+    monkeypatch.setattr(order, "running", lambda *a: calls.append(a) or running(*a))
+    table = Prepared(packed_ties(spark, 300), "y", {})
+    assert table.by_rank_correlation([0, 1, 2])[-1] == 2 and table.by_rank_correlation([2, 3]) == [3, 2]
+    assert len(calls) == 2
